@@ -6,7 +6,7 @@ import importlib
 
 from flowlark.plans.registry import CHECKS, QUERIES
 
-MODULES = ["q_correlate"]
+MODULES = ["q_correlate", "q_profile", "q_alerts"]
 
 
 def _load() -> None:
