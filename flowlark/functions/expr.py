@@ -68,6 +68,11 @@ def hash_unit(row_id: Column, seed: int | str) -> Column:
     return F.conv(F.substring(hash_order(row_id, seed), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
 
 
+def round_exact(value: Column, places: int) -> Column:
+    """Rounds the exact binary value, true ties to the even digit; plain round goes by the decimal text."""
+    return F.replace(F.format_number(value.cast("double"), places), F.lit(","), F.lit("")).cast("double")
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 

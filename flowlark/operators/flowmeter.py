@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlark.functions import fixed
-from flowlark.functions.expr import ratio
+from flowlark.functions.expr import ratio, round_exact
 
 KEY = ["k_ip1", "k_port1", "k_ip2", "k_port2", "protocol"]
 FLOW = [*KEY, "flow_start", "flow_dir"]
@@ -290,7 +290,7 @@ def feature_columns() -> list[Column]:
     values += [F.coalesce("window_fwd", F.lit(-1)), F.coalesce("window_bwd", F.lit(-1)), c("data_fwd"), F.coalesce("min_header_fwd", F.lit(0))]
     values += [c(f"active_{m}") for m in ("mean", "std", "max", "min")] + moments("idle", "mean std max min")
     assert len(values) == len(fixed.FLOW_FEATURES)
-    return [F.round(v.cast("double"), 6).alias(name) for v, name in zip(values, fixed.FLOW_FEATURES)]
+    return [round_exact(v, 6).alias(name) for v, name in zip(values, fixed.FLOW_FEATURES)]
 
 
 def flow_features(packets: DataFrame, **limits) -> DataFrame:
@@ -305,10 +305,10 @@ def flow_records(packets: DataFrame, **limits) -> DataFrame:
     flows = _with_last_active(flow_aggregates(packet_shares(packets, **limits)))
     seconds = F.greatest(c("last_us") - c("flow_start"), F.lit(1)) / F.lit(1e6)
     return flows.select(
-        *_endpoints(), "protocol", F.round(seconds, 4).alias("duration"), c("n").alias("total_packets"), c("bytes").alias("total_bytes"),
+        *_endpoints(), "protocol", round_exact(seconds, 4).alias("duration"), c("n").alias("total_packets"), c("bytes").alias("total_bytes"),
         c("n_fwd").alias("packets_src_to_dst"), c("n_bwd").alias("packets_dst_to_src"), c("bytes_fwd").alias("bytes_src_to_dst"),
-        c("bytes_bwd").alias("bytes_dst_to_src"), F.round(c("n") / seconds, 4).alias("packet_rate"),
-        F.round(c("bytes") / seconds, 4).alias("byte_rate"), F.round(c("bytes") / c("n"), 4).alias("avg_packet_size"),
+        c("bytes_bwd").alias("bytes_dst_to_src"), round_exact(c("n") / seconds, 4).alias("packet_rate"),
+        round_exact(c("bytes") / seconds, 4).alias("byte_rate"), round_exact(c("bytes") / c("n"), 4).alias("avg_packet_size"),
         F.when(c("flag_text") == "", "NONE").otherwise(c("flag_text")).alias("tcp_flags"), F.lit("unknown").alias("label"),
         F.timestamp_micros("flow_start").alias("flow_start"), F.timestamp_micros("last_us").alias("last_seen"),
         F.struct(*feature_columns()).alias("model_features"),

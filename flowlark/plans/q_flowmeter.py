@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlark.functions import fixed
-from flowlark.functions.expr import col
 from flowlark.operators import flowmeter as M
 from flowlark.plans.registry import query
 from flowlark.sources.tables import view, with_views
@@ -32,13 +31,14 @@ FLOWS = (
     ASSIGNED
     + """, b as (select *, sum(case when diat > 1000000 then 1 else 0 end) over (partition by ip1, port1, ip2, port2, protocol, fno, fwd order by us, packet_id) as bno,
   sum(case when iat > 5000000 then 1 else 0 end) over (partition by ip1, port1, ip2, port2, protocol, fno order by us, packet_id) as ano from pd),
-bulk1 as (select ip1, port1, ip2, port2, protocol, fno, fwd, bno, count(*) as n, sum(pkt_len) as by, max(us) - min(us) as d from b group by all having n >= 4 and d > 0),
-bulk as (select ip1, port1, ip2, port2, protocol, fno, count(*) filter (fwd) as fn, sum(n) filter (fwd) as fp, sum(by) filter (fwd) as fb, sum(d) filter (fwd) as fd,
-  count(*) filter (not fwd) as bn, sum(n) filter (not fwd) as bp, sum(by) filter (not fwd) as bb, sum(d) filter (not fwd) as bd from bulk1 group by all),
-act1 as (select ip1, port1, ip2, port2, protocol, fno, ano, max(us) - min(us) as d, ano = max(ano) over (partition by ip1, port1, ip2, port2, protocol, fno) as lastone from b group by all),
+bulk1 as (select ip1, port1, ip2, port2, protocol, fno, fwd, bno, count(*) as n, sum(pkt_len) as yy, max(us) - min(us) as d from b group by all having n >= 4 and d > 0),
+bulk as (select ip1, port1, ip2, port2, protocol, fno, count(*) filter (fwd) as fn, sum(n) filter (fwd) as fp, sum(yy) filter (fwd) as fb, sum(d) filter (fwd) as fd,
+  count(*) filter (not fwd) as bn, sum(n) filter (not fwd) as bp, sum(yy) filter (not fwd) as bb, sum(d) filter (not fwd) as bd from bulk1 group by all),
+act0 as (select ip1, port1, ip2, port2, protocol, fno, ano, max(us) - min(us) as d from b group by all),
+act1 as (select *, ano = max(ano) over (partition by ip1, port1, ip2, port2, protocol, fno) as lastone from act0),
 act as (select ip1, port1, ip2, port2, protocol, fno, avg(d) as am, stddev_samp(d) as asd, max(d) as ax, min(d) as an from act1 where d > 0 or not lastone group by all),
 a0 as (select ip1, port1, ip2, port2, protocol, fno, flow_start, any_value(fsrc) as src_ip, any_value(fdst) as dst_ip, any_value(fsport) as src_port, any_value(fdport) as dst_port,
-  greatest(max(us) - flow_start, 1) as dur, count(*) as n, sum(pkt_len) as by, count(*) filter (fwd) as nf, count(*) filter (not fwd) as nb,
+  greatest(max(us) - flow_start, 1) as dur, count(*) as n, sum(pkt_len) as yy, count(*) filter (fwd) as nf, count(*) filter (not fwd) as nb,
   coalesce(sum(pkt_len) filter (fwd), 0) as yf, coalesce(sum(pkt_len) filter (not fwd), 0) as yb,
   max(pkt_len) filter (fwd) as fx, min(pkt_len) filter (fwd) as fm, avg(pkt_len) filter (fwd) as fa, stddev_samp(pkt_len) filter (fwd) as fs,
   max(pkt_len) filter (not fwd) as bx, min(pkt_len) filter (not fwd) as bm, avg(pkt_len) filter (not fwd) as ba, stddev_samp(pkt_len) filter (not fwd) as bs,
@@ -65,10 +65,10 @@ fl as (select a0.*, bulk.* exclude (ip1, port1, ip2, port2, protocol, fno), act.
 
 BULK = {d: [f"case when coalesce({d}n, 0) = 0 then 0 else {x} end" for x in (f"{d}b / {d}n::double", f"{d}p / {d}n::double", f"{d}b / ({d}d / 1e6)")] for d in "fb"}
 FORMULAS = [
-    "dst_port", "dur", "nf", "nb", "yf", "yb", "fx", "fm", "fa", "fs", "bx", "bm", "ba", "bs", "by / (dur / 1e6)", "n / (dur / 1e6)",
+    "dst_port", "dur", "nf", "nb", "yf", "yb", "fx", "fm", "fa", "fs", "bx", "bm", "ba", "bs", "yy / (dur / 1e6)", "n / (dur / 1e6)",
     "ia", "isd", "ix", "im", "ft", "fia", "fis", "fix", "fim", "bt", "bia", "bis", "bix", "bim", "pf", "pb", "uf", "ub", "hf", "hb",
     "nf / (dur / 1e6)", "nb / (dur / 1e6)", "lm", "lx", "la", "ls", "lv", "c_f", "c_s", "c_r", "c_p", "c_a", "c_u", "c_c", "c_e",
-    "nb / nf::double", "by / n::double", "fa", "ba", "hf", *BULK["f"], *BULK["b"],
+    "nb / nf::double", "yy / n::double", "fa", "ba", "hf", *BULK["f"], *BULK["b"],
     "nf / sub::double", "yf / sub::double", "nb / sub::double", "yb / sub::double", "coalesce(wf, -1)", "coalesce(wb, -1)", "dataf", "mh",
     "am", "asd", "ax", "an", "da", "dsd", "dx", "dm",
 ]
@@ -76,17 +76,29 @@ assert len(FORMULAS) == len(fixed.FLOW_FEATURES)
 WHO = "src_ip, dst_ip, src_port, protocol, flow_start"
 
 
-def feature_sql(names: list[str], places: int = 4) -> str:
-    picked = [
-        f'round(coalesce({FORMULAS[fixed.FLOW_FEATURES.index(n)]}, 0)::double, {places}) as "{n}"' for n in names
-    ]
+def spread(name: str) -> int | None:
+    """Places to compare time deviations at, whose last digits depend on the order of adding."""
+    return 2 if name.endswith("Std") and name.startswith(("Flow", "Fwd IAT", "Bwd IAT", "Active", "Idle")) else None
+
+
+def feature_sql(names: list[str]) -> str:
+    picked = []
+    for n in names:
+        value = f"coalesce({FORMULAS[fixed.FLOW_FEATURES.index(n)]}, 0)::double"
+        places = spread(n)
+        text = f"printf('%.6f', {value})::double" if places is None else f"round({value}, {places})"
+        picked.append(f'{text} as "{n}"')
     return FLOWS + f" select {WHO}, " + ", ".join(picked) + " from fl"
 
 
-def features(spark, sf, names, places=4):
+def shown(names: list[str], prefix: str = "") -> list:
+    columns = [(F.col(f"{prefix}`{n}`"), n) for n in names]
+    return [(c if spread(n) is None else F.round(c, spread(n))).alias(n) for c, n in columns]
+
+
+def features(spark, sf, names):
     out = M.flow_features(view(spark, sf, "packets"), idle_timeout=30.0)
-    who = ["src_ip", "dst_ip", "src_port", "protocol", F.unix_micros("flow_start").alias("flow_start")]
-    return out.select(*who, *[F.round(col(n), places).alias(n) for n in names])
+    return out.select("src_ip", "dst_ip", "src_port", "protocol", F.unix_micros("flow_start").alias("flow_start"), *shown(names))
 
 
 def between(first: str, last: str) -> list[str]:
@@ -125,9 +137,9 @@ def length_stats(spark, sf):
     return features(spark, sf, LENGTHS)
 
 
-@query("iat_stats", feature_sql(IATS, 2))
+@query("iat_stats", feature_sql(IATS))
 def iat_stats(spark, sf):
-    return features(spark, sf, IATS, 2)
+    return features(spark, sf, IATS)
 
 
 @query("tcp_flag_counts", feature_sql(FLAG_NAMES).replace(" from fl", ", tcp_flags from fl"))
@@ -135,7 +147,7 @@ def tcp_flag_counts(spark, sf):
     out = M.flow_records(view(spark, sf, "packets"), idle_timeout=30.0)
     return out.select(
         "src_ip", "dst_ip", "src_port", "protocol", F.unix_micros("flow_start").alias("flow_start"),
-        *[F.col(f"model_features.`{n}`").alias(n) for n in FLAG_NAMES], "tcp_flags",
+        *shown(FLAG_NAMES, "model_features."), "tcp_flags",
     )
 
 
@@ -149,9 +161,9 @@ def bulk_stats(spark, sf):
     return features(spark, sf, BULKS)
 
 
-@query("active_idle", feature_sql(ACTIVES, 2))
+@query("active_idle", feature_sql(ACTIVES))
 def active_idle(spark, sf):
-    return features(spark, sf, ACTIVES, 2)
+    return features(spark, sf, ACTIVES)
 
 
 @query("subflows", feature_sql(SUBFLOWS))
@@ -159,17 +171,17 @@ def subflows(spark, sf):
     return features(spark, sf, SUBFLOWS)
 
 
-@query("flow_feature_table", feature_sql(fixed.FLOW_FEATURES, 2))
+@query("flow_feature_table", feature_sql(fixed.FLOW_FEATURES))
 def flow_feature_table(spark, sf):
-    return features(spark, sf, fixed.FLOW_FEATURES, 2)
+    return features(spark, sf, fixed.FLOW_FEATURES)
 
 
 @query(
     "flow_summary_records",
     FLOWS
-    + """ select src_ip, dst_ip, src_port, dst_port, protocol, round(dur / 1e6, 4) as duration, n as total_packets, cast(by as bigint) as total_bytes, nf as packets_src_to_dst,
-  nb as packets_dst_to_src, cast(yf as bigint) as bytes_src_to_dst, cast(yb as bigint) as bytes_dst_to_src, round(n / (dur / 1e6), 4) as packet_rate,
-  round(by / (dur / 1e6), 4) as byte_rate, round(by / n::double, 4) as avg_packet_size, tcp_flags, 'unknown' as label from fl""",
+    + """ select src_ip, dst_ip, src_port, dst_port, protocol, printf('%.4f', dur / 1e6)::double as duration, n as total_packets, cast(yy as bigint) as total_bytes, nf as packets_src_to_dst,
+  nb as packets_dst_to_src, cast(yf as bigint) as bytes_src_to_dst, cast(yb as bigint) as bytes_dst_to_src, printf('%.4f', n / (dur / 1e6))::double as packet_rate,
+  printf('%.4f', yy / (dur / 1e6))::double as byte_rate, printf('%.4f', yy / n::double)::double as avg_packet_size, tcp_flags, 'unknown' as label from fl""",
 )
 def flow_summary_records(spark, sf):
     return M.flow_records(view(spark, sf, "packets"), idle_timeout=30.0).drop("flow_start", "last_seen", "model_features")
