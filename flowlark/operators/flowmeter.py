@@ -294,9 +294,9 @@ def feature_columns() -> list[Column]:
 
 
 def flow_features(packets: DataFrame, **limits) -> DataFrame:
-    """Flow identity and the 78 features."""
+    """Flow identity, start and end, and the 78 features."""
     flows = _with_last_active(flow_aggregates(packet_shares(packets, **limits)))
-    return flows.select(*_endpoints(), "protocol", F.timestamp_micros("flow_start").alias("flow_start"), *feature_columns())
+    return flows.select(*_endpoints(), "protocol", F.timestamp_micros("flow_start").alias("flow_start"), "last_us", *feature_columns())
 
 
 def flow_records(packets: DataFrame, **limits) -> DataFrame:
