@@ -295,7 +295,11 @@ def feature_columns() -> list[Column]:
 
 def flow_features(packets: DataFrame, **limits) -> DataFrame:
     """Flow identity, start and end, and the 78 features."""
-    flows = _with_last_active(flow_aggregates(packet_shares(packets, **limits)))
+    return features_of_shares(packet_shares(packets, **limits))
+
+
+def features_of_shares(shares: DataFrame) -> DataFrame:
+    flows = _with_last_active(flow_aggregates(shares))
     return flows.select(*_endpoints(), "protocol", F.timestamp_micros("flow_start").alias("flow_start"), "last_us", *feature_columns())
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from flowlark.plans.registry import CHECKS, QUERIES
 
-MODULES = ["q_correlate", "q_profile", "q_alerts", "q_timeseries", "q_evaluate", "q_flowmeter", "q_files_streams"]
+MODULES = ["q_correlate", "q_profile", "q_alerts", "q_timeseries", "q_evaluate", "q_flowmeter", "q_files_streams", "q_models"]
 
 
 def _load() -> None:

@@ -45,10 +45,10 @@ def meter_step(batch: DataFrame, epoch: int, out: str, state: str, delay_seconds
     pool = fresh if kept is None else kept.unionByName(fresh)
     edge = -1 if now is None else now - delay - idle
 
-    flows = M.flow_features(pool, **limits).withColumn("closed", F.col("last_us") <= edge)
-    flows.filter("closed").drop("closed").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    shares = M.packet_shares(pool, **limits).persist()
+    flows = M.features_of_shares(shares).filter(F.col("last_us") <= edge)
+    flows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    shares = M.packet_shares(pool, **limits)
     still = shares.groupBy(*M.FLOW).agg(F.max("us").alias("last")).filter(F.col("last") > edge).select(*M.FLOW)
     src_low = F.col("forward") == F.col("flow_dir")
     ends = [
@@ -59,6 +59,7 @@ def meter_step(batch: DataFrame, epoch: int, out: str, state: str, delay_seconds
     ]
     left = shares.join(checked_small(still), M.FLOW, "left_semi").select("*", *ends).select(*COLUMNS)
     left.write.mode("overwrite").parquet(f"{state}/packets/epoch={epoch}")
+    shares.unpersist()
     row = spark.range(1).select(F.lit(now).cast("bigint").alias("seen_us"), F.lit(seen["n_late"]).cast("bigint").alias("n_late"))
     row.write.mode("overwrite").parquet(f"{state}/clock/epoch={epoch}")
 
