@@ -166,6 +166,7 @@ def packet_shares(
         flow_start.alias("flow_start"),
         c("flow.dir").alias("flow_dir"),
         (c("dir") == c("flow.dir")).alias("forward"),
+        (c("d_n") + by_side("c_n")).alias("side_seq"),
         "iat",
         F.when(c("side_before") >= flow_start, c("us") - c("side_before")).alias("side_iat"),
         wakes.alias("wakes"),
@@ -213,12 +214,11 @@ def flow_aggregates(shares: DataFrame) -> DataFrame:
             flagged("P", rows).alias(f"psh_{name}"),
             flagged("U", rows).alias(f"urg_{name}"),
             F.sum(F.when(rows, c("header_len")).otherwise(0)).alias(f"header_{name}"),
-            F.min_by(F.when(rows, c("window_size")), F.when(rows & c("window_size").isNotNull(), F.struct("us", "packet_id"))).alias(f"window_{name}"),
+            F.min_by("window_size", F.when(rows & c("window_size").isNotNull(), c("side_seq"))).alias(f"window_{name}"),
             *[F.sum(F.when(rows, c(b)).otherwise(0)).alias(f"{b}_{name}") for b in ("bulk_n", "bulk_packets", "bulk_bytes", "bulk_us")],
         ]
     out += [flagged(letter).alias(f"flag_{name}") for name, letter in FLAGS.items()]
     out += [
-        F.array_join(F.sort_array(F.collect_set(F.nullif(c("tcp_flags"), F.lit("")))), ",").alias("flag_text"),
         F.count(F.when(fwd & (c("payload_len") > 0), 1)).alias("data_fwd"),
         F.min(F.when(fwd & (c("header_len") > 0), c("header_len"))).alias("min_header_fwd"),
         (F.count(F.when(c("splits"), 1)) + 1).alias("subflows"),
@@ -231,6 +231,12 @@ def flow_aggregates(shares: DataFrame) -> DataFrame:
     return shares.groupBy(*FLOW).agg(*out)
 
 
+def flag_texts(shares: DataFrame) -> DataFrame:
+    """Per flow its distinct flag texts, sorted and joined; flows without any give no row."""
+    texts = shares.filter(F.coalesce("tcp_flags", F.lit("")) != "").select(*FLOW, "tcp_flags").distinct()
+    return texts.groupBy(*FLOW).agg(F.array_join(F.sort_array(F.collect_list("tcp_flags")), ",").alias("flag_text"))
+
+
 def _with_last_active(flows: DataFrame) -> DataFrame:
     """Adds the period from the last wake-up to the last packet, if it is longer than 0."""
     c = F.col
@@ -306,14 +312,15 @@ def features_of_shares(shares: DataFrame) -> DataFrame:
 def flow_records(packets: DataFrame, **limits) -> DataFrame:
     """The flow summary record with the features as one nested struct."""
     c = F.col
-    flows = _with_last_active(flow_aggregates(packet_shares(packets, **limits)))
+    shares = packet_shares(packets, **limits)
+    flows = _with_last_active(flow_aggregates(shares)).join(flag_texts(shares), FLOW, "left")
     seconds = F.greatest(c("last_us") - c("flow_start"), F.lit(1)) / F.lit(1e6)
     return flows.select(
         *_endpoints(), "protocol", round_exact(seconds, 4).alias("duration"), c("n").alias("total_packets"), c("bytes").alias("total_bytes"),
         c("n_fwd").alias("packets_src_to_dst"), c("n_bwd").alias("packets_dst_to_src"), c("bytes_fwd").alias("bytes_src_to_dst"),
         c("bytes_bwd").alias("bytes_dst_to_src"), round_exact(c("n") / seconds, 4).alias("packet_rate"),
         round_exact(c("bytes") / seconds, 4).alias("byte_rate"), round_exact(c("bytes") / c("n"), 4).alias("avg_packet_size"),
-        F.when(c("flag_text") == "", "NONE").otherwise(c("flag_text")).alias("tcp_flags"), F.lit("unknown").alias("label"),
+        F.coalesce("flag_text", F.lit("NONE")).alias("tcp_flags"), F.lit("unknown").alias("label"),
         F.timestamp_micros("flow_start").alias("flow_start"), F.timestamp_micros("last_us").alias("last_seen"),
         F.struct(*feature_columns()).alias("model_features"),
     )

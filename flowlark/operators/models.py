@@ -55,7 +55,7 @@ def fit_classes(df: DataFrame, features: list[str], estimator, weights: DataFram
     if weights is not None:
         rows = df.join(checked_small(weights), "label")
         estimator = estimator.setWeightCol("weight")
-    index = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)
+    index = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc").fit(rows)
     names = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=index.labels)
     body = Pipeline(stages=[assembler(features), estimator.setFeaturesCol("features").setLabelCol("target")])
     inner = body.fit(index.transform(rows))
@@ -208,14 +208,22 @@ def label_maps(model: PipelineModel) -> dict:
     return {label: i for i, label in enumerate(model.stages[-1].getLabels())}
 
 
+def confidence(scored: DataFrame):
+    """Greatest class probability to 4 places; one-vs-rest margins become shares of 1; else 1."""
+    if "probability" in scored.columns:
+        return F.round(F.array_max(vector_to_array("probability")), 4)
+    if "rawPrediction" in scored.columns:
+        sides = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        return F.round(F.array_max(sides) / F.aggregate(sides, F.lit(0.0), lambda a, x: a + x), 4)
+    return F.lit(1.0)
+
+
 def score_models(df: DataFrame, binary: PipelineModel, classes: PipelineModel, forest) -> DataFrame:
     """Model outputs beside the given columns: predictions, confidences to 4 places, anomaly score."""
     names = df.columns
     first = binary.transform(df)
-    best = F.array_max(vector_to_array("probability")) if "probability" in first.columns else F.lit(1.0)
-    first = first.select(*names, F.col("prediction").cast("int").alias("binary_prediction"), F.round(best, 4).alias("binary_confidence"))
+    first = first.select(*names, F.col("prediction").cast("int").alias("binary_prediction"), confidence(first).alias("binary_confidence"))
     second = classes.transform(first)
-    best = F.array_max(vector_to_array("probability")) if "probability" in second.columns else F.lit(1.0)
     kept = [*names, "binary_prediction", "binary_confidence"]
-    second = second.select(*kept, F.col("predicted_label").alias("multiclass_label"), F.round(best, 4).alias("multiclass_confidence"))
+    second = second.select(*kept, F.col("predicted_label").alias("multiclass_label"), confidence(second).alias("multiclass_confidence"))
     return forest.predict(second).withColumn("anomaly_score", F.round("anomaly_score", 4))

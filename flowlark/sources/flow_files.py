@@ -91,10 +91,10 @@ FLOW_JSON = (
 
 def batch_problem(payload: Column, limit: int = MAX_FLOWS) -> Column:
     """Why a JSON batch is refused, or null. A batch without `flows` counts as empty."""
-    flows = F.get_json_object(payload, "$.flows")
-    size = F.json_array_length(flows)
+    size = F.json_array_length(F.get_json_object(payload, "$.flows"))
+    named = F.coalesce(F.array_contains(F.json_object_keys(payload), "flows"), F.lit(False))
     return (
-        F.when(flows.isNotNull() & size.isNull(), "'flows' must be a JSON array.")
+        F.when(named & size.isNull(), "'flows' must be a JSON array.")
         .when(F.coalesce(size, F.lit(0)) == 0, "'flows' must contain at least one entry.")
         .when(size > limit, F.lit(f"Batch too large. Maximum {limit} flows per request."))
     )
