@@ -319,7 +319,7 @@ def score_curve(df: DataFrame, probability: str = "probability") -> DataFrame:
     points = df.filter(F.col(probability).isNotNull()).groupBy(F.col(probability).alias("score")).agg(
         F.count(F.when(bad, 1)).alias("pos"), F.count(F.when(~bad, 1)).alias("neg")
     )
-    return running_totals(points, -F.col("score"), F.floor(-F.col("score") * 65536), ["pos", "neg"])
+    return running_totals(points, -F.col("score"), -F.col("score") * 65536, ["pos", "neg"])
 
 
 def _with_sums(curve: DataFrame) -> DataFrame:

@@ -39,14 +39,22 @@ def _us(seconds: float) -> int:
     return int(round(seconds * 1_000_000))
 
 
+def measured_slice(keyed: DataFrame, rows_per_slice: int = 2_000_000, longest: float = 60.0, shortest: float = 0.001) -> float:
+    """Slice length at which the busiest 5-tuple's busiest minute splits into slices of about
+    `rows_per_slice` packets."""
+    minute = F.floor(F.col("us") / F.lit(60_000_000))
+    busiest = keyed.groupBy(*KEY, minute.alias("m")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    return longest if busiest <= rows_per_slice else max(shortest, min(longest, 60.0 * rows_per_slice / busiest))
+
+
 def packet_shares(
-    packets: DataFrame, idle_timeout: float = 5.0, active_gap: float = 5.0, quiet_gap: float = 1.0, slice_seconds: float = 60.0
+    packets: DataFrame, idle_timeout: float = 5.0, active_gap: float = 5.0, quiet_gap: float = 1.0, slice_seconds: float | None = None
 ) -> DataFrame:
     """Every packet with its flow and its share of the order-dependent features.
 
     A gap of at least `idle_timeout` opens a new flow; a gap above `active_gap` ends an
     active period; one above `quiet_gap` ends a subflow or, within a direction, a bulk run.
-    Ties in time are ordered by packet_id.
+    Ties in time are ordered by packet_id. Without a given slice length it is measured.
     """
     if idle_timeout <= quiet_gap:
         raise ValueError("the idle timeout must be longer than the bulk and subflow gap")
@@ -54,6 +62,8 @@ def packet_shares(
     c = F.col
     rows = flow_key(packets.filter(c("protocol").isin("TCP", "UDP") & c("ts").isNotNull()))
     rows = rows.withColumn("us", F.unix_micros(c("ts").cast("timestamp")))
+    if slice_seconds is None:
+        slice_seconds = measured_slice(rows)
     rows = rows.withColumn("slice", F.floor(c("us") / F.lit(_us(slice_seconds))))
 
     part = [*KEY, "slice"]

@@ -1,8 +1,8 @@
 """Exact ranks, quantiles and running totals that never put a whole group into one task.
 
-All three start from a histogram: a cheap map-side-combined count per (group, bucket).
-Its running total tells how many rows lie before each bucket, so exact positions need
-sorting only inside single buckets.
+All start from a histogram: a cheap map-side-combined count per (group, bucket). Its
+running total tells how many rows lie before each bucket, so only single buckets need a
+closer look.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlark.session import cut_lineage
+
 
 BROADCAST_ROWS = 100_000
 
@@ -102,48 +104,94 @@ def first_rows(
     return joined.filter(within_cut("q", key)).select(*[F.col(c) for c in df.columns])
 
 
-def exact_quantile(
-    df: DataFrame, group: list[str], value: str, q: float, out: str = "quantile", buckets: int = 4096
-) -> DataFrame:
-    """Linear-interpolated quantile per group, exact, without a per-group value map.
+def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Works a small frame out once: a broadcast copy up to `max_rows`, else a checkpoint."""
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows <= max_rows:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
+    return cut_lineage(df)
 
-    Equal-width buckets between the group's least and greatest value are counted; only
-    the buckets holding the two order statistics are looked into, as (value, count).
-    """
-    data = df.select(*group, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    span = data.groupBy(*group).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    joined = data.join(checked_small(span), group) if group else data.crossJoin(span)
-    width = F.col("__hi") - F.col("__lo")
-    share = F.when(width > 0, (F.col("__v") - F.col("__lo")) / width).otherwise(F.lit(0.0))
-    tagged = joined.select(*group, "__v", F.floor(share * buckets).alias("__b"))
-    at = (F.col("__total") - 1).cast("double") * F.lit(q)
-    hit = (
-        _offsets(tagged, group)
-        .withColumn("__at", at)
-        .filter((F.col("__before") <= F.ceil("__at")) & (F.col("__before") + F.col("__n") > F.floor("__at")))
-        .select(*group, "__b", "__before", "__at")
-    )
-    counted = tagged.join(checked_small(hit), [*group, "__b"]).groupBy(*group, "__b", "__before", "__at", "__v").count()
-    upto = Window.partitionBy(*group, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.col("__before") + F.sum("count").over(upto) - 1
-    placed = counted.withColumn("__last", last).withColumn("__first", F.col("__last") - F.col("count") + 1)
 
-    def pick(position: Column) -> Column:
-        inside = (position >= F.col("__first")) & (position <= F.col("__last"))
-        return F.max(F.when(inside, F.col("__v")))
+def order_statistics(df: DataFrame, group: list[str], value: str, wanted: DataFrame, buckets: int = 4096) -> DataFrame:
+    """The values at given 0-based positions of each group's sorted values, without sorting.
 
-    picked = placed.groupBy(*group).agg(
-        pick(F.floor("__at")).alias("__a"), pick(F.ceil("__at")).alias("__c"), F.max("__at").alias("__at")
+    `wanted`: group..., name, pos. Each round counts the rows between the two values known
+    to enclose a position, in equal-width buckets, and keeps the bucket holding it, until
+    one value is left. A round is one scan with a map-side-combined count; even when almost
+    all rows share a bucket, or a value, no task gets them.
+    Columns of the result: group..., name, pos, value, before (rows with a smaller value).
+    """
+    data = df.select(*group, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
+    span = data.groupBy(*group).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    start = wanted.join(span, group) if group else wanted.crossJoin(span)
+    names = [*group, "name", "pos", "lo", "hi", "before"]
+    targets = settle(start.withColumn("before", F.lit(0).cast("bigint")).select(*names))
+    while not targets.filter(F.col("lo") < F.col("hi")).isEmpty():
+        open_ones = targets.filter(F.col("lo") < F.col("hi"))
+        inside = data.join(open_ones, group) if group else data.crossJoin(open_ones)
+        inside = inside.filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
+        share = F.try_divide((F.col("__v") - F.col("lo")).cast("double"), (F.col("hi") - F.col("lo")).cast("double"))
+        at = F.when(F.col("__v") == F.col("hi"), buckets).otherwise(
+            F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1))
+        )
+        counts = inside.groupBy(*group, "name", "pos", "before", at.alias("__b")).agg(
+            F.count(F.lit(1)).alias("__n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")
+        )
+        earlier = Window.partitionBy(*group, "name").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("before", F.col("before") + F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+        found = placed.filter((F.col("before") <= F.col("pos")) & (F.col("pos") < F.col("before") + F.col("__n")))
+        targets = settle(targets.filter(F.col("lo") >= F.col("hi")).unionByName(found.select(*names)))
+    return targets.select(*group, "name", "pos", F.col("lo").alias("value"), "before")
+
+
+def exact_quantile(df: DataFrame, group: list[str], value: str, q: float, out: str = "quantile") -> DataFrame:
+    """Linear-interpolated quantile per group, exact, without a per-group value map or sort."""
+    rows = df.select(*group, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    at = (F.col("n") - 1).cast("double") * F.lit(q)
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+    ends = F.array(F.struct(F.lit("low").alias("name"), F.floor(at).alias("pos")), F.struct(F.lit("high").alias("name"), F.ceil(at).alias("pos")))
+    wanted = sizes.select(*group, F.explode(ends).alias("e")).select(*group, "e.name", "e.pos")
+    found = order_statistics(rows, group, "v", wanted)
+    picked = found.groupBy(*group).agg(
+        F.max(F.when(F.col("name") == "low", F.col("value"))).alias("a"), F.max(F.when(F.col("name") == "high", F.col("value"))).alias("b")
     )
-    part = F.col("__at") - F.floor("__at")
-    return picked.select(*group, (F.col("__a") + (F.col("__c") - F.col("__a")) * part).alias(out))
+    sized = picked.join(settle(sizes), group) if group else picked.crossJoin(settle(sizes))
+    return sized.select(*group, (F.col("a") + (F.col("b") - F.col("a")) * (at - F.floor(at))).alias(out))
+
 
+def newest_rows(df: DataFrame, group: str, ts: str, tie: str, n: int) -> DataFrame:
+    """The n rows of each group with the greatest (ts, tie); `tie` is unique within equal times.
 
-def running_totals(df: DataFrame, order: Column, bucket: Column, values: list[str]) -> DataFrame:
+    Few rows are found by a partial limit in every task; more by searching the cut.
+    """
+    if n <= 100:
+        order = Window.partitionBy(group).orderBy(F.col(ts).desc(), F.col(tie).desc())
+        return df.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= n).select(*df.columns)
+    rows = df.filter(F.col(group).isNotNull() & F.col(ts).isNotNull())
+    age, number = -F.unix_micros(F.col(ts).cast("timestamp")), -F.col(tie)
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("c"))
+    wanted = sizes.select(group, F.lit("cut").alias("name"), (F.least(F.col("c"), F.lit(n)) - 1).alias("pos"))
+    found = order_statistics(rows.select(group, age.alias("age")), [group], "age", wanted)
+    cut = settle(found.select(group, F.col("value").alias("__age"), (F.col("pos") - F.col("before")).alias("__more")))
+    level = rows.join(cut, group).filter(age == F.col("__age")).select(group, number.alias("number"))
+    ties = order_statistics(level, [group], "number", cut.select(group, F.lit("cut").alias("name"), F.col("__more").alias("pos")))
+    last = settle(ties.select(group, F.col("value").alias("__number")))
+    joined = rows.join(cut, group).join(last, group)
+    return joined.filter((age < F.col("__age")) | ((age == F.col("__age")) & (number <= F.col("__number")))).select(*df.columns)
+
+
+def running_totals(df: DataFrame, order: Column, scaled: Column, values: list[str], rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Adds `cum_<v>`: the sum of v over all rows up to this one in order (unique keys).
 
-    Bucket sums are added up in one small window, rows only inside their bucket.
+    `scaled` is a number growing with the order; its whole part is the row's bucket, and
+    buckets with too many rows are cut 4,096 times finer. Bucket sums are added up in one
+    small window, rows only inside their bucket.
     """
+    whole = F.floor(scaled)
+    crowded = df.groupBy(whole.alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows_per_bucket)
+    heavy = [r["b"] for r in crowded.select("b").collect()]  # at most one per bucket
+    finer = whole + F.floor((scaled - whole) * 4096) / 4096
+    bucket = F.when(whole.isin(heavy), finer).otherwise(whole.cast("double")) if heavy else whole.cast("double")
     tagged = df.withColumn("__o", order).withColumn("__b", bucket)
     sums = tagged.groupBy("__b").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
     earlier = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,7 +12,7 @@ from flowlark.functions import fixed
 from flowlark.functions.expr import inline_table
 from flowlark.operators.alerts import two_places
 from flowlark.operators.clean import date_range
-from flowlark.operators.scale import first_rows
+from flowlark.operators.scale import newest_rows
 
 LABEL_FORMAT = {"second": "HH:mm:ss", "minute": "HH:mm", "hour": "HH:00", "day": "yyyy-MM-dd"}
 SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
@@ -168,9 +168,8 @@ def alert_severity_from_text(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def newest(df: DataFrame, n: int, ts: str = "received_at", tie: str = "row_index", by: str = "mode") -> DataFrame:
-    """The newest n rows of each mode. Only rows near the cut are ranked, whatever the mode's size."""
-    when = F.unix_micros(F.col(ts).cast("timestamp"))
-    return first_rows(df, [by], F.struct((-when).alias("a"), (-F.col(tie)).alias("b")), F.floor(-when / F.lit(60_000_000)), n)
+    """The newest n rows of each mode. No task ranks a whole mode."""
+    return newest_rows(df, by, ts, tie, n)
 
 
 def recent_n(df: DataFrame, kind: str, **names) -> DataFrame:
