@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from flowlark.functions.expr import col, hash_order
 from flowlark.operators.scale import exact_quantile, first_rows
+from flowlark.session import cut_lineage
 
 NODES = "tree int, node int, feature int, threshold double, left int, right int, length double"
 
@@ -87,8 +88,10 @@ class IsolationForest:
 def fit_isolation_forest(
     df: DataFrame, features: list[str], trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42
 ) -> IsolationForest:
-    """Fits on `df` (row_id and features). The offset is the exact quantile of the training
+    """Fits on `df` (row_id and features), which is written to the shared folder once, as are
+    its scores, since both are read several times. The offset is the exact quantile of the training
     scores at `contamination`, so that share of training rows is flagged."""
+    df = cut_lineage(df.select("row_id", *[col(c) for c in features]))
     key = F.concat(hash_order(F.col("row_id"), seed), F.lit("|"), F.col("row_id"))
     pool = first_rows(df, [], key, F.substring(hash_order(F.col("row_id"), seed), 1, 4), trees * sample)
     numbered = pool.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
@@ -116,5 +119,6 @@ def fit_isolation_forest(
     ]
     used = min(sample, pool.count())
     forest = IsolationForest(features, used, grown, 0.0)
-    forest.offset = exact_quantile(forest.normality(df), [], "normality", contamination).first()["quantile"]
+    scores = cut_lineage(forest.normality(df).select("normality"))
+    forest.offset = exact_quantile(scores, [], "normality", contamination).first()["quantile"]
     return forest

@@ -70,16 +70,19 @@ def attack_probability(scored: DataFrame) -> DataFrame:
     return scored.select(*kept, F.col("label").alias("true_label"), called.alias("predicted_label"), p.alias("probability"))
 
 
+# Samples are bounded by their caps; each is written to the shared folder once, since fitting
+# reads it many times.
+
 # --- single models ------------------------------------------------------------------------
 
 
 def rf_binary(df, features, trees: int = 100, depth: int = 20, per_class: int = 50_000) -> PipelineModel:
-    sample = balanced_binary(df, per_class, per_class)
+    sample = cut_lineage(balanced_binary(df, per_class, per_class))
     return fit_binary(sample, features, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED), weighted=True)
 
 
 def rf_multiclass(df, features, trees: int = 100, depth: int = 20, cap: int = 20_000) -> PipelineModel:
-    sample = sample_per_class(df, cap)
+    sample = cut_lineage(sample_per_class(df, cap))
     weights = class_weights(sample).select("label", F.col("balanced_weight").alias("weight"))
     return fit_classes(sample, features, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED), weights)
 
@@ -89,11 +92,11 @@ def _boosted(rounds: int, depth: int, step: float) -> GBTClassifier:
 
 
 def gbt_binary(df, features, rounds: int = 200, depth: int = 6, step: float = 0.1, per_class: int = 50_000) -> PipelineModel:
-    return fit_binary(balanced_binary(df, per_class, per_class), features, _boosted(rounds, depth, step))
+    return fit_binary(cut_lineage(balanced_binary(df, per_class, per_class)), features, _boosted(rounds, depth, step))
 
 
 def gbt_multiclass(df, features, rounds: int = 200, depth: int = 6, step: float = 0.1, cap: int = 20_000, parallelism: int = 4) -> PipelineModel:
-    return fit_classes(sample_per_class(df, cap), features, OneVsRest(classifier=_boosted(rounds, depth, step), parallelism=parallelism))
+    return fit_classes(cut_lineage(sample_per_class(df, cap)), features, OneVsRest(classifier=_boosted(rounds, depth, step), parallelism=parallelism))
 
 
 def specialist_scope(scope: str = "full-web-family", weak: list[str] = (), explicit: str | None = None) -> list[str]:
@@ -108,7 +111,7 @@ def specialist_scope(scope: str = "full-web-family", weak: list[str] = (), expli
 
 
 def specialist(df, features, classes: list[str], rounds: int = 300, depth: int = 6, step: float = 0.05, parallelism: int = 4) -> PipelineModel:
-    sample = specialist_training_set(df, classes)
+    sample = cut_lineage(specialist_training_set(df, classes))
     weights = class_weights(sample).select("label", F.col("specialist_weight").alias("weight"))
     return fit_classes(sample, features, OneVsRest(classifier=_boosted(rounds, depth, step), parallelism=parallelism), weights)
 
@@ -125,7 +128,7 @@ def mlp(df, features, hidden: tuple = (128, 64, 32), rounds: int = 100, per_clas
     """Layers 128-64-32 with sigmoid units; classes are balanced by sampling."""
     layers = [len(features), *hidden, 2]
     net = MultilayerPerceptronClassifier(layers=layers, maxIter=rounds, seed=SEED, blockSize=128)
-    return fit_binary(balanced_binary(df, per_class, per_class), features, net, scaled=True)
+    return fit_binary(cut_lineage(balanced_binary(df, per_class, per_class)), features, net, scaled=True)
 
 
 def adaboost(df: DataFrame, features: list[str], rounds: int = 50, save_every: int = 5) -> list[tuple[float, PipelineModel]]:

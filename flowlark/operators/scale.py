@@ -65,16 +65,18 @@ def quota_cuts(
     for quota in quotas.values():
         q = quota(total)
         wanted = wanted | ((q > F.col("__before")) & (q <= F.col("__before") + F.col("__n")) & (q < total))
-    hit = offsets.filter(wanted).select(*group, "__b", "__before", "__total")
+    # One scan gives the buckets holding a cut and, from each group's first bucket, its size.
+    known = settle(offsets.withColumn("__hit", wanted).filter(F.col("__hit") | (F.col("__before") == 0)))
+    hit = known.filter("__hit").select(*group, "__b", "__before", "__total")
     inside = Window.partitionBy(*group, "__b").orderBy("__key")
-    ranked = tagged.join(checked_small(hit), [*group, "__b"]).withColumn("__rank", F.col("__before") + F.row_number().over(inside))
+    ranked = tagged.join(hit, [*group, "__b"]).withColumn("__rank", F.col("__before") + F.row_number().over(inside))
     cuts = ranked.groupBy(*group).agg(
         *[
             F.max(F.when(F.col("__rank") == quota(F.col("__total")), F.col("__key"))).alias(f"{name}_cut")
             for name, quota in quotas.items()
         ]
     )
-    totals = offsets.groupBy(*group).agg(F.max("__total").alias("total"))
+    totals = known.groupBy(*group).agg(F.max("__total").alias("total"))
     totals = totals.select("*", *[quota(F.col("total")).alias(f"{name}_n") for name, quota in quotas.items()])
     if not group:
         return totals.crossJoin(cuts)  # one row each
@@ -112,51 +114,56 @@ def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return cut_lineage(df)
 
 
-def order_statistics(df: DataFrame, group: list[str], value: str, wanted: DataFrame, buckets: int = 4096) -> DataFrame:
+def order_statistics(
+    df: DataFrame, group: list[str], value: str, positions: Callable[[Column], dict[str, Column]], buckets: int = 4096, extra: DataFrame | None = None
+) -> DataFrame:
     """The values at given 0-based positions of each group's sorted values, without sorting.
 
-    `wanted`: group..., name, pos. Each round counts the rows between the two values known
+    Rows with a missing or NaN value, or a missing group, do not count.
+    `positions` names positions from the group's number of values, and from columns of
+    `extra` (one row per group) if given. Each round counts the rows between the two values known
     to enclose a position, in equal-width buckets, and keeps the bucket holding it, until
     one value is left. A round is one scan with a map-side-combined count; even when almost
     all rows share a bucket, or a value, no task gets them.
-    Columns of the result: group..., name, pos, value, before (rows with a smaller value).
+    Columns of the result: group..., name, pos, value, before (rows with a smaller value), total.
     """
-    data = df.select(*group, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
-    span = data.groupBy(*group).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-    start = wanted.join(span, group) if group else wanted.crossJoin(span)
-    names = [*group, "name", "pos", "lo", "hi", "before"]
-    targets = settle(start.withColumn("before", F.lit(0).cast("bigint")).select(*names))
+    data = df.select(*group, F.col(value).alias("__v")).dropna("any")
+    span = data.groupBy(*group).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.count(F.lit(1)).alias("total")).filter("total > 0")
+    if extra is not None:
+        span = span.join(extra, group)
+    places = [F.struct(F.lit(name).alias("name"), pos.cast("bigint").alias("pos")) for name, pos in positions(F.col("total")).items()]
+    names = [*group, "name", "pos", "lo", "hi", "before", "total"]
+    start = span.select(*group, "lo", "hi", "total", F.explode(F.array(*places)).alias("e"))
+    targets = settle(start.select(*group, "e.*", "lo", "hi", "total", F.lit(0).cast("bigint").alias("before")).select(*names))
     while not targets.filter(F.col("lo") < F.col("hi")).isEmpty():
         open_ones = targets.filter(F.col("lo") < F.col("hi"))
         inside = data.join(open_ones, group) if group else data.crossJoin(open_ones)
         inside = inside.filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
         share = F.try_divide((F.col("__v") - F.col("lo")).cast("double"), (F.col("hi") - F.col("lo")).cast("double"))
         at = F.when(F.col("__v") == F.col("hi"), buckets).otherwise(
-            F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1))
+            F.least(F.floor(F.nanvl(F.coalesce(share, F.lit(0.0)), F.lit(0.0)) * buckets), F.lit(buckets - 1))
         )
-        counts = inside.groupBy(*group, "name", "pos", "before", at.alias("__b")).agg(
+        counts = inside.groupBy(*group, "name", "pos", "before", "total", at.alias("__b")).agg(
             F.count(F.lit(1)).alias("__n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")
         )
         earlier = Window.partitionBy(*group, "name").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
         placed = counts.withColumn("before", F.col("before") + F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
         found = placed.filter((F.col("before") <= F.col("pos")) & (F.col("pos") < F.col("before") + F.col("__n")))
         targets = settle(targets.filter(F.col("lo") >= F.col("hi")).unionByName(found.select(*names)))
-    return targets.select(*group, "name", "pos", F.col("lo").alias("value"), "before")
+    return targets.select(*group, "name", "pos", F.col("lo").alias("value"), "before", "total")
 
 
 def exact_quantile(df: DataFrame, group: list[str], value: str, q: float, out: str = "quantile") -> DataFrame:
     """Linear-interpolated quantile per group, exact, without a per-group value map or sort."""
-    rows = df.select(*group, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    at = (F.col("n") - 1).cast("double") * F.lit(q)
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-    ends = F.array(F.struct(F.lit("low").alias("name"), F.floor(at).alias("pos")), F.struct(F.lit("high").alias("name"), F.ceil(at).alias("pos")))
-    wanted = sizes.select(*group, F.explode(ends).alias("e")).select(*group, "e.name", "e.pos")
-    found = order_statistics(rows, group, "v", wanted)
-    picked = found.groupBy(*group).agg(
-        F.max(F.when(F.col("name") == "low", F.col("value"))).alias("a"), F.max(F.when(F.col("name") == "high", F.col("value"))).alias("b")
-    )
-    sized = picked.join(settle(sizes), group) if group else picked.crossJoin(settle(sizes))
-    return sized.select(*group, (F.col("a") + (F.col("b") - F.col("a")) * (at - F.floor(at))).alias(out))
+    rows = df.select(*group, F.col(value).cast("double").alias("v"))
+
+    def at(n: Column) -> Column:
+        return (n - 1).cast("double") * F.lit(q)
+
+    found = order_statistics(rows, group, "v", lambda n: {"low": F.floor(at(n)), "high": F.ceil(at(n))})
+    low, high = (F.max(F.when(F.col("name") == name, F.col("value"))) for name in ("low", "high"))
+    part = at(F.max("total")) - F.floor(at(F.max("total")))
+    return found.groupBy(*group).agg((low + (high - low) * part).alias(out))
 
 
 def newest_rows(df: DataFrame, group: str, ts: str, tie: str, n: int) -> DataFrame:
@@ -169,12 +176,10 @@ def newest_rows(df: DataFrame, group: str, ts: str, tie: str, n: int) -> DataFra
         return df.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= n).select(*df.columns)
     rows = df.filter(F.col(group).isNotNull() & F.col(ts).isNotNull())
     age, number = -F.unix_micros(F.col(ts).cast("timestamp")), -F.col(tie)
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("c"))
-    wanted = sizes.select(group, F.lit("cut").alias("name"), (F.least(F.col("c"), F.lit(n)) - 1).alias("pos"))
-    found = order_statistics(rows.select(group, age.alias("age")), [group], "age", wanted)
+    found = order_statistics(rows.select(group, age.alias("age")), [group], "age", lambda c: {"cut": F.least(c, F.lit(n)) - 1})
     cut = settle(found.select(group, F.col("value").alias("__age"), (F.col("pos") - F.col("before")).alias("__more")))
     level = rows.join(cut, group).filter(age == F.col("__age")).select(group, number.alias("number"))
-    ties = order_statistics(level, [group], "number", cut.select(group, F.lit("cut").alias("name"), F.col("__more").alias("pos")))
+    ties = order_statistics(level, [group], "number", lambda c: {"cut": F.col("__more")}, extra=cut.select(group, "__more"))
     last = settle(ties.select(group, F.col("value").alias("__number")))
     joined = rows.join(cut, group).join(last, group)
     return joined.filter((age < F.col("__age")) | ((age == F.col("__age")) & (number <= F.col("__number")))).select(*df.columns)
