@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from flowlark.functions.expr import col, finite, is_attack
 from flowlark.operators.clean import PROVENANCE, numeric_columns
-from flowlark.operators.scale import checked_small, exact_quantile
+from flowlark.operators.scale import exact_quantile, settle
 
 
 def features_of(df: DataFrame) -> list[str]:
@@ -120,10 +120,10 @@ def clipped_histogram(df: DataFrame, feature: str, bins: int = 40) -> DataFrame:
     ).filter(F.col("v").isNotNull())
     tops = exact_quantile(rows, ["side"], "v", 0.99).agg(F.max("quantile").alias("upper"))
     clipped = rows.crossJoin(F.broadcast(tops)).select("side", F.least("v", "upper").alias("v"))  # one row
-    span = clipped.groupBy("side").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    span = settle(clipped.groupBy("side").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")))
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
-    counts = clipped.join(checked_small(span), "side").groupBy("side", at.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    counts = clipped.join(span, "side").groupBy("side", at.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
     return grid.join(counts, ["side", "bin"], "left").select(
         "side", "bin", (F.col("lo") + F.col("bin") * width).alias("left_edge"), F.coalesce("c", F.lit(0)).alias("n_rows"),

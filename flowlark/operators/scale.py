@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlark.session import cut_lineage
 
@@ -127,7 +128,11 @@ def order_statistics(
     all rows share a bucket, or a value, no task gets them.
     Columns of the result: group..., name, pos, value, before (rows with a smaller value), total.
     """
-    data = df.select(*group, F.col(value).alias("__v")).dropna("any")
+    data = df.select(*group, F.col(value).alias("__v"))
+    for name in group:
+        data = data.filter(F.col(name).isNotNull())
+    real = isinstance(data.schema["__v"].dataType, (T.DoubleType, T.FloatType))
+    data = data.filter(F.col("__v") <= float("inf") if real else F.col("__v").isNotNull())  # NaN sorts above infinity
     span = data.groupBy(*group).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.count(F.lit(1)).alias("total")).filter("total > 0")
     if extra is not None:
         span = span.join(extra, group)
