@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlark.llm.fertility import fertility
+from flowlark.llm.bpe import encode_decode
+from flowlark.llm.fertility import fertility, vocabulary_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +17,10 @@ def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_fertility": op8_fertility}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document through a public vocabulary and back, as digests of ids and decoded text."""
+    return encode_decode(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), ["ids_sha256", "decoded_sha256"])
+
+
+QUERIES = {"op8_fertility": op8_fertility, "op9_bpe": op9_bpe}
 CHECKS: dict[str, str] = {}
