@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from flowlark.llm import sql
 from flowlark.llm.bpe import encode_decode
+from flowlark.llm.chat import preference_format, preference_pairs
 from flowlark.llm.fertility import fertility, vocabulary_path
+from flowlark.llm.warc import derived_records, responses_of_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,5 +25,20 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), ["ids_sha256", "decoded_sha256"])
 
 
-QUERIES = {"op8_fertility": op8_fertility, "op9_bpe": op9_bpe}
-CHECKS: dict[str, str] = {}
+def spans_text(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
+
+
+def op1_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference pairs of all conversations, formatted; spans as text."""
+    out = preference_format(preference_pairs(table(spark, sf_dir, "conversations")))
+    return out.withColumns({c: spans_text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
+def op2_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    return derived_records(responses_of_pages(table(spark, sf_dir, "pages")))
+
+
+QUERIES = {"op1_preference": op1_preference, "op2_derivatives": op2_derivatives, "op8_fertility": op8_fertility, "op9_bpe": op9_bpe}
+CHECKS: dict[str, str] = {"op1_preference": sql.OP1, "op2_derivatives": sql.OP2}
