@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from flowlark.llm import sql
 from flowlark.llm.bpe import encode_decode
 from flowlark.llm.chat import preference_format, preference_pairs
+from flowlark.llm.decontaminate import contaminated
 from flowlark.llm.fertility import fertility, vocabulary_path
 from flowlark.llm.warc import derived_records, responses_of_pages
 
@@ -40,5 +41,10 @@ def op2_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived_records(responses_of_pages(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"op1_preference": op1_preference, "op2_derivatives": op2_derivatives, "op8_fertility": op8_fertility, "op9_bpe": op9_bpe}
-CHECKS: dict[str, str] = {"op1_preference": sql.OP1, "op2_derivatives": sql.OP2}
+def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {q.__name__: q for q in (op1_preference, op2_derivatives, op6_spaced_seeds, op8_fertility, op9_bpe)}
+CHECKS: dict[str, str] = {"op1_preference": sql.OP1, "op2_derivatives": sql.OP2, "op6_spaced_seeds": sql.OP6}

@@ -71,3 +71,18 @@ SELECT record_id, warc_type, source_id, rid AS refers_to, uri AS refers_to_targe
     'WARC-Refers-To-Target-URI: ' || uri, 'WARC-Refers-To-Date: ' || d, 'WARC-Block-Digest: ' || block_digest, 'Content-Type: ' || content_type,
     'Content-Length: ' || content_length, {_CRLF}], {_CRLF}) AS header
 FROM l"""
+
+
+_TOKENS = "trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+OP6 = f"""
+WITH d AS (SELECT doc_id, string_split({_TOKENS}, ' ') AS ws FROM documents WHERE {_TOKENS} <> ''),
+b AS (SELECT item_id, string_split({_TOKENS}, ' ') AS ws FROM benchmark WHERE {_TOKENS} <> ''),
+dt AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+bt AS (SELECT item_id, len(ws) AS n, least(20, len(ws)) AS w, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM b),
+m AS (SELECT doc_id, item_id, n, w, i - j AS start, j FROM dt JOIN bt USING (word)),
+a AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, start) AS n_aligned FROM m
+      QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, start) >= w - w // 10),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, start ORDER BY j RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS inside FROM a),
+e AS (SELECT doc_id, item_id, start, max(n) AS n, max(w) AS w, max(inside) AS best, max(n_aligned) AS n_aligned FROM c GROUP BY ALL HAVING max(inside) >= max(w) - max(w) // 10)
+SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS item_tokens, CAST(max(best) AS BIGINT) AS best_matched, CAST(max(n_aligned) AS BIGINT) AS n_aligned, count(*) AS n_places
+FROM e GROUP BY doc_id, item_id"""
