@@ -9,6 +9,7 @@ from flowlark.llm.bpe import encode_decode
 from flowlark.llm.chat import preference_format, preference_pairs
 from flowlark.llm.decontaminate import contaminated
 from flowlark.llm.fertility import fertility, vocabulary_path
+from flowlark.llm.substring import without_repeats
 from flowlark.llm.warc import derived_records, responses_of_pages
 
 
@@ -46,5 +47,10 @@ def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {q.__name__: q for q in (op1_preference, op2_derivatives, op6_spaced_seeds, op8_fertility, op9_bpe)}
-CHECKS: dict[str, str] = {"op1_preference": sql.OP1, "op2_derivatives": sql.OP2, "op6_spaced_seeds": sql.OP6}
+def op7_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without word windows that a smaller one holds."""
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_preference, op2_derivatives, op6_spaced_seeds, op7_super_kmers, op8_fertility, op9_bpe)}
+CHECKS: dict[str, str] = {"op1_preference": sql.OP1, "op2_derivatives": sql.OP2, "op6_spaced_seeds": sql.OP6, "op7_super_kmers": sql.OP7}

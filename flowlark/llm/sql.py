@@ -86,3 +86,15 @@ c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, start ORDER BY j RA
 e AS (SELECT doc_id, item_id, start, max(n) AS n, max(w) AS w, max(inside) AS best, max(n_aligned) AS n_aligned FROM c GROUP BY ALL HAVING max(inside) >= max(w) - max(w) // 10)
 SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS item_tokens, CAST(max(best) AS BIGINT) AS best_matched, CAST(max(n_aligned) AS BIGINT) AS n_aligned, count(*) AS n_places
 FROM e GROUP BY doc_id, item_id"""
+
+OP7 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM d WHERE len(ws) >= 13),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS win FROM w),
+m AS (SELECT win, min(doc_id) AS least FROM k GROUP BY win HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM k JOIN m USING (win) WHERE least < doc_id),
+r AS (SELECT doc_id, list(j) AS gone FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN array_to_string(ws, ' ')
+    ELSE array_to_string(list_filter(ws, lambda x, p: NOT list_contains(gone, p)), ' ') END) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)"""
