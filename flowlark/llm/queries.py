@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowlark.llm import sql
+from flowlark.llm import sql, suffix
 from flowlark.llm.bpe import encode_decode
 from flowlark.llm.chat import preference_format, preference_pairs
 from flowlark.llm.decontaminate import contaminated
@@ -42,6 +42,11 @@ def op2_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived_records(responses_of_pages(table(spark, sf_dir, "pages")))
 
 
+def op3_bucket_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without byte strings that a smaller one holds."""
+    return suffix.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -52,5 +57,5 @@ def op7_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_preference, op2_derivatives, op6_spaced_seeds, op7_super_kmers, op8_fertility, op9_bpe)}
-CHECKS: dict[str, str] = {"op1_preference": sql.OP1, "op2_derivatives": sql.OP2, "op6_spaced_seeds": sql.OP6, "op7_super_kmers": sql.OP7}
+QUERIES = {q.__name__: q for q in (op1_preference, op2_derivatives, op3_bucket_pointers, op6_spaced_seeds, op7_super_kmers, op8_fertility, op9_bpe)}
+CHECKS: dict[str, str] = {"op1_preference": sql.OP1, "op2_derivatives": sql.OP2, "op3_bucket_pointers": sql.OP3, "op6_spaced_seeds": sql.OP6, "op7_super_kmers": sql.OP7}

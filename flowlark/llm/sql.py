@@ -98,3 +98,16 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) A
   sha256(CASE WHEN gone IS NULL THEN array_to_string(ws, ' ')
     ELSE array_to_string(list_filter(ws, lambda x, p: NOT list_contains(gone, p)), ' ') END) AS kept_sha256
 FROM d LEFT JOIN r USING (doc_id)"""
+
+OP3 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, i, substring(h, 2 * i - 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM d WHERE length(h) >= 100)),
+m AS (SELECT win, min(doc_id) AS least FROM k GROUP BY win HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM k JOIN m USING (win) WHERE least < doc_id),
+s AS (SELECT doc_id, j, lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS before FROM g),
+n AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < j - 1) AS n_spans FROM s GROUP BY doc_id),
+b AS (SELECT doc_id, j, substring(h, 2 * j - 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS j FROM d)),
+r AS (SELECT doc_id, string_agg(x, '' ORDER BY j) AS x FROM b ANTI JOIN g USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(x, ''))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id)"""

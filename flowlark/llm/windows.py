@@ -178,12 +178,13 @@ class Bucket:
         return pa.RecordBatch.from_pydict({"doc_id": ids.astype(np.int64), "tag": tags.astype(np.int32), "start": start.astype(np.int32), "n": n.astype(np.int32)})
 
 
-def repeated_runs(rows: DataFrame, cut: Callable, least_documents: Callable, expansion: float) -> DataFrame:
+def repeated_runs(rows: DataFrame, cut: Callable, least_documents: Callable, expansion: float, block_bytes: int = 2 * BLOCK_BYTES) -> DataFrame:
     """doc_id, tag, start, n: windows start ... start + n - 1 of a row also start in a smaller document.
 
     rows: as `numbered` gives them; rows with a null doc_id take no part. cut: strings of a text
     column with their minimiser's place and hash, text and first window; least_documents: for each
-    window of the different strings the least document. expansion: bytes shipped per byte of text.
+    window of the different strings the least document. expansion: bytes shipped per byte of text;
+    block_bytes: bytes of text that a task cuts at a time.
     """
     spark = rows.sparkSession
     whole = rows.where("doc_id IS NOT NULL")
@@ -193,7 +194,7 @@ def repeated_runs(rows: DataFrame, cut: Callable, least_documents: Callable, exp
 
     def send(batches):
         part, number = TaskContext.get().partitionId() << 32, 0
-        for block in blocks(batches, 2 * BLOCK_BYTES):
+        for block in blocks(batches, block_bytes):
             for row in shipped(block, cut, buckets, part + number):
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int8(), pa.int64(), pa.binary()))], names=["bucket", "kind", "block", "payload"])
             number += 1
