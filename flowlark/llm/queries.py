@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlark.llm import sql, suffix
+from flowlark.llm.bagminhash import near_duplicates
 from flowlark.llm.bpe import encode_decode
 from flowlark.llm.chat import preference_format, preference_pairs
 from flowlark.llm.decontaminate import contaminated
@@ -47,6 +48,11 @@ def op3_bucket_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -57,5 +63,5 @@ def op7_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_preference, op2_derivatives, op3_bucket_pointers, op6_spaced_seeds, op7_super_kmers, op8_fertility, op9_bpe)}
+QUERIES = {q.__name__: q for q in (op1_preference, op2_derivatives, op3_bucket_pointers, op5_bagminhash, op6_spaced_seeds, op7_super_kmers, op8_fertility, op9_bpe)}
 CHECKS: dict[str, str] = {"op1_preference": sql.OP1, "op2_derivatives": sql.OP2, "op3_bucket_pointers": sql.OP3, "op6_spaced_seeds": sql.OP6, "op7_super_kmers": sql.OP7}
