@@ -204,15 +204,16 @@ def refused(m: dict[str, np.ndarray], k: int, bands: dict[str, Band]) -> np.ndar
 
 
 def fertility(
-    docs: DataFrame, paths: list[str] | None = None, bands: list[dict[str, Band]] | None = None, least_words: int = 50, most_repeated: int = 50
+    docs: DataFrame, paths: list[str] | None = None, bands: list[dict[str, Band]] | None = None, least_words: int = 50, most_repeated: int = 50, keep: list[str] | None = None
 ) -> DataFrame:
     """Measures and verdict of each row of docs (doc_id, text); every text is read whole.
 
     paths: vocabulary files (.model or .tiktoken), by default a piece and a byte vocabulary.
     bands: one mapping from script to Band for each vocabulary, as BANDS. A text fails the base rules with fewer than `least_words` words,
     or when more than `most_repeated` percent of its words lie in repeated windows of three.
-    A null text counts as an empty one and fails; a null doc_id stays null; repeated rows give
-    repeated results; other columns are not looked at; an empty table gives an empty result.
+    keep: further columns of docs to pass on, with the text. A null text counts as an empty one and
+    fails; a null doc_id stays null; repeated rows give repeated results; other columns are not looked
+    at, and those to keep must not have the name of a result; an empty table gives an empty result.
     """
     paths = paths or [vocabulary_path(PIECES), vocabulary_path(RANKS)]
     bands = bands or BANDS
@@ -220,6 +221,8 @@ def fertility(
     vocab = "".join(f", n_tokens_{k} long, chars_per_token_{k} double, byte_share_{k} double, entropy_{k} double" for k in range(len(paths)))
     schema = f"doc_id long, {measures}, script string{vocab}, base_failed boolean, kept boolean"
     names = [x.split()[0] for x in schema.split(", ")]
+    passed = ["text", *keep] if keep else []
+    schema += "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in passed)
 
     def run(batches):
         for block in blocks(batches, 2 * BLOCK_BYTES):
@@ -229,6 +232,8 @@ def fertility(
             for k in range(len(paths)):
                 out |= refused(m, k, bands[k])
             m |= {"doc_id": block.column(0), "base_failed": base, "kept": ~out, "script": np.array(SCRIPTS)[m["script"]]}
-            yield pa.RecordBatch.from_pydict({n: m[n] for n in names})
+            kept = {k: block.column(block.schema.get_field_index(k)) for k in passed}
+            yield pa.RecordBatch.from_pydict({n: m[n] for n in names} | kept)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(k) for k in keep or [])]
+    return docs.select(*columns).mapInArrow(run, schema)

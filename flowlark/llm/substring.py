@@ -83,18 +83,19 @@ def least_exactly(windows: list[bytes], values: np.ndarray) -> np.ndarray:
     return out
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Each row of docs (doc_id, text) without the words that lie in a window of `window` words which
     also starts in a document with a smaller doc_id.
 
     Words are runs of bytes other than ASCII white space; windows are judged on the texts as given.
     Result: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by a space), and with
-    `texts` the kept words (`kept_text`) and the given `text`. A null text has no words. Rows with a
+    `texts` the kept words (`kept_text`) and the given `text`; `keep` passes further columns on. A null text has no words. Rows with a
     null doc_id are kept whole and remove nothing elsewhere. Rows that repeat a doc_id are the same
     document: neither removes from the other. Other columns are not looked at; an empty table gives
     an empty result.
     """
-    rows = numbered(docs)
+    keep = keep or []
+    rows = numbered(docs, keep)
 
     def cut(column: pa.Array) -> tuple:
         return super_kmers(column, window)
@@ -104,6 +105,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False)
 
     runs = repeated_runs(rows, cut, least, 3.2)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, text string" * texts
+    schema += "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
 
     def apply(batches) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):
@@ -113,6 +115,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False)
             words = pieces(bytes_, starts, ends, pa.binary()).to_pylist()
             kept = [b" ".join([w for w, g in zip(words[a:b], gone[a:b].tolist()) if not g]) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist())]
             out = {"doc_id": block.column(0), "n_words": np.diff(firsts), "n_removed": sums(gone, firsts), "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
-            yield pa.RecordBatch.from_pydict(out | ({"kept_text": [k.decode() for k in kept], "text": block.column(1)} if texts else {}))
+            more = {"kept_text": [k.decode() for k in kept], "text": block.column(1)} if texts else {}
+            yield pa.RecordBatch.from_pydict(out | more | {k: block.column(block.schema.get_field_index(k)) for k in keep})
 
     return with_runs(rows, runs).mapInArrow(apply, schema)

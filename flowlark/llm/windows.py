@@ -26,21 +26,22 @@ PACKED = "bucket int, kind byte, block long, payload binary"
 RUNS = "doc_id long, tag int, start int, n int"
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, text: tag tells rows apart that repeat a doc_id (0 where none does)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def numbered(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, tag, text and the columns to keep: tag tells rows apart that repeat a doc_id (0 where none does)."""
+    keep = keep or []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     repeats = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if repeats.isEmpty():
-        return rows.select("doc_id", F.lit(0).alias("tag"), "text")
+        return rows.select("doc_id", F.lit(0).alias("tag"), "text", *keep)
     # Rows alike in both columns have the same fate, so their order does not matter.
     often = repeats.select(F.col("doc_id").alias("again"))
     marked = rows.join(often, rows["doc_id"] == often["again"], "left")
-    single = marked.where("again IS NULL").select("doc_id", F.lit(0).alias("tag"), "text")
+    single = marked.where("again IS NULL").select("doc_id", F.lit(0).alias("tag"), "text", *keep)
     texts = marked.where("again IS NOT NULL").select("doc_id", "text").distinct()
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
     tags = texts.select(F.col("doc_id").alias("d"), F.col("text").alias("t"), F.row_number().over(order).alias("tag"))
     several = marked.where("again IS NOT NULL").join(tags, (F.col("doc_id") == F.col("d")) & F.col("text").eqNullSafe(F.col("t")))
-    return single.unionByName(several.select("doc_id", "tag", "text"))
+    return single.unionByName(several.select("doc_id", "tag", "text", *keep))
 
 
 def packed(*arrays: np.ndarray | bytes) -> bytes:
@@ -187,7 +188,7 @@ def repeated_runs(rows: DataFrame, cut: Callable, least_documents: Callable, exp
     block_bytes: bytes of text that a task cuts at a time.
     """
     spark = rows.sparkSession
-    whole = rows.where("doc_id IS NOT NULL")
+    whole = rows.where("doc_id IS NOT NULL").select("doc_id", "tag", "text")
     size = whole.select(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(tasks, math.ceil(size * expansion / BUCKET_BYTES))
@@ -210,7 +211,7 @@ def with_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Every row with the arrays of its runs; one row for each row given."""
     runs = runs.select("doc_id", "tag", F.struct("start", "n").alias("run")).groupBy("doc_id", "tag").agg(F.collect_list("run").alias("runs"))
     runs = runs.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), F.col("runs.start").alias("starts"), F.col("runs.n").alias("lengths"))
-    return rows.join(runs.hint("shuffle_hash"), (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")), "left").select("doc_id", "text", "starts", "lengths")
+    return rows.join(runs.hint("shuffle_hash"), (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")), "left").drop("d", "t", "tag")
 
 
 def covered(block: pa.RecordBatch, firsts: np.ndarray, reach: int) -> np.ndarray:
