@@ -9,7 +9,8 @@ from flowlark.llm.bagminhash import near_duplicates
 from flowlark.llm.bpe import encode_decode
 from flowlark.llm.chat import preference_format, preference_pairs
 from flowlark.llm.decontaminate import contaminated
-from flowlark.llm.fertility import fertility, vocabulary_path
+from flowlark.llm.fertility import RANKS, fertility, vocabulary_path
+from flowlark.llm.lm_score import lm_scores
 from flowlark.llm.substring import without_repeats
 from flowlark.llm.warc import derived_records, responses_of_pages
 
@@ -48,6 +49,11 @@ def op3_bucket_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document, beside the word unigram base."""
+    return lm_scores(table(spark, sf_dir, "documents"), vocabulary_path(RANKS))
+
+
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -63,5 +69,5 @@ def op7_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_preference, op2_derivatives, op3_bucket_pointers, op5_bagminhash, op6_spaced_seeds, op7_super_kmers, op8_fertility, op9_bpe)}
+QUERIES = {q.__name__: q for q in (op1_preference, op2_derivatives, op3_bucket_pointers, op4_attention, op5_bagminhash, op6_spaced_seeds, op7_super_kmers, op8_fertility, op9_bpe)}
 CHECKS: dict[str, str] = {"op1_preference": sql.OP1, "op2_derivatives": sql.OP2, "op3_bucket_pointers": sql.OP3, "op6_spaced_seeds": sql.OP6, "op7_super_kmers": sql.OP7}

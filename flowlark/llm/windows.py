@@ -27,20 +27,21 @@ RUNS = "doc_id long, tag int, start int, n int"
 
 
 def numbered(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, tag, text and the columns to keep: tag tells rows apart that repeat a doc_id (0 where none does)."""
+    """doc_id, tag, text and the columns to keep: tag tells texts apart that repeat a doc_id, or have none (0 elsewhere)."""
     keep = keep or []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
-    repeats = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    repeats = rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
     if repeats.isEmpty():
         return rows.select("doc_id", F.lit(0).alias("tag"), "text", *keep)
-    # Rows alike in both columns have the same fate, so their order does not matter.
-    often = repeats.select(F.col("doc_id").alias("again"))
-    marked = rows.join(often, rows["doc_id"] == often["again"], "left")
-    single = marked.where("again IS NULL").select("doc_id", F.lit(0).alias("tag"), "text", *keep)
-    texts = marked.where("again IS NOT NULL").select("doc_id", "text").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    tags = texts.select(F.col("doc_id").alias("d"), F.col("text").alias("t"), F.row_number().over(order).alias("tag"))
-    several = marked.where("again IS NOT NULL").join(tags, (F.col("doc_id") == F.col("d")) & F.col("text").eqNullSafe(F.col("t")))
+    often = repeats.select(F.col("doc_id").alias("again"), F.lit(True).alias("often"))
+    marked = rows.join(often, rows["doc_id"].eqNullSafe(often["again"]), "left")
+    single = marked.where("often IS NULL").select("doc_id", F.lit(0).alias("tag"), "text", *keep)
+    # Rows alike in both columns have the same fate and the same tag. A tag is a hash of the text, so no
+    # repeated id needs its texts in one place; texts of one id that agree in it are told apart by order.
+    several = marked.where("often").withColumn("h", F.abs(F.xxhash64("text") % (1 << 30)).cast("int"))
+    order = Window.partitionBy("doc_id", "h").orderBy(F.col("text").asc_nulls_first())
+    tags = several.select("doc_id", "h", "text").distinct().select(F.col("doc_id").alias("d"), F.col("text").alias("t"), (F.col("h") + F.row_number().over(order)).alias("tag"))
+    several = several.join(tags, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text").eqNullSafe(F.col("t")))
     return single.unionByName(several.select("doc_id", "tag", "text", *keep))
 
 
