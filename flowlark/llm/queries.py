@@ -12,6 +12,7 @@ from flowlark.llm.decontaminate import contaminated
 from flowlark.llm.fertility import RANKS, fertility, vocabulary_path
 from flowlark.llm.lm_score import lm_scores
 from flowlark.llm.substring import without_repeats
+from flowlark.llm.toxicity import toxicity
 from flowlark.llm.warc import derived_records, responses_of_pages
 
 
@@ -69,5 +70,10 @@ def op7_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_preference, op2_derivatives, op3_bucket_pointers, op4_attention, op5_bagminhash, op6_spaced_seeds, op7_super_kmers, op8_fertility, op9_bpe)}
+def op10_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {q.__name__: q for q in (op1_preference, op2_derivatives, op3_bucket_pointers, op4_attention, op5_bagminhash, op6_spaced_seeds, op7_super_kmers, op8_fertility, op9_bpe, op10_recurrent)}
 CHECKS: dict[str, str] = {"op1_preference": sql.OP1, "op2_derivatives": sql.OP2, "op3_bucket_pointers": sql.OP3, "op6_spaced_seeds": sql.OP6, "op7_super_kmers": sql.OP7}
