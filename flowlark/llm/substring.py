@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowlark.llm.text import BLOCK_BYTES, blocks, coded, mixed, owners, pieces, raw_bytes, sums, word_hashes, word_ranges
-from flowlark.llm.windows import covered, minimiser_runs, numbered, repeated_runs, with_runs
+from flowlark.llm.windows import Cut, covered, minimiser_runs, numbered, repeated_runs, with_runs
 
 WINDOW = 13
 #: Words of a minimiser.
@@ -26,7 +26,7 @@ def gram_hashes(words: np.ndarray, gram: int) -> np.ndarray:
     return total
 
 
-def super_kmers(texts: pa.Array, window: int = WINDOW, gram: int = GRAM) -> tuple:
+def super_kmers(texts: pa.Array, window: int = WINDOW, gram: int = GRAM) -> Cut:
     """Packed strings: the words of consecutive windows with one minimiser, joined by a space."""
     bytes_, begins = raw_bytes(texts)
     starts, ends, firsts = word_ranges(bytes_, begins)
@@ -40,8 +40,11 @@ def super_kmers(texts: pa.Array, window: int = WINDOW, gram: int = GRAM) -> tupl
     plain = np.full(int(at[-1]), 32, np.uint8)
     plain[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(starts)), lengths)] = bytes_[np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(int(lengths.sum()))] if len(starts) else 0
     raw = plain.tobytes()
-    strings = [raw[a:b] for a, b in zip(at[first].tolist(), (at[first + n + window - 1] - 1).tolist())]
-    return strings, (place - first).astype(np.int32), order[place], doc[first], first - firsts[doc[first]]
+
+    def strings(some: np.ndarray) -> list[bytes]:
+        return [raw[a:b] for a, b in zip(at[first[some]].tolist(), (at[(first + n)[some] + window - 1] - 1).tolist())]
+
+    return Cut(order[place], (place - first).astype(np.int32), doc[first], first - firsts[doc[first]], strings)
 
 
 def least_by_sorting(strings: list[bytes], marks: np.ndarray, least: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +100,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False,
     keep = keep or []
     rows = numbered(docs, keep)
 
-    def cut(column: pa.Array) -> tuple:
+    def cut(column: pa.Array) -> Cut:
         return super_kmers(column, window)
 
     def least(strings: list[bytes], marks: np.ndarray, docs_: np.ndarray) -> tuple:

@@ -1,16 +1,21 @@
 """Windows of a text that also stand in a document with a smaller id.
 
 Consecutive windows that share a minimiser travel as one packed string to the bucket of
-that minimiser, so equal windows meet whatever document they are in. A block of documents
-ships each different string once, with the least document id that holds it; who else holds
-it follows in rows that are read after all strings of the bucket are known. What a task
-keeps is therefore bounded by the different strings of one bucket, however often one occurs.
+that minimiser, so equal windows meet whatever document they are in. A minimiser that only
+one document has cannot hold a repeated window; hashes of the minimisers are counted first,
+and only strings of those that two documents have travel.
+
+A block of documents ships each different hash or string once, with the least document id
+that holds it; who else holds it follows in rows that are read after all hashes or strings of
+the bucket are known. What a task keeps is therefore bounded by the different strings of one
+bucket and block, however often one occurs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,16 +50,29 @@ def numbered(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return single.unionByName(several.select("doc_id", "tag", "text", *keep))
 
 
+@dataclass
+class Cut:
+    """Packed strings of some texts: hash and place of the minimiser of each, the text it is from, its first
+    window there, and how to make the strings themselves."""
+
+    hashes: np.ndarray
+    marks: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    strings: Callable[[np.ndarray], list[bytes]]
+
+
 def packed(*arrays: np.ndarray | bytes) -> bytes:
-    parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
+    """The arrays in one compressed piece; numbers byte by byte, as their high bytes are much alike."""
+    parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
     return zstandard.ZstdCompressor(level=3).compress(np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts))
 
 
 def unpacked(payload: bytes, *kinds) -> list:
     raw = zstandard.ZstdDecompressor().decompress(payload)
-    ends = np.cumsum(np.frombuffer(raw, np.int64, len(kinds))) + 8 * len(kinds)
-    starts = [8 * len(kinds), *ends[:-1].tolist()]
-    return [raw[a:b] if k is bytes else np.frombuffer(raw[a:b], k) for k, a, b in zip(kinds, starts, ends.tolist())]
+    ends = (np.cumsum(np.frombuffer(raw, np.int64, len(kinds))) + 8 * len(kinds)).tolist()
+    parts = zip(kinds, [8 * len(kinds), *ends[:-1]], ends)
+    return [raw[a:b] if k is bytes else np.ascontiguousarray(np.frombuffer(raw[a:b], np.uint8).reshape(np.dtype(k).itemsize, -1).T).view(k).ravel() for k, a, b in parts]
 
 
 def minimiser_runs(order: np.ndarray, windows: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,43 +101,97 @@ def minimiser_runs(order: np.ndarray, windows: np.ndarray, reach: int) -> tuple[
     return starts, np.flatnonzero(closes) + 1 - starts, place[starts]
 
 
-def shipped(block: pa.RecordBatch, cut: Callable, buckets: int, number: int) -> Iterator[tuple]:
-    """The rows of a block: for each bucket its different strings, and after them who holds them."""
+def sightings(block: pa.RecordBatch, cut: Callable, buckets: int, number: int) -> Iterator[tuple]:
+    """For each bucket the different minimisers of a block with the least and greatest document, then who has them."""
     ids, tags = (block.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-    strings, marks, hashes, doc, start = cut(block.column(2))
-    if not len(strings):
+    found = cut(block.column(2))
+    order = np.argsort(found.hashes, kind="stable")
+    h, doc, start = found.hashes[order], found.doc[order], found.start[order]
+    if not len(h):
+        return
+    heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    many = np.diff(np.r_[heads, len(h)])
+    least, most = (f.reduceat(ids[doc], heads) for f in (np.minimum, np.maximum))
+    bucket, short = (h[heads] % np.uint64(buckets)).astype(np.int64), (h[heads] // np.uint64(buckets)).astype(np.uint32)
+    by = np.lexsort((least, bucket))
+    stops = np.searchsorted(bucket[by], np.unique(bucket), "right")
+    for mine in np.split(by, stops[:-1]):
+        yield int(bucket[mine[0]]), 0, number, packed(short[mine], np.diff(least[mine], prepend=0), most[mine] - least[mine])
+        own = np.repeat(heads[mine] - (np.cumsum(many[mine]) - many[mine]), many[mine]) + np.arange(many[mine].sum())
+        yield int(bucket[mine[0]]), 1, number, packed(many[mine].astype(np.int32), ids[doc[own]] - np.repeat(least[mine], many[mine]), tags[doc[own]].astype(np.int32), start[own].astype(np.int32))
+
+
+class Sightings:
+    """The minimisers of a bucket, and which of them two documents have."""
+
+    def __init__(self, bucket: int):
+        self.bucket, self.blocks, self.shared = bucket, {}, None
+
+    def take(self, number: int, payload: bytes) -> None:
+        short, least, more = unpacked(payload, np.uint32, np.int64, np.int64)
+        least = np.cumsum(least)
+        self.blocks[number] = short, least, least + more
+
+    def answer(self, number: int, payload: bytes) -> pa.RecordBatch | None:
+        if self.shared is None:
+            short, least, most = (np.concatenate(x) for x in zip(*self.blocks.values()))
+            _, group = np.unique(short, return_inverse=True)
+            low, high = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
+            np.minimum.at(low, group, least)
+            np.maximum.at(high, group, most)
+            stops = np.cumsum([len(x[0]) for x in self.blocks.values()])
+            self.shared = dict(zip(self.blocks, np.split((low < high)[group], stops[:-1])))
+        many, more, tags, start = unpacked(payload, np.int32, np.int64, np.int32, np.int32)
+        least, on = np.repeat(self.blocks[number][1], many), np.repeat(self.shared[number], many)
+        if not on.any():
+            return None
+        return pa.RecordBatch.from_pydict({"doc_id": (least + more)[on], "tag": tags[on], "start": start[on]})
+
+
+def shipped(block: pa.RecordBatch, cut: Callable, buckets: int, number: int) -> Iterator[tuple]:
+    """The rows of a block: for each bucket its different strings, and after them who holds them.
+    Column `wanted` has the first windows of the strings to ship."""
+    some = block.filter(block.column(block.schema.get_field_index("wanted")).is_valid())
+    ids, tags = (some.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    found = cut(some.column(2))
+    wanted = some.column(some.schema.get_field_index("wanted"))
+    many = wanted.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    width = int(found.start.max()) + 1 if len(found.start) else 1
+    listed = np.repeat(np.arange(len(many)), many) * width + wanted.flatten().to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(np.isin(found.doc * width + found.start, listed))
+    if not len(at):
         return
+    strings, marks, hashes, doc, start = found.strings(at), found.marks[at], found.hashes[at], found.doc[at], found.start[at]
     code: dict[bytes, int] = {}
     which = np.fromiter((code.setdefault(s, len(code)) for s in strings), np.int64, len(strings))
     first = np.unique(which, return_index=True)[1]
     distinct = list(code)
     least = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(least, which, ids[doc])
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket[first], kind="stable")
+    bucket = (hashes[first] % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     held = np.argsort(place[which], kind="stable")
-    found, from_ = np.unique(bucket[first][order], return_index=True)
-    bounds = np.r_[from_, len(order)]
-    held_bounds = np.searchsorted(place[which][held], bounds)
-    for k, b in enumerate(found.tolist()):
-        mine = order[bounds[k] : bounds[k + 1]]
+    by = place[which][held]
+    for b in np.unique(bucket).tolist():
+        lo, hi = np.searchsorted(bucket[order], [b, b + 1])
+        mine = order[lo:hi]
         texts = [distinct[i] for i in mine.tolist()]
         lengths = np.fromiter(map(len, texts), np.int32, len(texts))
         yield b, 0, number, packed(b"".join(texts), lengths, marks[first[mine]], least[mine])
-        own = held[held_bounds[k] : held_bounds[k + 1]]
-        yield b, 1, number, packed((place[which[own]] - bounds[k]).astype(np.int32), ids[doc[own]], tags[doc[own]].astype(np.int32), start[own].astype(np.int32))
+        own = held[slice(*np.searchsorted(by, [lo, hi]))]
+        yield b, 1, number, packed((place[which[own]] - lo).astype(np.int32), ids[doc[own]], tags[doc[own]].astype(np.int32), start[own].astype(np.int32))
 
 
-def met(rows: Iterator[pa.RecordBatch], least_documents: Callable) -> Iterator[pa.RecordBatch]:
-    """Runs of windows found in a smaller document, for the sorted rows of some buckets."""
+def met(rows: Iterator[pa.RecordBatch], bucket_of: Callable) -> Iterator[pa.RecordBatch]:
+    """What the buckets answer, from their sorted rows: first all that is to be known, then who asks."""
     state = None
     for batch in rows:
         columns = [c.to_numpy(zero_copy_only=False) if i < 3 else c for i, c in enumerate(batch.columns)]
         for bucket, kind, number, payload in zip(*columns[:3], columns[3]):
             if state is None or state.bucket != bucket:
-                state = Bucket(bucket, least_documents)
+                state = bucket_of(bucket)
             if kind == 0:
                 state.take(number, payload.as_py())
             elif (out := state.answer(number, payload.as_py())) is not None:
@@ -180,39 +252,50 @@ class Bucket:
         return pa.RecordBatch.from_pydict({"doc_id": ids.astype(np.int64), "tag": tags.astype(np.int32), "start": start.astype(np.int32), "n": n.astype(np.int32)})
 
 
-def repeated_runs(rows: DataFrame, cut: Callable, least_documents: Callable, expansion: float, block_bytes: int = 2 * BLOCK_BYTES) -> DataFrame:
-    """doc_id, tag, start, n: windows start ... start + n - 1 of a row also start in a smaller document.
+def exchanged(rows: DataFrame, send: Callable, bucket_of: Callable, buckets: int, block_bytes: int, schema: str) -> DataFrame:
+    """Rows that `send` makes of blocks, brought together by bucket and answered."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    rows: as `numbered` gives them; rows with a null doc_id take no part. cut: strings of a text
-    column with their minimiser's place and hash, text and first window; least_documents: for each
-    window of the different strings the least document. expansion: bytes shipped per byte of text;
-    block_bytes: bytes of text that a task cuts at a time.
-    """
-    spark = rows.sparkSession
-    whole = rows.where("doc_id IS NOT NULL").select("doc_id", "tag", "text")
-    size = whole.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(tasks, math.ceil(size * expansion / BUCKET_BYTES))
-
-    def send(batches):
+    def out(batches):
         part, number = TaskContext.get().partitionId() << 32, 0
         for block in blocks(batches, block_bytes):
-            for row in shipped(block, cut, buckets, part + number):
+            for row in send(block, buckets, part + number):
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int8(), pa.int64(), pa.binary()))], names=["bucket", "kind", "block", "payload"])
             number += 1
 
-    def meet(batches):
-        return met(batches, least_documents)
+    def back(batches):
+        return met(batches, bucket_of)
+
+    return rows.mapInArrow(out, PACKED).repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind", "block").mapInArrow(back, schema)
+
+
+def repeated_runs(rows: DataFrame, cut: Callable, least_documents: Callable, expansion: float, block_bytes: int = 2 * BLOCK_BYTES) -> DataFrame:
+    """doc_id, tag, start, n: windows start ... start + n - 1 of a row also start in a smaller document.
+
+    rows: as `numbered` gives them; rows with a null doc_id take no part. cut: the Cut of a text
+    column; least_documents: for each window of the different strings the least document.
+    expansion: bytes of packed strings per byte of text; block_bytes: bytes of text cut at a time.
+    """
+    size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size * expansion / BUCKET_BYTES))
+    known = rows.where("doc_id IS NOT NULL").select("doc_id", "tag", "text")
+    seen = exchanged(known, lambda b, n, k: sightings(b, cut, n, k), Sightings, max(1, buckets // 4), block_bytes, "doc_id long, tag int, start int")
+    wanted = seen.groupBy("doc_id", "tag").agg(F.collect_list("start").alias("wanted"))
+    # The same join, on the same side, as in with_runs: Spark shuffles the texts once for both.
+    asked = with_lists(rows, wanted).select("doc_id", "tag", "text", "wanted")
+    return exchanged(asked, lambda b, n, k: shipped(b, cut, n, k), lambda b: Bucket(b, least_documents), buckets, block_bytes, RUNS)
+
 
-    sent = whole.mapInArrow(send, PACKED).repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind", "block")
-    return sent.mapInArrow(meet, RUNS)
+def with_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """Every row with the lists of its doc_id and tag, or nulls."""
+    lists = lists.withColumnRenamed("doc_id", "d").withColumnRenamed("tag", "t")
+    return rows.join(lists.hint("shuffle_hash"), (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")), "left").drop("d", "t")
 
 
 def with_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Every row with the arrays of its runs; one row for each row given."""
-    runs = runs.select("doc_id", "tag", F.struct("start", "n").alias("run")).groupBy("doc_id", "tag").agg(F.collect_list("run").alias("runs"))
-    runs = runs.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), F.col("runs.start").alias("starts"), F.col("runs.n").alias("lengths"))
-    return rows.join(runs.hint("shuffle_hash"), (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")), "left").drop("d", "t", "tag")
+    lists = runs.select("doc_id", "tag", F.struct("start", "n").alias("run")).groupBy("doc_id", "tag").agg(F.collect_list("run").alias("runs"))
+    return with_lists(rows, lists.select("doc_id", "tag", F.col("runs.start").alias("starts"), F.col("runs.n").alias("lengths"))).drop("tag")
 
 
 def covered(block: pa.RecordBatch, firsts: np.ndarray, reach: int) -> np.ndarray:
