@@ -26,8 +26,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-#: Pairs whose share of equal registers lies so far (over five standard deviations) below the threshold are not compared.
-SLACK = 0.2
+#: Pairs whose share of equal registers lies so far (over four standard deviations) below the threshold are not compared.
+SLACK = 0.15
+#: Parts of a bucket's members that the strays of the bucket are compared with in different tasks.
+PARTS = 8
 
 
 def shingles(codes: np.ndarray, firsts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,15 +110,19 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key binary, signature binary")
 
 
+def band_buckets(made: np.ndarray) -> np.ndarray:
+    """The bucket of each band of each signature."""
+    band = np.ascontiguousarray(made.reshape(-1, BANDS, ROWS)).view(np.uint64)[:, :, 0]
+    return mixed(band + mixed(np.arange(BANDS, dtype=np.uint64), 21)[None, :], 22).view(np.int64)
+
+
 def bucketed(contents: DataFrame) -> DataFrame:
     """(node, bucket) for each band of each signature."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)
-            band = np.ascontiguousarray(made).view(np.uint64)[:, :, 0]
-            bucket = mixed(band + mixed(np.arange(BANDS, dtype=np.uint64), 21)[None, :], 22)
-            yield pa.RecordBatch.from_pydict({"node": np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS), "bucket": bucket.ravel().view(np.int64)})
+            bucket = band_buckets(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16))
+            yield pa.RecordBatch.from_pydict({"node": np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS), "bucket": bucket.ravel()})
 
     return contents.select("node", "signature").mapInArrow(run, "node long, bucket long")
 
@@ -175,22 +181,56 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def stars(members: DataFrame, turn: int) -> DataFrame:
-    """Each node of a bucket with the bucket's centre, which differs from turn to turn. members: node, bucket, group;
-    nodes of the centre's own group are left out."""
-    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "group")
+    """Each node of a bucket with the bucket's centre. members: node, bucket, group; nodes of the centre's own group
+    are left out. In turn 0 buckets with the same nodes have the same centre, so that copies are compared
+    with few others; later each bucket has its own, so that what is still apart meets many."""
+    salt = [F.lit(turn)] if turn == 0 else [F.lit(turn), F.col("bucket")]
+    order = F.struct(F.xxhash64("node", *salt).alias("o"), "node", "group")
     centre = members.groupBy("bucket").agg(F.min(order).alias("c"))
     pairs = members.join(centre, "bucket").where("`group` <> c.`group`")
     return pairs.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct()
 
 
-def crossing(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket in different groups, of which one is outside the bucket's largest group."""
+def crossing(members: DataFrame, contents: DataFrame) -> DataFrame:
+    """All pairs of a bucket in different groups, of which one is outside the bucket's largest group, and
+    whose signatures are worth comparing further.
+
+    The strays of a bucket come first and are kept; all members stream past them, in PARTS parts. A pair
+    that shares several buckets comes out of the one of its first common band only.
+    """
     sizes = members.groupBy("bucket", "group").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "group")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
-    marked = members.join(main, "bucket").select("bucket", "node", "group", (F.col("group") != F.col("most.group")).alias("stray"))
-    stray = marked.where("stray").select("bucket", F.col("node").alias("x"), F.col("group").alias("gx"))
-    pairs = stray.join(marked, "bucket").where("gx <> `group` AND (NOT stray OR x < node)")
-    return pairs.select(F.least("x", "node").alias("u"), F.greatest("x", "node").alias("v")).distinct()
+    signature = contents.select("node", "signature")
+    marked = members.join(main, "bucket").select("bucket", "node", "group", (F.col("group") != F.col("most.group")).alias("stray")).join(signature, "node")
+    every = marked.select("bucket", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int").alias("part"), F.lit(1).alias("kind"), "node", "group", "stray", "signature")
+    kept = marked.where("stray").select("bucket", F.explode(F.array(*(F.lit(k) for k in range(PARTS)))).alias("part"), F.lit(0).alias("kind"), "node", "group", "stray", "signature")
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = every.unionByName(kept).repartition(tasks, "bucket", "part").sortWithinPartitions("bucket", "part", "kind")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        at, strays = None, []
+        for batch in batches:
+            bucket, part, kind, node, group, stray = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            made = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            edges = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1]), True])
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if (here := (bucket[lo], part[lo])) != at:
+                    at, strays = here, []
+                if kind[lo] == 0:
+                    strays += zip(node[lo:hi].tolist(), group[lo:hi].tolist(), made[lo:hi].copy())
+                    continue
+                for x, g, own in strays:
+                    some = np.flatnonzero((group[lo:hi] != g) & (~stray[lo:hi].astype(bool) | (node[lo:hi] > x))) + lo
+                    equal = made[some] == own
+                    near = equal.mean(axis=1) >= SIMILARITY - SLACK
+                    some, equal = some[near], equal[near]
+                    if len(some):
+                        band = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                        first = band_buckets(own)[0][band] == bucket[lo]
+                        v = node[some[first]]
+                        yield pa.RecordBatch.from_pydict({"u": np.minimum(v, x), "v": np.maximum(v, x)})
+
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def regrouped(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -206,8 +246,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, turns: int
 
     Two texts are linked if the weighted Jaccard similarity of their five-word shingles is at least
     `similarity`; classes are what links connect. Texts with the same words are one node and are not
-    compared. Candidates share a band of four registers out of 32; a link of similarity 0.8 is missed
-    with a probability below 1e-7. In a bucket, first `turns` different centres are compared with
+    compared. Candidates share a band of four registers out of 32, and must agree in
+    enough registers; a link of similarity 0.8 is missed with a probability of about 1e-5. In a bucket, first `turns` different centres are compared with
     all others, then every pair that is still in different groups: no link between groups is passed
     over, and members of a group that is already connected need no more comparing.
 
@@ -228,8 +268,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, turns: int
     texts = cut_lineage(texts.select(F.col("doc_id").alias("node"), "text"))
     links = docs.sparkSession.createDataFrame([], "u long, v long")
     for turn in range(turns + 1):
-        pairs = stars(members, turn) if turn < turns else crossing(members)
-        links = cut_lineage(links.unionByName(verified(alike(pairs, contents), texts, similarity)))
+        pairs = alike(stars(members, turn), contents) if turn < turns else crossing(members, contents)
+        links = cut_lineage(links.unionByName(verified(pairs, texts, similarity)))
         if turn < turns:
             members = regrouped(members, links)
     rows_of = marked.join(contents.select("key", "node"), "key", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
