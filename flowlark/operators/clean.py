@@ -130,12 +130,14 @@ def flatten_features(df: DataFrame, nested: str = "model_features") -> DataFrame
 
 
 def align_features(df: DataFrame, expected: list[str], keep: list[str] | None = None) -> DataFrame:
-    """The expected features in order as doubles: missing column or unreadable value is 0."""
+    """The expected features in order as doubles: missing column or unreadable value is 0,
+    a boolean 1 or 0."""
     meta = [c for c in df.columns if c in fixed.METADATA] if keep is None else keep
     out = []
     for name in expected:
         if name in df.columns:
-            number = col(name).cast("string").try_cast("double")
+            text = not isinstance(df.schema[name].dataType, (T.NumericType, T.BooleanType))
+            number = col(name).cast("string").try_cast("double") if text else col(name).cast("double")
             out.append(F.coalesce(F.when(~F.isnan(number), number), F.lit(0.0)).alias(name))
         else:
             out.append(F.lit(0.0).alias(name))

@@ -99,15 +99,17 @@ def gbt_multiclass(df, features, rounds: int = 200, depth: int = 6, step: float
     return fit_classes(cut_lineage(sample_per_class(df, cap)), features, OneVsRest(classifier=_boosted(rounds, depth, step), parallelism=parallelism))
 
 
-def specialist_scope(scope: str = "full-web-family", weak: list[str] = (), explicit: str | None = None) -> list[str]:
-    """Classes the specialist covers: an explicit comma list, the web family, or the weak classes."""
-    if explicit:
-        return [c.strip() for c in explicit.split(",") if c.strip()]
-    if scope == "full-web-family":
-        return list(fixed.WEB_FAMILY)
-    if not weak:
-        raise ValueError("no weak classes are known; evaluate a general model first")
-    return list(weak)
+def specialist_scope(named: list[str] | None = None, weak: list[str] | None = None) -> list[str]:
+    """The classes a specialist is trained for: those named, else the weak ones an evaluation found, else the web family.
+
+    An empty list of weak classes is an error: there is nothing to specialise in.
+    """
+    for choice in (named, weak, list(fixed.WEB_FAMILY)):
+        if choice is not None:
+            if not choice:
+                raise ValueError("the list of classes is empty")
+            return list(dict.fromkeys(choice))
+    raise AssertionError
 
 
 def specialist(df, features, classes: list[str], rounds: int = 300, depth: int = 6, step: float = 0.05, parallelism: int = 4) -> PipelineModel:
@@ -136,7 +138,7 @@ def adaboost(df: DataFrame, features: list[str], rounds: int = 50, save_every: i
 
     Weights live in a column; the lineage is cut in the shared folder every few rounds.
     """
-    rows = assembler(features).transform(with_target(df)).select("features", "target").withColumn("weight", F.lit(1.0))
+    rows = cut_lineage(assembler(features).transform(with_target(df)).select("features", "target").withColumn("weight", F.lit(1.0)))
     stumps: list[tuple[float, PipelineModel]] = []
     for i in range(rounds):
         stump = DecisionTreeClassifier(maxDepth=1, weightCol="weight", labelCol="target", seed=SEED).fit(rows)

@@ -91,9 +91,10 @@ def stratified_split(df: DataFrame, test: float = 0.2, valid: float = 0.2, seed:
     return df.join(checked_small(cuts), "label").withColumn("split", split).select(*[c for c in df.columns if c != "split"], "split")
 
 
-def class_weights(df: DataFrame) -> DataFrame:
+def class_weights(df: DataFrame, given: dict[str, float] | None = None) -> DataFrame:
     """Row count and weights per class: balanced n/(k x n_c), specialist max/n_c; and the
-    ratio of benign to attack rows used as positive weight."""
+    ratio of benign to attack rows used as positive weight. `given` adds a column of fixed
+    weights, by label or for all attacks under "ATTACK"; a class without one has 1."""
     counts = df.groupBy("label").count()
     whole = counts.agg(
         F.sum("count").alias("n"),
@@ -101,8 +102,16 @@ def class_weights(df: DataFrame) -> DataFrame:
         F.max("count").alias("top"),
         F.sum(F.when(is_attack(F.col("label")), F.col("count")).otherwise(0)).alias("attacks"),
     )
+    fixed_one = []
+    if given is not None:
+        own = F.lit(None).cast("double")
+        for label, weight in given.items():
+            own = F.when(F.col("label") == label, float(weight)).otherwise(own)
+        attack = F.when(is_attack(F.col("label")), float(given["ATTACK"])) if "ATTACK" in given else F.lit(None).cast("double")
+        fixed_one = [F.coalesce(own, attack, F.lit(1.0)).alias("fixed_weight")]
     return counts.crossJoin(whole).select(  # one row
         "label",
+        *fixed_one,
         F.col("count").alias("n_rows"),
         (F.col("n") / (F.col("k") * F.col("count"))).alias("balanced_weight"),
         (F.col("top") / F.col("count")).alias("specialist_weight"),

@@ -115,6 +115,29 @@ def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return cut_lineage(df)
 
 
+def magnitude(v: Column) -> Column:
+    """A number that grows with a double over its whole range: exponent plus fraction, 0 for zero, beyond all others for infinities."""
+    size = F.abs(v)
+    power = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1074)).cast("double")
+    fraction = F.greatest(F.least(size / F.pow(F.lit(2.0), power) - 1, F.lit(1.0)), F.lit(0.0))
+    found = F.when(size == 0, 0.0).when(size == float("inf"), 3000.0).otherwise(power + 1080 + fraction)
+    return F.when(v < 0, -found).otherwise(found)
+
+
+def share_between(v: Column, lo: Column, hi: Column, real: bool) -> Column:
+    """How far v lies from lo to hi, never falling as v grows.
+
+    Doubles go by magnitude until lo and hi agree in it to the last bits, and then by value; with 4,096
+    buckets six rounds are enough for any doubles. Whole numbers go by difference.
+    """
+    if real:
+        v, lo, hi = (x.cast("double") for x in (v, lo, hi))
+        low, high = magnitude(lo), magnitude(hi)
+        return F.when(high - low > 1e-9, (magnitude(v) - low) / (high - low)).otherwise(F.try_divide(v - lo, hi - lo))
+    wide = hi.cast("double") - lo.cast("double")
+    return F.when(wide > 1e15, (v.cast("double") - lo.cast("double")) / wide).otherwise(F.try_divide((v - lo).cast("double"), (hi - lo).cast("double")))
+
+
 def order_statistics(
     df: DataFrame, group: list[str], value: str, positions: Callable[[Column], dict[str, Column]], buckets: int = 4096, extra: DataFrame | None = None
 ) -> DataFrame:
@@ -123,8 +146,8 @@ def order_statistics(
     Rows with a missing or NaN value, or a missing group, do not count.
     `positions` names positions from the group's number of values, and from columns of
     `extra` (one row per group) if given. Each round counts the rows between the two values known
-    to enclose a position, in equal-width buckets, and keeps the bucket holding it, until
-    one value is left. A round is one scan with a map-side-combined count; even when almost
+    to enclose a position, in buckets of equal width (`share_between`), and keeps the bucket holding
+    it, until one value is left: at most six rounds. A round is one scan with a map-side-combined count; even when almost
     all rows share a bucket, or a value, no task gets them.
     Columns of the result: group..., name, pos, value, before (rows with a smaller value), total.
     """
@@ -144,7 +167,7 @@ def order_statistics(
         open_ones = targets.filter(F.col("lo") < F.col("hi"))
         inside = data.join(open_ones, group) if group else data.crossJoin(open_ones)
         inside = inside.filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
-        share = F.try_divide((F.col("__v") - F.col("lo")).cast("double"), (F.col("hi") - F.col("lo")).cast("double"))
+        share = share_between(F.col("__v"), F.col("lo"), F.col("hi"), real)
         at = F.when(F.col("__v") == F.col("hi"), buckets).otherwise(
             F.least(F.floor(F.nanvl(F.coalesce(share, F.lit(0.0)), F.lit(0.0)) * buckets), F.lit(buckets - 1))
         )
@@ -174,12 +197,13 @@ def exact_quantile(df: DataFrame, group: list[str], value: str, q: float, out: s
 def newest_rows(df: DataFrame, group: str, ts: str, tie: str, n: int) -> DataFrame:
     """The n rows of each group with the greatest (ts, tie); `tie` is unique within equal times.
 
-    Few rows are found by a partial limit in every task; more by searching the cut.
+    Rows with a missing group, time or tie go, whatever n. Few rows are found by a partial limit in
+    every task; more by searching the cut; the rows are the same either way.
     """
+    rows = df.filter(F.col(group).isNotNull() & F.col(ts).isNotNull() & F.col(tie).isNotNull())
     if n <= 100:
         order = Window.partitionBy(group).orderBy(F.col(ts).desc(), F.col(tie).desc())
-        return df.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= n).select(*df.columns)
-    rows = df.filter(F.col(group).isNotNull() & F.col(ts).isNotNull())
+        return rows.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= n).select(*df.columns)
     age, number = -F.unix_micros(F.col(ts).cast("timestamp")), -F.col(tie)
     found = order_statistics(rows.select(group, age.alias("age")), [group], "age", lambda c: {"cut": F.least(c, F.lit(n)) - 1})
     cut = settle(found.select(group, F.col("value").alias("__age"), (F.col("pos") - F.col("before")).alias("__more")))
@@ -193,21 +217,28 @@ def newest_rows(df: DataFrame, group: str, ts: str, tie: str, n: int) -> DataFra
 def running_totals(df: DataFrame, order: Column, scaled: Column, values: list[str], rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Adds `cum_<v>`: the sum of v over all rows up to this one in order (unique keys).
 
-    `scaled` is a number growing with the order; its whole part is the row's bucket, and
-    buckets with too many rows are cut 4,096 times finer. Bucket sums are added up in one
-    small window, rows only inside their bucket.
+    `scaled` is a number growing with the order; its whole part is the row's bucket. Buckets with
+    too many rows are cut 4,096 times finer between their least and greatest order, again and
+    again until none has too many. Bucket sums are added up in one small window, rows only
+    inside their bucket.
     """
-    whole = F.floor(scaled)
-    crowded = df.groupBy(whole.alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows_per_bucket)
-    heavy = [r["b"] for r in crowded.select("b").collect()]  # at most one per bucket
-    finer = whole + F.floor((scaled - whole) * 4096) / 4096
-    bucket = F.when(whole.isin(heavy), finer).otherwise(whole.cast("double")) if heavy else whole.cast("double")
-    tagged = df.withColumn("__o", order).withColumn("__b", bucket)
-    sums = tagged.groupBy("__b").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
-    earlier = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("__b", *[F.coalesce(F.sum(f"__s_{v}").over(earlier), F.lit(0)).alias(f"__p_{v}") for v in values])
-    inside = Window.partitionBy("__b").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
+    tagged = df.withColumns({"__o": order.cast("double"), "__b0": F.floor(scaled).cast("bigint")})
+    levels = ["__b0"]
+    while True:
+        sizes = tagged.groupBy(*levels).agg(F.count(F.lit(1)).alias("n"), F.min("__o").alias("__lo"), F.max("__o").alias("__hi"))
+        crowded = settle(sizes.filter((F.col("n") > rows_per_bucket) & (F.col("__lo") < F.col("__hi"))).drop("n"))
+        if crowded.isEmpty():
+            break
+        share = share_between(F.col("__o"), F.col("__lo"), F.col("__hi"), True)
+        place = F.when(F.col("__lo").isNull(), 0).when(F.col("__o") == F.col("__hi"), 4096).otherwise(F.least(F.floor(share * 4096), F.lit(4095)))
+        name = f"__b{len(levels)}"
+        tagged = cut_lineage(tagged.join(crowded, levels, "left").withColumn(name, place.cast("bigint")).drop("__lo", "__hi"))
+        levels = [*levels, name]
+    sums = tagged.groupBy(*levels).agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
+    earlier = Window.partitionBy(F.lit(0)).orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*levels, *[F.coalesce(F.sum(f"__s_{v}").over(earlier), F.lit(0)).alias(f"__p_{v}") for v in values])
+    inside = Window.partitionBy(*levels).orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        tagged.join(checked_small(base), "__b")
+        tagged.join(checked_small(base), levels)
         .select(*df.columns, *[(F.col(f"__p_{v}") + F.sum(v).over(inside)).alias(f"cum_{v}") for v in values])
     )

@@ -242,7 +242,7 @@ def without_repeats(history: DataFrame, text: str = "insight", ts: str = "receiv
 
 
 def dashboard_snapshot(df: DataFrame, as_of: str, poll_seconds=3) -> DataFrame:
-    """Totals per mode and every chart of each mode as rows (mode, section, position, x, y)."""
+    """Totals per mode and every chart of each mode as rows (mode, section, position, x, y), over all flows."""
     totals = df.groupBy("mode").agg(
         F.count(F.lit(1)).alias("total_flows"),
         F.count(F.when(tidy_label(F.col("attack_label")) == "benign", 1)).alias("benign_count"),
@@ -253,6 +253,6 @@ def dashboard_snapshot(df: DataFrame, as_of: str, poll_seconds=3) -> DataFrame:
         F.expr("stack(3, 0L, 'total_flows', total_flows, 1L, 'benign_count', benign_count, 2L, 'not_benign_count', not_benign_count) as (position, x, y)"),
     )
     for mode in ("simulator", "network"):
-        part = chart_series(recent_n(df.filter(F.col("mode") == mode), "flows"), as_of, poll_seconds)
+        part = chart_series(df.filter(F.col("mode") == mode), as_of, poll_seconds)
         out = out.unionByName(part.select(F.lit(mode).alias("mode"), "section", "position", "x", "y"))
     return out

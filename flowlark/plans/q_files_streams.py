@@ -3,6 +3,8 @@ folder and reads them back as files or as a stream."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,11 +43,12 @@ def ingest_csv(spark, sf):
     return S.ingest_csv(spark, folder, "cic", kinds).select("row_id", "label", "f_packets", "f_bytes", "f_rate", "dataset")
 
 
-@query("parquet_roundtrip", SPLIT + " select row_id, label, split from sp where split = 'valid'")
+@query("parquet_roundtrip", SPLIT + " select row_id, label, split from sp")
 def parquet_roundtrip(spark, sf):
     folder = fresh_folder(spark, "splits")
     S.write_splits(B.temporal_split(labelled(spark, sf), FILES).select("row_id", "label", "split"), folder)
-    return S.read_split(spark, folder, "valid").select("row_id", "label", "split")
+    parts = [S.read_split(spark, folder, name).select("row_id", "label", "split") for name in ("train", "valid", "test")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("csv_report_sink", GROUPS + " select src_ip, predicted_label, alert_count, avg_confidence, severity, tac as tactic from ev")
@@ -56,24 +59,29 @@ def csv_report_sink(spark, sf):
     return S.read_report(spark, folder, "src_ip string, predicted_label string, alert_count bigint, avg_confidence double, severity string, tactic string")
 
 
-QUARTERS = ["2024-01-01 00:15:00", "2024-01-01 00:30:00", "2024-01-01 00:45:00", "2024-01-01 02:00:00"]
+FILES_PER_PART = 4
+
+
+def quarter(rows: DataFrame, ts: str) -> F.Column:
+    """0 to 3: the quarter of the table's own time span that a row lies in; rows without a time are in the first."""
+    span = rows.agg(F.min(F.unix_micros(ts)).alias("lo"), F.max(F.unix_micros(ts)).alias("hi")).first()
+    lo, hi = span["lo"] or 0, span["hi"] or 0
+    return F.coalesce(F.floor((F.unix_micros(ts) - F.lit(lo)) * 4 / F.lit(hi - lo + 1)), F.lit(0))
 
 
 def staged(rows: DataFrame, ts: str, name: str) -> str:
-    """Rows as files in time order, one write per quarter of the hour."""
+    """All rows as files in time order: four writes of FILES_PER_PART files each."""
     folder = fresh_folder(rows.sparkSession, name)
-    low = "2024-01-01 00:00:00"
-    for high in QUARTERS:
-        part = rows.filter((F.col(ts) >= F.to_timestamp(F.lit(low))) & (F.col(ts) < F.to_timestamp(F.lit(high))))
-        part.coalesce(1).write.mode("append").parquet(folder)
-        low = high
+    at = quarter(rows, ts)
+    for k in range(4):
+        rows.filter(at == k).repartition(FILES_PER_PART).write.mode("append").parquet(folder)
     return folder
 
 
 @query("packet_stream_source", with_views("packets") + f" select packet_id, {TEXT.format('ts')} as at, src_ip, dst_port, pkt_len, tcp_flags from packets")
 def packet_stream_source(spark, sf):
     folder = staged(view(spark, sf, "packets"), "ts", "packets")
-    rows = drain_to_parquet(S.packet_stream(spark, folder, 1), fresh_folder(spark, "out"), fresh_folder(spark, "checkpoint"))
+    rows = drain_to_parquet(S.packet_stream(spark, folder, FILES_PER_PART), fresh_folder(spark, "out"), fresh_folder(spark, "checkpoint"))
     return rows.select("packet_id", stamp(F.col("ts")).alias("at"), "src_ip", "dst_port", "pkt_len", "tcp_flags")
 
 
@@ -91,7 +99,7 @@ def correlate_stream(spark, sf):
         ]
     )
     folder = staged(rows.unionByName(closing), "ts", "predictions")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_PART).parquet(folder)
     out = drain_to_parquet(SC.correlate_stream(stream), fresh_folder(spark, "out"), fresh_folder(spark, "checkpoint"))
     return out.select("src_ip", stamp(F.col("time_bucket")).alias("time_bucket"), "predicted_label", "alert_count", "avg_confidence", "severity", "mitre_id")
 
@@ -106,7 +114,7 @@ def mode_counters_stream(spark, sf):
     label = F.when(F.col("attack_label") == "BENIGN", "BENIGN").otherwise("NOT BENIGN").alias("binary_label")
     rows = view(spark, sf, "flows").select("mode", "received_at", label)
     folder = staged(rows, "received_at", "flows")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_PART).parquet(folder)
     out = fresh_folder(spark, "out")
     drain_batches(SC.counters_stream(stream), lambda batch, epoch: batch.write.mode("overwrite").parquet(out), fresh_folder(spark, "checkpoint"), "complete")
     return spark.read.parquet(out)
@@ -117,9 +125,8 @@ def incident_stream(spark, sf):
     """As incidents, from a stream in which the last quarter is delivered twice."""
     rows = alerts(spark, sf)
     folder = staged(rows, "timestamp", "alerts")
-    again = rows.filter(F.col("timestamp") >= F.to_timestamp(F.lit(QUARTERS[2])))
-    again.coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rows.filter(quarter(rows, "timestamp") == 3).repartition(FILES_PER_PART).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_PART).parquet(folder)
     out = fresh_folder(spark, "out")
     SI.write_incident_updates(SI.incident_updates(stream), out, fresh_folder(spark, "checkpoint"))
     return header_rows(SI.current_incidents(spark, out))
@@ -127,10 +134,10 @@ def incident_stream(spark, sf):
 
 @query("flow_meter_stream", feature_sql(fixed.FLOW_FEATURES))
 def flow_meter_stream(spark, sf):
-    """As flow_feature_table, from a stream of four files and a final flush."""
+    """As flow_feature_table, from a stream of four parts and a final flush."""
     folder = staged(view(spark, sf, "packets"), "ts", "packets")
     out, state = fresh_folder(spark, "out"), fresh_folder(spark, "state")
-    last = SM.meter_stream(S.packet_stream(spark, folder, 1), out, state, fresh_folder(spark, "checkpoint"), idle_timeout=30.0)
+    last = SM.meter_stream(S.packet_stream(spark, folder, FILES_PER_PART), out, state, fresh_folder(spark, "checkpoint"), idle_timeout=30.0)
     SM.flush(spark, out, state, last, idle_timeout=30.0)
     flows = spark.read.option("basePath", out).parquet(f"{out}/epoch=*")
     return flows.select("src_ip", "dst_ip", "src_port", "protocol", F.unix_micros("flow_start").alias("flow_start"), *shown(fixed.FLOW_FEATURES))

@@ -1,5 +1,6 @@
-"""Model queries. Training uses all rows of the table's training split; rounds and trees are
-fewer than the published settings, which are the operators' defaults."""
+"""Model queries. Training uses the table's training split. Forests and the single tree have the
+operators' defaults, which are the published settings; boosted models, the net and the comparison
+use fewer rounds."""
 
 from __future__ import annotations
 
@@ -39,12 +40,12 @@ def class_report(spark, sf, fit):
 
 @query("rf_binary")
 def rf_binary(spark, sf):
-    return report(spark, sf, lambda rows: M.rf_binary(rows, FEATURES, trees=10, depth=6))
+    return report(spark, sf, lambda rows: M.rf_binary(rows, FEATURES))
 
 
 @query("rf_multiclass")
 def rf_multiclass(spark, sf):
-    return class_report(spark, sf, lambda rows: M.rf_multiclass(rows, FEATURES, trees=10, depth=6))
+    return class_report(spark, sf, lambda rows: M.rf_multiclass(rows, FEATURES))
 
 
 @query("gbt_binary")
@@ -69,7 +70,7 @@ def logistic_regression(spark, sf):
 
 @query("decision_tree")
 def decision_tree(spark, sf):
-    return report(spark, sf, lambda rows: M.decision_tree(rows, FEATURES, depth=8))
+    return report(spark, sf, lambda rows: M.decision_tree(rows, FEATURES))
 
 
 @query("mlp")
@@ -86,7 +87,7 @@ def adaboost(spark, sf):
 @query("feature_importance")
 def feature_importance(spark, sf):
     train, _ = parts(spark, sf)
-    return M.feature_importance(spark, M.rf_binary(train, FEATURES, trees=10, depth=6), FEATURES)
+    return M.feature_importance(spark, M.rf_binary(train, FEATURES), FEATURES)
 
 
 @query("model_comparison")
@@ -132,15 +133,15 @@ def score_models(spark, sf):
 
 @query("synthesise_minority")
 def synthesise_minority(spark, sf):
-    rows = P.clean_numeric(labelled(spark, sf))
-    return Y.synthesise_minority(rows, FEATURES)
+    train, _ = parts(spark, sf)
+    return Y.synthesise_minority(train, FEATURES)
 
 
 @query("smote")
 def smote(spark, sf):
-    """Heartbleed rows made up to half the number of the others."""
-    rows = P.clean_numeric(labelled(spark, sf))
-    return N.smote(rows, FEATURES, "Heartbleed")
+    """Training rows of Heartbleed made up to half the number of the others; no held-out row is used."""
+    train, _ = parts(spark, sf)
+    return N.smote(train, FEATURES, "Heartbleed")
 
 
 @query(

@@ -237,8 +237,7 @@ SNAP_NOW = "2024-01-01 00:59:30"
 @query(
     "dashboard_snapshot",
     with_views("flows")
-    + """, recent as (select * from flows qualify row_number() over (partition by mode order by received_at desc, row_index desc) <= 5000),
-sim as (select * from recent where mode = 'simulator'), net as (select * from recent where mode = 'network')
+    + """, sim as (select * from flows where mode = 'simulator'), net as (select * from flows where mode = 'network')
 """
     + f"""select 'simulator' as mode, * from ({charts('sim', SNAP_NOW)}) union all by name select 'network' as mode, * from ({charts('net', SNAP_NOW)})
 union all by name select mode, 'summary' as section, 0 as position, 'total_flows' as x, count(*) as y from flows group by 1

@@ -8,6 +8,7 @@ shared folder. Both outputs are written per epoch, so a repeated batch gives the
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,16 +65,22 @@ def meter_step(batch: DataFrame, epoch: int, out: str, state: str, delay_seconds
     row.write.mode("overwrite").parquet(f"{state}/clock/epoch={epoch}")
 
 
+def last_epoch(spark: SparkSession, state: str) -> int:
+    """The last epoch in the state folder, -1 if there is none."""
+    try:
+        return spark.read.option("basePath", f"{state}/clock").parquet(f"{state}/clock/epoch=*").agg(F.max("epoch")).first()[0]
+    except AnalysisException:  # no epoch was ever written
+        return -1
+
+
 def meter_stream(packets: DataFrame, out: str, state: str, checkpoint: str, delay_seconds: float = 0.0, **limits) -> int:
-    """Meters all available packets; returns the last epoch, for `flush`."""
-    last = {"epoch": -1}
+    """Meters all available packets; returns the last epoch of the state, for `flush`, also when a restart finds nothing new."""
 
     def step(batch: DataFrame, epoch: int) -> None:
         meter_step(batch, epoch, out, state, delay_seconds, limits)
-        last["epoch"] = epoch
 
     drain_batches(packets, step, checkpoint)
-    return last["epoch"]
+    return last_epoch(packets.sparkSession, state)
 
 
 def flush(spark: SparkSession, out: str, state: str, epoch: int, **limits) -> None:

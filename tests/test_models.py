@@ -55,10 +55,10 @@ def test_boosted_stumps(spark, rows):
 def test_importances_and_scope(spark, rows):
     got = M.feature_importance(spark, M.rf_binary(rows, X, trees=5, depth=4), X).collect()
     assert len(got) == 2 and sum(r["importance"] for r in got) == pytest.approx(1.0)
-    assert M.specialist_scope(explicit="A, B ,") == ["A", "B"]
-    assert M.specialist_scope("weak-only", ["Bot"]) == ["Bot"]
+    assert M.specialist_scope(["A", "B", "A"]) == ["A", "B"]
+    assert M.specialist_scope(weak=["Bot"]) == ["Bot"]
     with pytest.raises(ValueError):
-        M.specialist_scope("weak-only")
+        M.specialist_scope(weak=[])
 
 
 def test_scores_beside_the_rows(spark, rows):

@@ -36,6 +36,23 @@ def test_order_statistics_of_whole_numbers(spark):
     assert got == {0: (1, 0), 1: (2, 1), 2: (2, 1), 3: (3, 3), 4: (9, 4)}
 
 
+def test_order_statistics_of_any_doubles(spark, monkeypatch):
+    rounds = []
+    whole = S.settle
+    monkeypatch.setattr(S, "settle", lambda df, *a: rounds.append(1) or whole(df, *a))
+    values = [float("-inf"), float("inf"), -0.0, 0.0, 5e-324, 1e-300, 1e300, -1e300, 1.7e308, 1.0, 1.0000000000000002, -3.5, *(2.0**k for k in range(-40, 40)), *(1 + i * 1e-15 for i in range(60))]
+    df = frame(spark, [(v,) for v in values], "v double")
+    places = [0, 1, 2, 5, 40, 60, 75, 100, 130, len(values) - 1]
+    found = S.order_statistics(df, [], "v", lambda n: {f"p{i}": F.lit(i) for i in places})
+    assert {r["pos"]: r["value"] for r in found.collect()} == {i: sorted(values)[i] for i in places}
+    assert len(rounds) <= 7  # the start and six rounds
+
+
+def test_newest_rows_without_group_or_time(spark):
+    df = frame(spark, [("x", 10, 1), (None, 20, 2), ("x", None, 3), ("x", 20, None), ("y", 5, 4)], "m string, s long, i long").withColumn("ts", F.timestamp_seconds("s"))
+    assert [sorted(r["i"] for r in S.newest_rows(df, "m", "ts", "i", n).collect()) for n in (100, 101)] == [[1, 4], [1, 4]]
+
+
 def test_newest_rows_with_ties(spark):
     random.seed(3)
     rows = [(m, random.choice([10, 20, 20, 30]), i) for i in range(2000) for m in ("x", "y") if m == "x" or i < 50]
@@ -68,6 +85,13 @@ def test_running_totals_with_crowded_bucket(spark):
     assert got == list(range(1, len(scores) + 1))
 
 
+def test_running_totals_cut_until_no_bucket_is_crowded(spark):
+    scores = [0.5 + i * 1e-13 for i in range(2000)] + [i / 50 for i in range(50) if i != 25]
+    df = frame(spark, [(s, 1) for s in scores], "s double, n long")
+    out = S.running_totals(df, F.col("s"), F.col("s") * 16, ["n"], rows_per_bucket=100)
+    assert [r["cum_n"] for r in out.orderBy("s").collect()] == list(range(1, len(scores) + 1))
+
+
 def test_large_small_side_is_not_broadcast(spark):
     dim = spark.range(50).withColumnRenamed("id", "k")
     assert S.checked_small(dim, 10) is dim
