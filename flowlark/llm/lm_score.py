@@ -25,12 +25,12 @@ from flowlark.session import cut_lineage
 
 #: Of the crc32 of the doc_id as text: the remainder by FOLDS that is held out.
 FOLDS, HELD = 5, 1
-CLASSES, INPUTS = 128, 4096
+CLASSES, INPUTS = 96, 4096
 #: One document in so many trains the model in each round.
 SHARE, ROUNDS, RATE, BATCH = 40, 2, 0.004, 8
 SLICES = 64
-PARTS = "doc_id long, tag int, s double, known long, n long"
-#: Tags of rows that are no texts.
+#: What the buckets of words give: packed sums for the texts of a block, or (block null) totals and subword counts.
+ANSWERS = "block long, payload binary, tag int, id long, known long, n long"
 TOTALS, SUBWORDS = -1, -2
 
 
@@ -54,8 +54,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 def shipped(block: pa.RecordBatch, buckets: int, number: int) -> Iterator[tuple]:
     """For each bucket the block's words with their training counts, then the counts of its texts.
     The end of a text is the word that has no bytes."""
-    ids, tags = block.column(0), block.column(1).to_numpy(zero_copy_only=False)
-    train = fold(ids.to_pylist()) != HELD
+    train = fold(block.column(0).to_pylist()) != HELD
     codes, distinct, firsts = words_of(block.column(2))
     texts, end = [*distinct.cast(pa.binary()).to_pylist(), b""], len(distinct)
     doc = np.r_[owners(firsts), np.arange(block.num_rows)]
@@ -63,7 +62,6 @@ def shipped(block: pa.RecordBatch, buckets: int, number: int) -> Iterator[tuple]
     seen = np.bincount(codes[train[doc]], minlength=end + 1)
     doc, word, n = joined_counts(doc, codes)
     bucket = np.r_[(word_hashes(distinct) % np.uint64(buckets)).astype(np.int64), 0]
-    keys, nulls = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
     order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -74,7 +72,7 @@ def shipped(block: pa.RecordBatch, buckets: int, number: int) -> Iterator[tuple]
         yield b, 0, number, packed(b"".join(own), np.fromiter(map(len, own), np.int32, len(own)), seen[order[lo:hi]])
         some = held[slice(*np.searchsorted(place[word][held], [lo, hi]))]
         some = some[np.argsort(doc[some], kind="stable")]
-        yield b, 1, number, packed((place[word[some]] - lo).astype(np.int32), keys[doc[some]], nulls[doc[some]], tags[doc[some]].astype(np.int32), doc[some].astype(np.int32), n[some].astype(np.int32))
+        yield b, 1, number, packed((place[word[some]] - lo).astype(np.int32), doc[some].astype(np.int32), n[some].astype(np.int32))
 
 
 def summed(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -82,11 +80,12 @@ def summed(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch
     bucket, count, total, parts = None, {}, None, {}
     known: np.ndarray | None = None
 
-    def batch(doc_id, tag, s, seen, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_id, pa.int64()), "tag": pa.array(tag, pa.int32()), "s": pa.array(s, pa.float64()), "known": pa.array(seen, pa.int64()), "n": pa.array(n, pa.int64())})
+    def batch(block, payload, tag, id_, seen, n) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((block, payload, tag, id_, seen, n), kinds)], names=[c.split()[0] for c in ANSWERS.split(", ")])
 
     def close() -> Iterator[pa.RecordBatch]:
-        yield batch([0], [TOTALS], [0.0], [int((known > 0).sum())], [int(known.sum())])
+        yield batch([None], [None], [TOTALS], [0], [int((known > 0).sum())], [int(known.sum())])
         encode, is_byte = vocabulary(path)
         some = [w for w in count if w]
         ids, many = encode([w.decode() for w in some])
@@ -94,10 +93,14 @@ def summed(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch
         tokens = np.bincount(ids, times, len(is_byte) + 1)
         tokens[-1] += known[count[b""]] if b"" in count else 0  # the end is the id after all others
         at = np.flatnonzero(tokens)
-        yield batch(at, np.full(len(at), SUBWORDS), np.zeros(len(at)), np.zeros(len(at), np.int64), tokens[at].astype(np.int64))
+        none = [None] * len(at)
+        yield batch(none, none, np.full(len(at), SUBWORDS), at, np.zeros(len(at), np.int64), tokens[at].astype(np.int64))
 
     for rows_ in rows:
         for b, kind, number, payload in zip(*(rows_.column(i).to_pylist() for i in range(4))):
+            if kind == 2:
+                yield batch([number], [payload], [1], [0], [0], [0])
+                continue
             if b != bucket:
                 if bucket is not None:
                     yield from close()
@@ -117,33 +120,60 @@ def summed(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch
             if known is None:
                 known, total = np.array(total, np.int64), []
                 logs = np.log10(known + 0.5)
-                end = count.get(b"", -1)
-            local, ids, nulls, tags, doc, n = unpacked(payload, np.int32, np.int64, np.bool_, np.int32, np.int32, np.int32)
+            local, doc, n = unpacked(payload, np.int32, np.int32, np.int32)
             word = parts.pop(number)[local]
             heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            add = lambda x: np.add.reduceat(x, heads)
-            yield batch(pa.array(ids[heads], mask=nulls[heads]), tags[heads], add(logs[word] * n), add(n * (known[word] > 0)).astype(np.int64), add(n * (word == end)).astype(np.int64))
+            sums_, seen = np.add.reduceat(logs[word] * n, heads), np.add.reduceat(n * (known[word] > 0), heads)
+            yield batch([number], [packed(doc[heads], sums_, seen.astype(np.int32))], [0], [0], [0], [0])
     if bucket is not None:
         yield from close()
 
 
-def unigram_sums(rows: DataFrame, path: str) -> DataFrame:
-    """For each (doc_id, tag) the sums of log10(count + 0.5) and of known tokens, and how many rows there are (n);
-    and the totals and subword counts under their own tags."""
+def unigram_answers(rows: DataFrame, path: str) -> DataFrame:
+    """ANSWERS of the word buckets, and for each block the ids of its texts (payload with tag 1)."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches):
         part, number = TaskContext.get().partitionId() << 32, 0
         for block in blocks(batches, 2 * BLOCK_BYTES):
-            for row in shipped(block, tasks, part + number):
+            ids = block.column(0)
+            who = packed(ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), block.column(1).to_numpy(zero_copy_only=False))
+            for row in (*shipped(block, tasks, part + number), (-1, 2, part + number, who)):
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int8(), pa.int64(), pa.binary()))], names=["bucket", "kind", "block", "payload"])
             number += 1
 
     def add(batches):
         return summed(batches, path)
 
-    sent = rows.select("doc_id", "tag", "text").mapInArrow(send, PACKED).repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind", "block")
-    return sent.mapInArrow(add, PARTS).groupBy("doc_id", "tag").agg(F.sum("s").alias("s"), F.sum("known").alias("known"), F.sum("n").alias("n"))
+    sent = rows.select("doc_id", "tag", "text").mapInArrow(send, PACKED).repartition(tasks, "bucket", F.when(F.col("bucket") < 0, F.col("block"))).sortWithinPartitions("bucket", "kind", "block")
+    return sent.mapInArrow(add, ANSWERS)
+
+
+def text_sums(answers: DataFrame) -> DataFrame:
+    """doc_id, tag, s, known: for each text the sum of log10(count + 0.5) and its known tokens, from the packed sums of its block."""
+    tasks = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def close(ids, nulls, tags, s, known) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, mask=nulls), "tag": tags, "s": s, "known": known})
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        state, of = None, None
+        for batch in batches:
+            for number, tag, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if number != of:
+                    if state:
+                        yield close(*state)
+                    ids, nulls, tags = unpacked(payload, np.int64, np.bool_, np.int32)  # tag 1 comes first
+                    of, state = number, (ids, nulls, tags, np.zeros(len(ids)), np.zeros(len(ids), np.int64))
+                    continue
+                doc, s, known = unpacked(payload, np.int32, np.float64, np.int32)
+                state[3][doc] += s
+                state[4][doc] += known
+        if state:
+            yield close(*state)
+
+    own = answers.where("block IS NOT NULL").select("block", "tag", "payload")
+    return own.repartition(tasks, "block").sortWithinPartitions("block", F.desc("tag")).mapInArrow(run, "doc_id long, tag int, s double, known long")
 
 
 class Classes:
@@ -231,13 +261,9 @@ def scores(ids: np.ndarray, begins: np.ndarray, classes: Classes, p: net.Paramet
     """log10 probability of each text."""
     out = np.zeros(len(begins) - 1)
     for d, inputs, there, target, score in batches_of(ids, begins, classes, 128):
-        logits, _ = net.forward(p, inputs, there)
-        logits = logits[:, net.CONTEXT :]
-        logits -= logits.max(axis=2, keepdims=True)
-        total = np.log(np.exp(logits).sum(axis=2))
         target, score = target[:, net.CONTEXT :], score[:, net.CONTEXT :]
-        picked = np.take_along_axis(logits, classes.of[target][:, :, None], 2)[:, :, 0]
-        np.add.at(out, d, ((picked - total + classes.inside[target]) * score).sum(axis=1))
+        logp = net.log_likelihoods(p, inputs, there, classes.of[target]) + classes.inside[target]
+        np.add.at(out, d, (logp * score).sum(axis=1))
     return out / np.log(10)
 
 
@@ -254,14 +280,14 @@ def lm_scores(docs: DataFrame, path: str) -> DataFrame:
     ROUNDS rounds, over its whole text; all training texts are counted.
     """
     rows = numbered(docs)
-    base = cut_lineage(unigram_sums(rows, path))
-    totals = base.where(F.col("tag") == TOTALS).first()
-    n, v = (totals.n, totals.known) if totals else (0, 0)
+    base = cut_lineage(unigram_answers(rows, path))
+    totals = base.where(F.col("tag") == TOTALS).agg(F.sum("n").alias("n"), F.sum("known").alias("v")).first()
+    n, v = totals.n or 0, totals.v or 0
     encode, is_byte = vocabulary(path)
     end = len(is_byte)
     counts = np.zeros(end + 1)
-    for r in base.where(F.col("tag") == SUBWORDS).select("doc_id", "n").collect():  # at most the vocabulary
-        counts[r.doc_id] = r.n
+    for r in base.where(F.col("tag") == SUBWORDS).groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
+        counts[r.id] = r.n
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     train = rows.where(F.crc32(key.cast("binary")) % FOLDS != HELD)
     classes = Classes(counts)
@@ -279,7 +305,7 @@ def lm_scores(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": block.column(0), "tag": block.column(1), "held_out": fold(block.column(0).to_pylist()) == HELD, "n_tokens": words + 1, "score": scores(ids, begins, classes, mine)})
 
     scored = rows.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag int, held_out boolean, n_tokens long, score double")
-    own = base.where("tag >= 0").select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), (F.col("s") / F.col("n")).alias("s"), (F.col("known") / F.col("n")).cast("long").alias("n_known"))
+    own = text_sums(base).groupBy(F.col("doc_id").alias("d"), F.col("tag").alias("t")).agg(F.max("s").alias("s"), F.max("known").alias("n_known"))  # rows alike have like sums
     level = float(np.log10(n + 0.5 * (v + 1)))
     joined = scored.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")))
     return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("s") - F.col("n_tokens") * F.lit(level)).alias("base_score"), "score")

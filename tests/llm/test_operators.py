@@ -182,6 +182,9 @@ def test_attention_gradients_and_single_scoring():
             loss.append(attention.gradients(p, inputs, there, target, counts)[0])
         p[k][at] = was
         assert abs((loss[0] - loss[1]) / 2e-5 - g[k][at]) < 3e-5
+    p = {k: x.astype(np.float32) for k, x in p.items()}
+    slow = np.take_along_axis(attention.log_softmax(attention.forward(p, inputs, there)[0]), target[:, :, None], 2)[:, attention.CONTEXT :, 0]
+    assert np.allclose(slow, attention.log_likelihoods(p, inputs, there, target[:, attention.CONTEXT :]), atol=1e-4)
     doc, places, scores = attention.windows_of(np.array([0, 1, 1, 30, 200]))
     assert sorted(zip(np.repeat(doc, scores.sum(axis=1)).tolist(), places[scores].tolist())) == [(d, i) for d, n in enumerate((1, 0, 29, 170)) for i in range(n)]
 
