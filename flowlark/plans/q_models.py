@@ -1,9 +1,14 @@
 """Model queries. Training uses the table's training split. Forests and the single tree have the
 operators' defaults, which are the published settings; boosted models, the net and the comparison
-use fewer rounds."""
+use fewer rounds.
+
+What a model predicts is no matter for SQL. Each query fits, scores and evaluates, and gives what the
+tables say about the outcome: totals of the evaluated rows, and whether every measure lies in its range."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from flowlark.functions import fixed
@@ -14,7 +19,7 @@ from flowlark.operators import neighbors as N
 from flowlark.operators import sampling as B
 from flowlark.operators import synthesis as Y
 from flowlark.operators.isolation import fit_isolation_forest
-from flowlark.plans.q_profile import FILES, labelled
+from flowlark.plans.q_profile import FILES, LABELS, SPLIT, labelled
 from flowlark.plans.registry import query
 from flowlark.streaming.run import fresh_folder
 
@@ -27,70 +32,100 @@ def parts(spark, sf):
     return rows.filter("split = 'train'").drop("split"), rows.filter("split <> 'train'").drop("split")
 
 
+TEST = SPLIT + """, ok2 as (select * from sp where f_rate is not null and not isinf(f_rate)),
+tr as (select * from ok2 where split = 'train'), te as (select * from ok2 where split <> 'train')
+"""
+BINARY = TEST + """ select count(*) filter (label <> 'BENIGN') as n_attack, count(*) filter (label = 'BENIGN') as n_benign, true as in_range from te"""
+CLASSES = TEST + " select label, count(*) as support, true as in_range from te group by 1"
+
+
+def within(*names: str) -> F.Column:
+    """Whether all these measures are unknown or from 0 to 1."""
+    return reduce(lambda a, b: a & b, [F.coalesce(F.col(n).between(0, 1), F.lit(True)) for n in names])
+
+
+def binary_facts(scored):
+    rates = E.binary_metrics(scored)
+    return rates.select((F.col("tp") + F.col("fn")).alias("n_attack"), (F.col("fp") + F.col("tn")).alias("n_benign"), within("accuracy", "precision", "recall", "f1").alias("in_range"))
+
+
 def report(spark, sf, fit):
     train, rest = parts(spark, sf)
-    return E.binary_metrics(M.attack_probability(fit(train).transform(rest)))
+    return binary_facts(M.attack_probability(fit(train).transform(rest)))
 
 
 def class_report(spark, sf, fit):
     train, rest = parts(spark, sf)
     scored = fit(train).transform(rest).select(F.col("label").alias("true_label"), "predicted_label")
-    return E.classification_report(scored)
+    rows = E.classification_report(scored).filter(~F.col("label").isin("accuracy", "macro avg", "weighted avg") & (F.col("support") > 0))
+    return rows.select("label", F.col("support").cast("bigint").alias("support"), within("precision", "recall", "f1").alias("in_range"))
 
 
-@query("rf_binary")
+def inside(made, real):
+    """Per class how many rows were made, and how many lie inside the range of its real rows."""
+    bounds = real.groupBy("label").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in FEATURES for f in (F.min, F.max)])  # a row per class
+    fits = reduce(lambda a, b: a & b, [F.col(c).between(F.col(f"min_{c}") - 1e-6, F.col(f"max_{c}") + 1e-6) for c in FEATURES])
+    return made.join(bounds, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(fits, 1)).alias("n_inside"))
+
+
+@query("rf_binary", BINARY)
 def rf_binary(spark, sf):
     return report(spark, sf, lambda rows: M.rf_binary(rows, FEATURES))
 
 
-@query("rf_multiclass")
+@query("rf_multiclass", CLASSES)
 def rf_multiclass(spark, sf):
     return class_report(spark, sf, lambda rows: M.rf_multiclass(rows, FEATURES))
 
 
-@query("gbt_binary")
+@query("gbt_binary", BINARY)
 def gbt_binary(spark, sf):
     return report(spark, sf, lambda rows: M.gbt_binary(rows, FEATURES, rounds=5, depth=4))
 
 
-@query("gbt_multiclass")
+@query("gbt_multiclass", CLASSES)
 def gbt_multiclass(spark, sf):
     return class_report(spark, sf, lambda rows: M.gbt_multiclass(rows, FEATURES, rounds=2, depth=3))
 
 
-@query("specialist")
+@query("specialist", CLASSES)
 def specialist(spark, sf):
     return class_report(spark, sf, lambda rows: M.specialist(rows, FEATURES, M.specialist_scope(), rounds=2, depth=3))
 
 
-@query("logistic_regression")
+@query("logistic_regression", BINARY)
 def logistic_regression(spark, sf):
     return report(spark, sf, lambda rows: M.logistic_regression(rows, FEATURES))
 
 
-@query("decision_tree")
+@query("decision_tree", BINARY)
 def decision_tree(spark, sf):
     return report(spark, sf, lambda rows: M.decision_tree(rows, FEATURES))
 
 
-@query("mlp")
+@query("mlp", BINARY)
 def mlp(spark, sf):
     return report(spark, sf, lambda rows: M.mlp(rows, FEATURES, rounds=10))
 
 
-@query("adaboost")
+@query("adaboost", BINARY)
 def adaboost(spark, sf):
     train, rest = parts(spark, sf)
-    return E.binary_metrics(M.adaboost_score(rest, FEATURES, M.adaboost(train, FEATURES, rounds=5)))
+    return binary_facts(M.adaboost_score(rest, FEATURES, M.adaboost(train, FEATURES, rounds=5)))
 
 
-@query("feature_importance")
+@query("feature_importance", "select unnest(['f_packets', 'f_bytes', 'f_rate']) as feature, true as in_range, true as sums_to_one")
 def feature_importance(spark, sf):
     train, _ = parts(spark, sf)
-    return M.feature_importance(spark, M.rf_binary(train, FEATURES), FEATURES)
+    weights = M.feature_importance(spark, M.rf_binary(train, FEATURES), FEATURES)
+    total = weights.agg(F.sum("importance").alias("total"))  # one row
+    return weights.crossJoin(total).select("feature", within("importance").alias("in_range"), (F.abs(F.col("total") - 1) < 1e-9).alias("sums_to_one"))
 
 
-@query("model_comparison")
+@query(
+    "model_comparison",
+    "select unnest(['logistic_regression', 'decision_tree', 'logistic_regression tuned', 'decision_tree tuned']) as model, true as in_range",
+)
 def model_comparison(spark, sf):
     train, rest = parts(spark, sf)
     scored = {
@@ -99,10 +134,10 @@ def model_comparison(spark, sf):
     }
     plain = M.model_comparison(scored).withColumn("threshold_pct", F.lit(50))
     tuned = M.model_comparison(scored, with_best_threshold=True).withColumn("model", F.concat("model", F.lit(" tuned")))
-    return plain.unionByName(tuned)
+    return plain.unionByName(tuned).select("model", within("accuracy", "precision", "recall", "f1").alias("in_range"))
 
 
-@query("model_store")
+@query("model_store", TEST + " select count(*) as n_rows, 0 as n_different, 6 as n_labels from te")
 def model_store(spark, sf):
     """A stored and loaded model scores as before."""
     train, rest = parts(spark, sf)
@@ -110,38 +145,49 @@ def model_store(spark, sf):
     folder = fresh_folder(spark, "model")
     M.save_model(model, folder, {"label_to_id": M.label_maps(model), "classes": fixed.WEB_FAMILY})
     again, about = M.load_model(spark, folder)
-    scored = again.transform(rest).groupBy("predicted_label").agg(F.count(F.lit(1)).alias("n_rows"))
-    return scored.withColumn("n_labels", F.lit(len(about["label_to_id"])))
+    first, second = (m.transform(rest).select("row_id", F.col("predicted_label").alias(n)) for m, n in ((model, "a"), (again, "b")))
+    differ = F.count(F.when(~F.col("a").eqNullSafe(F.col("b")), 1))
+    both = first.join(second, "row_id").agg(F.count(F.lit(1)).alias("n_rows"), differ.alias("n_different"))
+    return both.withColumn("n_labels", F.lit(len(about["label_to_id"])))
 
 
-@query("isolation_forest")
+@query("isolation_forest", TEST + " select label as true_label, count(*) as total, true as in_range from te group by 1")
 def isolation_forest(spark, sf):
     train, rest = parts(spark, sf)
     forest = fit_isolation_forest(B.benign_only(train), FEATURES)
     scored = forest.predict(rest).select(F.col("label").alias("true_label"), F.col("anomaly_flag").alias("predicted_anomaly"))
-    return E.anomaly_detection_rate(scored)
+    return E.anomaly_detection_rate(scored).select("true_label", "total", F.col("flagged").between(0, F.col("total")).alias("in_range"))
 
 
-@query("score_models")
+@query("score_models", TEST + " select row_id, f_packets, f_bytes, f_rate, true as in_range from te")
 def score_models(spark, sf):
     train, rest = parts(spark, sf)
     binary = M.rf_binary(train, FEATURES, trees=5, depth=4)
     classes = M.rf_multiclass(train, FEATURES, trees=5, depth=4)
     forest = fit_isolation_forest(B.benign_only(train), FEATURES, trees=20)
-    return M.score_models(rest.select("row_id", *FEATURES), binary, classes, forest)
+    scored = M.score_models(rest.select("row_id", *FEATURES), binary, classes, forest)
+    known = F.col("multiclass_label").isin(LABELS) & F.col("binary_prediction").isin(0, 1) & F.col("anomaly_score").isNotNull()
+    return scored.select("row_id", *FEATURES, (known & within("binary_confidence", "multiclass_confidence")).alias("in_range"))
 
 
-@query("synthesise_minority")
+@query(
+    "synthesise_minority",
+    TEST + " select label, 1500 - count(*) as n_rows, 1500 - count(*) as n_inside from tr group by 1 having count(*) < 1000",
+)
 def synthesise_minority(spark, sf):
     train, _ = parts(spark, sf)
-    return Y.synthesise_minority(train, FEATURES)
+    return inside(Y.synthesise_minority(train, FEATURES), train)
 
 
-@query("smote")
+@query(
+    "smote",
+    TEST + """, n as (select count(*) filter (label = 'Heartbleed') as few, count(*) filter (label <> 'Heartbleed') as many from tr)
+select 'Heartbleed' as label, many // 2 - few as n_rows, many // 2 - few as n_inside from n where few > 1 and many // 2 > few""",
+)
 def smote(spark, sf):
     """Training rows of Heartbleed made up to half the number of the others; no held-out row is used."""
     train, _ = parts(spark, sf)
-    return N.smote(train, FEATURES, "Heartbleed")
+    return inside(N.smote(train, FEATURES, "Heartbleed"), train)
 
 
 @query(
