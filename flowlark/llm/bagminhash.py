@@ -29,7 +29,7 @@ REGISTERS = BANDS * ROWS
 #: Pairs whose share of equal registers lies so far (over four standard deviations) below the threshold are not compared.
 SLACK = 0.15
 #: Parts of a bucket's members that the strays of the bucket are compared with in different tasks.
-PARTS = 8
+PARTS = 4
 
 
 def shingles(codes: np.ndarray, firsts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +241,7 @@ def regrouped(members: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(now.join(open_, "bucket", "left_semi"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, turns: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, turns: int = 2) -> DataFrame:
     """doc_id and class_id of each row of docs (doc_id, text) with a doc_id; a class is named by its least doc_id.
 
     Two texts are linked if the weighted Jaccard similarity of their five-word shingles is at least
@@ -267,9 +267,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, turns: int
     texts = rows.join(wanted.hint("shuffle_hash"), "doc_id").where(words == F.col("key")).groupBy("doc_id", "key").agg(F.first("text").alias("text"))
     texts = cut_lineage(texts.select(F.col("doc_id").alias("node"), "text"))
     links = docs.sparkSession.createDataFrame([], "u long, v long")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for turn in range(turns + 1):
         pairs = alike(stars(members, turn), contents) if turn < turns else crossing(members, contents)
-        links = cut_lineage(links.unionByName(verified(pairs, texts, similarity)))
+        links = cut_lineage(links.unionByName(verified(pairs, texts, similarity)).coalesce(tasks))
         if turn < turns:
             members = regrouped(members, links)
     rows_of = marked.join(contents.select("key", "node"), "key", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))

@@ -20,6 +20,12 @@ def test_against_sql(spark, con, name):
     assert differences(entry.queries()[name](spark, FOLDER), con, entry.oracle_sql()[name]) == []
 
 
+@pytest.mark.parametrize("name", ["op4_attention", "op8_fertility", "op9_bpe", "op10_recurrent"])
+def test_a_row_for_each_document(spark, name):
+    ids = sorted(r.doc_id for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect())
+    assert sorted(r.doc_id for r in entry.queries()[name](spark, FOLDER).collect()) == ids
+
+
 def test_near_duplicates_of_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
     got = sorted(tuple(r) for r in entry.queries()["op5_bagminhash"](spark, FOLDER).collect())
