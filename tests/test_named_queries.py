@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from flowlark.plans import all_checks, all_queries
 from tests.compare import checker, differences
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
+QUERIES = {name: run for name, run in entry.queries().items() if name in all_queries()}
+CHECKS = {name: sql for name, sql in entry.oracle_sql().items() if name in all_checks()}
 
 
 @pytest.fixture(scope="module")
