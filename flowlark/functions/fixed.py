@@ -69,39 +69,39 @@ TACTICS = [
 ]
 
 # --- fixed values: playbook per label -----------------------------------------------------
-# label | summary | tactics as id:name | techniques as id:name
+# label | summary | tactics (id, name) | techniques (id, name)
 PLAYBOOK = [
     ("PortScan", "The flow pattern is consistent with adversary service discovery prior to exploitation.",
-     ["TA0043:Reconnaissance"], ["T1595:Active Scanning"]),
+     [("TA0043", "Reconnaissance")], [("T1595", "Active Scanning")]),
     ("FTP-Patator", "Repeated login attempts suggest password guessing against exposed FTP services.",
-     ["TA0006:Credential Access"], ["T1110:Brute Force"]),
+     [("TA0006", "Credential Access")], [("T1110", "Brute Force")]),
     ("SSH-Patator", "Repeated authentication failures are aligned with SSH brute-force activity.",
-     ["TA0006:Credential Access"], ["T1110:Brute Force"]),
+     [("TA0006", "Credential Access")], [("T1110", "Brute Force")]),
     ("WebAttack_BruteForce", "The traffic resembles credential stuffing or brute-force attempts against a web-facing login.",
-     ["TA0006:Credential Access", "TA0001:Initial Access"],
-     ["T1110:Brute Force", "T1190:Exploit Public-Facing Application"]),
+     [("TA0006", "Credential Access"), ("TA0001", "Initial Access")],
+     [("T1110", "Brute Force"), ("T1190", "Exploit Public-Facing Application")]),
     ("WebAttack_SQLInjection", "The activity maps to exploitation of a public-facing application through malicious input.",
-     ["TA0001:Initial Access", "TA0009:Collection"], ["T1190:Exploit Public-Facing Application"]),
+     [("TA0001", "Initial Access"), ("TA0009", "Collection")], [("T1190", "Exploit Public-Facing Application")]),
     ("WebAttack_XSS", "The traffic suggests input-driven exploitation of a public-facing application.",
-     ["TA0001:Initial Access", "TA0002:Execution"],
-     ["T1190:Exploit Public-Facing Application", "T1059.007:JavaScript"]),
+     [("TA0001", "Initial Access"), ("TA0002", "Execution")],
+     [("T1190", "Exploit Public-Facing Application"), ("T1059.007", "JavaScript")]),
     ("Infiltration", "This label points to follow-on malicious activity after initial compromise or payload delivery.",
-     ["TA0001:Initial Access", "TA0011:Command and Control"],
-     ["T1190:Exploit Public-Facing Application", "T1071:Application Layer Protocol"]),
+     [("TA0001", "Initial Access"), ("TA0011", "Command and Control")],
+     [("T1190", "Exploit Public-Facing Application"), ("T1071", "Application Layer Protocol")]),
     ("Bot", "The communication pattern suggests a compromised host participating in botnet activity.",
-     ["TA0011:Command and Control"], ["T1071:Application Layer Protocol"]),
+     [("TA0011", "Command and Control")], [("T1071", "Application Layer Protocol")]),
     ("Heartbleed", "The flow aligns with exploitation of a vulnerable public-facing service.",
-     ["TA0001:Initial Access", "TA0006:Credential Access"], ["T1190:Exploit Public-Facing Application"]),
+     [("TA0001", "Initial Access"), ("TA0006", "Credential Access")], [("T1190", "Exploit Public-Facing Application")]),
     ("DDoS", "The event reflects an availability attack intended to saturate network capacity.",
-     ["TA0040:Impact"], ["T1498:Network Denial of Service"]),
+     [("TA0040", "Impact")], [("T1498", "Network Denial of Service")]),
     ("DoS Hulk", "The flow suggests a high-rate denial-of-service attempt against a service endpoint.",
-     ["TA0040:Impact"], ["T1499:Endpoint Denial of Service"]),
+     [("TA0040", "Impact")], [("T1499", "Endpoint Denial of Service")]),
     ("DoS GoldenEye", "The traffic pattern is consistent with an application-layer denial-of-service attempt.",
-     ["TA0040:Impact"], ["T1499:Endpoint Denial of Service"]),
+     [("TA0040", "Impact")], [("T1499", "Endpoint Denial of Service")]),
     ("DoS slowloris", "The event resembles slow HTTP connection abuse aimed at tying up server sockets.",
-     ["TA0040:Impact"], ["T1499:Endpoint Denial of Service"]),
+     [("TA0040", "Impact")], [("T1499", "Endpoint Denial of Service")]),
     ("DoS Slowhttptest", "The observed pattern matches slow-request flooding against an application endpoint.",
-     ["TA0040:Impact"], ["T1499:Endpoint Denial of Service"]),
+     [("TA0040", "Impact")], [("T1499", "Endpoint Denial of Service")]),
 ]
 
 # label | step | phase | technique id | technique | description

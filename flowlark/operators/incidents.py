@@ -136,6 +136,6 @@ def mitre_catalog(spark) -> DataFrame:
 
     heads = inline_table(spark, fixed.PLAYBOOK, ["attack_type", "summary", "tactics", "techniques"])
     return heads.join(F.broadcast(playbook_steps(spark)), "attack_type").select(
-        "attack_type", F.array_join("tactics", ";").alias("tactics"), F.array_join("techniques", ";").alias("techniques"),
+        "attack_type", *[F.array_join(F.transform(c, lambda x: F.array_join(x, ":")), ";").alias(c) for c in ("tactics", "techniques")],
         "step", "phase", "technique_id", "technique", "description",
     )

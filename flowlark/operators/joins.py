@@ -26,10 +26,7 @@ def playbook_steps(spark) -> DataFrame:
 
 
 def _pairs(column: str):
-    return F.transform(
-        F.col(column),
-        lambda x: F.struct(F.split(x, ":", 2)[0].alias("id"), F.split(x, ":", 2)[1].alias("name")),
-    )
+    return F.transform(F.col(column), lambda x: F.struct(x[0].alias("id"), x[1].alias("name")))
 
 
 def playbook(spark) -> DataFrame:

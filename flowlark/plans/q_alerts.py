@@ -58,6 +58,10 @@ def headers(spark, sf) -> DataFrame:
     return I.incidents(alerts(spark, sf))
 
 
+def listed(pairs) -> str:
+    return ";".join(f"{key}:{name}" for key, name in pairs)
+
+
 @query(
     "rule_binary",
     with_views("flows")
@@ -241,7 +245,7 @@ def attack_progression(spark, sf):
 @query(
     "mitre_catalog",
     ALERTS
-    + f""", {STEPS}, heads(kind, tactics, techniques) as (values {values([(k, ';'.join(a), ';'.join(b)) for k, _, a, b in fixed.PLAYBOOK])})
+    + f""", {STEPS}, heads(kind, tactics, techniques) as (values {values([(k, listed(a), listed(b)) for k, _, a, b in fixed.PLAYBOOK])})
 select attack_type, tactics, techniques, step, phase, tid as technique_id, technique, description, n as n_alerts
 from (select attack_type, count(*) as n from al group by 1) a join heads on heads.kind = attack_type join steps on steps.kind = attack_type""",
 )
@@ -254,7 +258,7 @@ def mitre_catalog(spark, sf):
 @query(
     "mitre_playbook",
     with_views("predictions")
-    + f""", {STEPS}, heads(kind, summary, tactics) as (values {values([(k, s, ';'.join(a)) for k, s, a, _ in fixed.PLAYBOOK])})
+    + f""", {STEPS}, heads(kind, summary, tactics) as (values {values([(k, s, listed(a)) for k, s, a, _ in fixed.PLAYBOOK])})
 select packet_id, predicted_label, coalesce(summary, '{fixed.TRIAGE_SUMMARY}') as summary, coalesce(tactics, '') as tactics,
   coalesce((select string_agg(description, ' ' order by step) from steps where steps.kind = predicted_label), '{fixed.TRIAGE_STEP[4]}') as steps
 from predictions left join heads on heads.kind = predicted_label""",
