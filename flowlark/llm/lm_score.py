@@ -3,12 +3,14 @@
 Counts come from every training text. The words of a block go once each to the bucket of their
 hash; the texts' own word counts follow and leave as partial sums, so no vocabulary is gathered.
 The attention model predicts a class of the next subword; how likely the subword is in its class
-comes from the counts. Tasks train copies on whole documents of a fixed share of the training
-texts, which grows with the corpus, and the copies are averaged slice by slice.
+comes from counts given the class before it. All training texts are dealt into shards of about
+SHARD_TOKENS subwords, so a larger corpus has more of them. Shard after shard, tasks train copies
+on its whole texts and the copies are averaged slice by slice; each of ROUNDS rounds takes all shards.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,14 +23,19 @@ from flowlark.llm import attention as net
 from flowlark.llm.fertility import vocabulary
 from flowlark.llm.text import BLOCK_BYTES, blocks, coded, joined_counts, owners, pieces, raw_bytes, sums, word_hashes, word_ranges
 from flowlark.llm.windows import PACKED, numbered, packed, unpacked
-from flowlark.session import cut_lineage
+from flowlark.session import cut_lineage, shared_folder
 
 #: Of the crc32 of the doc_id as text: the remainder by FOLDS that is held out.
 FOLDS, HELD = 5, 1
-CLASSES, INPUTS = 96, 4096
-#: One document in so many trains the model in each round.
-SHARE, ROUNDS, RATE, BATCH = 40, 2, 0.004, 8
+CLASSES, INPUTS = 128, 4096
+#: Times that every training text is gone through, and how fast and in how many windows at once it is learnt from.
+ROUNDS, RATE, BATCH = 2, 0.004, 32
+#: Training subwords between two averages, about how many of them a copy gets, and the least number of shards.
+SHARD_TOKENS, COPY_TOKENS, LEAST_SHARDS = 32_000_000, 500_000, 4
 SLICES = 64
+#: Parts of the counts of pairs, and how many tokens the corpus share in a class weighs against them.
+PAIR_SLICES, SHARE_WEIGHT = 16, 10.0
+SHARDS = "shard int, slot int, payload binary"
 #: What the buckets of words give: packed sums for the texts of a block, or (block null) totals and subword counts.
 ANSWERS = "block long, payload binary, tag int, id long, known long, n long"
 TOTALS, SUBWORDS = -1, -2
@@ -214,31 +221,111 @@ def subwords(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarr
     return out, begins
 
 
-def batches_of(ids: np.ndarray, begins: np.ndarray, classes: Classes, size: int) -> Iterator[tuple]:
-    """Batches of windows: their texts, inputs, which inputs are there, the ids to predict and which are scored."""
+def batches_of(ids: np.ndarray, begins: np.ndarray, classes: Classes, size: int, seed: int | None = None) -> Iterator[tuple]:
+    """Batches of windows: their texts, inputs, which inputs are there, the ids to predict, the classes before them and
+    which are scored. seed: of a mixed order of the windows."""
     doc, places, scored = net.windows_of(begins)
+    if seed is not None:
+        order = np.random.default_rng(seed).permutation(len(doc))
+        doc, places, scored = doc[order], places[order], scored[order]
     for at in range(0, len(doc), size):
         part = slice(at, at + size)
         d, place, score = doc[part], places[part], scored[part]
         there = (place >= 0) & (place < np.diff(begins)[d][:, None])
         target = ids[np.where(there, begins[:-1][d][:, None] + place, 0)]
         before = (place > 0) & there
-        inputs = np.where(before, classes.row[ids[np.where(before, begins[:-1][d][:, None] + place - 1, 0)]], 0)
-        yield d, inputs, there, target, score  # the input of place 0 is the beginning
+        last = ids[np.where(before, begins[:-1][d][:, None] + place - 1, 0)]
+        inputs, previous = np.where(before, classes.row[last], 0), np.where(before, classes.of[last], CLASSES)
+        yield d, inputs, there, target, previous, score  # the input of place 0 is the beginning
 
 
-def trained(train: DataFrame, path: str, end: int, classes: Classes, p: net.Parameters, round_: int) -> net.Parameters:
-    """One round: tasks train copies on their documents, which are averaged by the tokens they saw."""
-    start = net.to_bytes(p)
-    width = -(-len(start) // SLICES)
+def shards_of(tokens: float) -> tuple[int, int]:
+    """Shards for so many training subwords, and the slots of one, whose texts stay together."""
+    shards = max(LEAST_SHARDS, -(-int(tokens) // SHARD_TOKENS))
+    return shards, max(1, -(-int(tokens) // (shards * COPY_TOKENS)))
+
+
+def dealt(train: DataFrame, path: str, end: int, classes: Classes, tokens: float) -> DataFrame:
+    """SHARDS, written: the subwords of every training text (packed ids and lengths), dealt out one text after the other;
+    and as shard -1 the packed counts of pairs (class before, subword) of each task, by slices of the classes."""
+    shards, slots = shards_of(tokens)
+
+    def row(shard: int, slot: int, payload: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([slot], pa.int32()), pa.array([payload], pa.binary())], names=["shard", "slot", "payload"])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        mine, seen, adam = net.from_bytes(start, p), 0, net.Adam(p, RATE / (1 + round_))
+        number, pairs = TaskContext.get().partitionId(), None
         for block in blocks(batches, BLOCK_BYTES):
             ids, begins = subwords(block.column(0), path, end)
-            for _, inputs, there, target, score in batches_of(ids, begins, classes, BATCH):
-                adam.update(mine, net.gradients(mine, inputs, there, classes.of[target], score)[1])
-                seen += int(score.sum())
+            before = np.r_[CLASSES, classes.of[ids[:-1]]]
+            before[begins[:-1]] = CLASSES
+            if pairs is None:
+                pairs = np.zeros((CLASSES + 1) * (end + 1), np.int64)
+            found, n = np.unique(before * (end + 1) + ids, return_counts=True)
+            pairs[found] += n
+            to, lengths = (np.arange(block.num_rows) + number) % (shards * slots), np.diff(begins)
+            for k in np.unique(to).tolist():
+                some = to == k
+                yield row(k % shards, k // shards, packed(ids[np.repeat(some, lengths)].astype(np.int32), lengths[some].astype(np.int32)))
+            number += 1
+        if pairs is not None:
+            some = np.flatnonzero(pairs)
+            part = some // (end + 1) % PAIR_SLICES
+            for k in np.unique(part).tolist():
+                yield row(-1, k, packed(some[part == k].astype(np.int64), pairs[some[part == k]]))
+
+    spark = train.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    train.select("text").mapInArrow(run, SHARDS).repartition(tasks, "shard", "slot").write.partitionBy("shard", "slot").parquet(folder)
+    return spark.read.schema("payload binary, shard int, slot int").parquet(folder)
+
+
+def pair_counts(shards: DataFrame, end: int) -> np.ndarray:
+    """Training counts of each subword (columns) after each class and at the beginning (rows)."""
+
+    def add(batches) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                at, n = unpacked(payload, np.int64, np.int64)
+                total = np.zeros((CLASSES + 1) * (end + 1), np.int64) if total is None else total
+                total[at] += n
+        if total is not None:
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"payload": pa.array([packed(at.astype(np.int64), total[at])], pa.binary())})
+
+    out = np.zeros((CLASSES + 1) * (end + 1))
+    own = shards.where("shard = -1").repartition(PAIR_SLICES, "slot").select("payload")
+    for r in own.mapInArrow(add, "payload binary").collect():  # PAIR_SLICES rows at most: at most classes by vocabulary
+        at, n = unpacked(r.payload, np.int64, np.int64)
+        out[at] += n
+    return out.reshape(CLASSES + 1, end + 1)
+
+
+def inside_given(pairs: np.ndarray, classes: Classes) -> np.ndarray:
+    """Log probability of a subword (columns) in its class, given the class before it (rows): the counts of pairs,
+    with the corpus share as SHARE_WEIGHT further tokens."""
+    out = np.empty(pairs.shape, np.float32)
+    share = np.exp(classes.inside) * SHARE_WEIGHT
+    for k, n in enumerate(pairs):
+        out[k] = np.log((n + share) / (np.bincount(classes.of, n, CLASSES)[classes.of] + SHARE_WEIGHT))
+    return out
+
+
+def trained(shard: DataFrame, classes: Classes, p: net.Parameters, rate: float) -> net.Parameters:
+    """One shard: tasks train copies on their texts, which are averaged by the tokens they saw."""
+    start = net.to_bytes(p)
+    width = -(-len(start) // SLICES)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        mine, seen, adam = net.from_bytes(start, p), 0, net.Adam(p, rate)
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                ids, lengths = unpacked(payload, np.int32, np.int32)
+                for _, inputs, there, target, _, score in batches_of(ids, np.r_[0, np.cumsum(lengths, dtype=np.int64)], classes, BATCH, len(ids)):
+                    adam.update(mine, net.gradients(mine, inputs, there, classes.of[target], score)[1])
+                    seen += int(score.sum())
         if seen:
             flat = np.pad(net.to_bytes(mine), (0, width * SLICES - len(start)))
             yield pa.RecordBatch.from_pydict({"slice": np.arange(SLICES, dtype=np.int32), "seen": np.full(SLICES, seen), "w": [x.tobytes() for x in flat.reshape(SLICES, width)]})
@@ -249,7 +336,7 @@ def trained(train: DataFrame, path: str, end: int, classes: Classes, p: net.Para
         total = (seen[:, None] / seen.sum() * weights).sum(axis=0).astype(np.float32)
         return pa.table({"slice": copies["slice"][:1].cast(pa.int32()), "w": pa.array([total.tobytes()], pa.binary())})
 
-    copies = train.mapInArrow(run, "slice int, seen long, w binary")
+    copies = shard.select("payload").mapInArrow(run, "slice int, seen long, w binary")
     rows = copies.groupBy("slice").applyInArrow(mean, "slice int, w binary").collect()  # SLICES rows: one model
     if not rows:
         return p
@@ -257,12 +344,12 @@ def trained(train: DataFrame, path: str, end: int, classes: Classes, p: net.Para
     return net.from_bytes(flat[: len(start)], p)
 
 
-def scores(ids: np.ndarray, begins: np.ndarray, classes: Classes, p: net.Parameters) -> np.ndarray:
+def scores(ids: np.ndarray, begins: np.ndarray, classes: Classes, p: net.Parameters, given: np.ndarray) -> np.ndarray:
     """log10 probability of each text."""
     out = np.zeros(len(begins) - 1)
-    for d, inputs, there, target, score in batches_of(ids, begins, classes, 128):
-        target, score = target[:, net.CONTEXT :], score[:, net.CONTEXT :]
-        logp = net.log_likelihoods(p, inputs, there, classes.of[target]) + classes.inside[target]
+    for d, inputs, there, target, previous, score in batches_of(ids, begins, classes, 128):
+        target, previous, score = (x[:, net.CONTEXT :] for x in (target, previous, score))
+        logp = net.log_likelihoods(p, inputs, there, classes.of[target]) + given[previous, target]
         np.add.at(out, d, (logp * score).sum(axis=1))
     return out / np.log(10)
 
@@ -276,8 +363,8 @@ def lm_scores(docs: DataFrame, path: str) -> DataFrame:
     A null text has only its end; a null doc_id counts as the empty text for the fold; repeated rows
     give repeated results and count as often as they occur; other columns are not looked at; an
     empty table gives an empty result. With no training text the base gives each token
-    probability 1 and the model is untrained. One document in SHARE trains the model in each of
-    ROUNDS rounds, over its whole text; all training texts are counted.
+    probability 1 and the model is untrained. Every training text trains the model over its whole
+    length in each of ROUNDS rounds, and is counted; its subwords are written in the shared folder once.
     """
     rows = numbered(docs)
     base = cut_lineage(unigram_answers(rows, path))
@@ -292,8 +379,10 @@ def lm_scores(docs: DataFrame, path: str) -> DataFrame:
     train = rows.where(F.crc32(key.cast("binary")) % FOLDS != HELD)
     classes = Classes(counts)
     p = net.fresh(INPUTS, classes.prior)
-    for round_ in range(ROUNDS):
-        p = trained(train.where(F.pmod(F.xxhash64(key), F.lit(SHARE)) == round_).select("text"), path, end, classes, p, round_)
+    shards, (many, _) = dealt(train, path, end, classes, counts.sum()), shards_of(counts.sum())
+    given = inside_given(pair_counts(shards, end), classes)
+    for step in range(ROUNDS * many):
+        p = trained(shards.where(F.col("shard") == step % many), classes, p, RATE * (1 - step / (ROUNDS * many)))
     flat = net.to_bytes(p)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -302,7 +391,7 @@ def lm_scores(docs: DataFrame, path: str) -> DataFrame:
             ids, begins = subwords(block.column(2), path, end)
             bytes_, at = raw_bytes(block.column(2))
             words = np.diff(word_ranges(bytes_, at)[2])
-            yield pa.RecordBatch.from_pydict({"doc_id": block.column(0), "tag": block.column(1), "held_out": fold(block.column(0).to_pylist()) == HELD, "n_tokens": words + 1, "score": scores(ids, begins, classes, mine)})
+            yield pa.RecordBatch.from_pydict({"doc_id": block.column(0), "tag": block.column(1), "held_out": fold(block.column(0).to_pylist()) == HELD, "n_tokens": words + 1, "score": scores(ids, begins, classes, mine, given)})
 
     scored = rows.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag int, held_out boolean, n_tokens long, score double")
     own = text_sums(base).groupBy(F.col("doc_id").alias("d"), F.col("tag").alias("t")).agg(F.max("s").alias("s"), F.max("known").alias("n_known"))  # rows alike have like sums

@@ -168,6 +168,38 @@ def test_language_model_base_and_folds(spark):
     assert all(r.score < 0 for r in out)
 
 
+def test_every_training_text_reaches_the_language_model(spark, rows):
+    from flowlark.llm import lm_score as lm
+
+    path = vocabulary_path(RANKS)
+    end = len(lm.vocabulary(path)[1])
+    texts = [t or "" for _, t in rows]
+    ids, begins = lm.subwords(pa.array(texts), path, end)
+    classes = lm.Classes(np.bincount(ids, minlength=end + 1))
+    shards = lm.dealt(table(spark, rows).repartition(3), path, end, classes, len(ids))
+    got = collections.Counter()
+    for r in shards.where("shard >= 0").collect():
+        own, lengths = lm.unpacked(r.payload, np.int32, np.int32)
+        got.update(tuple(x) for x in np.split(own, np.cumsum(lengths)[:-1]))
+    assert got == collections.Counter(tuple(ids[a:b]) for a, b in zip(begins, begins[1:]))
+    assert {r.shard for r in shards.collect()} == {-1, *range(lm.shards_of(len(ids))[0])}
+    pairs = lm.pair_counts(shards, end)
+    assert pairs.sum() == len(ids) and pairs[lm.CLASSES].sum() == len(texts)
+    inside = np.exp(lm.inside_given(pairs, classes).astype(float))
+    assert all(np.allclose(np.bincount(classes.of, x, lm.CLASSES), 1, atol=1e-4) for x in inside[:: lm.CLASSES // 4])
+    assert lm.shards_of(1e10)[0] > 9 * lm.shards_of(1e9)[0] > 9 * lm.shards_of(1e6)[0]
+
+
+def test_language_model_learns_what_follows(spark):
+    draw, words = random.Random(4), ["red", "blue", "green", "stone", "river", "house", "cloud", "bread"]
+    texts = []
+    for _ in range(400):
+        at = draw.randrange(8)
+        texts.append(" ".join(words[(at + i) % 8] for i in range(draw.randint(40, 120))))
+    out = [r for r in lm_scores(table(spark, list(enumerate(texts))), vocabulary_path(RANKS)).collect() if r.held_out]
+    assert sum(r.score for r in out) > 0.5 * sum(r.base_score for r in out)
+
+
 def test_attention_gradients_and_single_scoring():
     draw = np.random.default_rng(0)
     p = {k: x.astype(np.float64) for k, x in attention.fresh(20, np.log(np.full(6, 1 / 6))).items()}
