@@ -133,6 +133,23 @@ def test_fertility_tokens_are_the_vocabularys(spark):
     assert math.isclose(out.entropy_0, -(share * np.log2(share)).sum())
 
 
+def test_fertility_bands_refuse_bad_and_keep_good(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    out = [r for r in fertility(spark.read.parquet(f"{folder}/documents.parquet")).collect() if not r.base_failed]
+    bad, good = ([not r.kept for r in out if labels.get(r.doc_id) == q] for q in (0, 1))
+    assert len(bad) > 10 and len(good) > 100
+    assert np.mean(bad) > 0.85 and np.mean(good) < 0.03
+
+
+def test_fertility_bounds_of_other_scripts_fire(spark):
+    few, none, fine = "\u65e5\u672c " * 400, "12 34 " * 400, " ".join(str(i * 7919) for i in range(400))
+    docs = table(spark, [(1, few), (2, none), (3, fine)])
+    out = {r.doc_id: r for r in fertility(docs, least_words=1, most_repeated=100).collect()}
+    assert [out[i].script for i in (1, 2, 3)] == ["other", "none", "none"]
+    assert [out[i].kept for i in (1, 2, 3)] == [False, False, True]
+
+
 def test_masks_hit_every_window_they_promise():
     import itertools
 
