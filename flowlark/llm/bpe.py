@@ -1,10 +1,9 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash over four bytes cuts each text into chunks, so equal passages give equal
-chunks wherever they stand, and a chunk shared by many documents is encoded once. A join of
-two chunks is exact when white space follows the cut: no token of the vocabulary and no
-step of its normaliser reaches over white space. Every other join is repaired: its window
-grows chunk by chunk until both ends are exact, and is encoded again as one.
+A rolling hash over four bytes cuts each text, so equal passages give equal spans wherever they
+stand. Only cuts before white space are used: no token of the vocabulary and no step of its
+normaliser reaches over white space, so joins there are exact. Cuts inside a word are discarded
+and counted; no join is encoded again. Spans are encoded once in a block at most.
 """
 
 from __future__ import annotations
@@ -178,7 +177,7 @@ def encode_decode(docs: DataFrame, path: str, outputs: list[str] | None = None,
     """Ids and decoded text of each row of docs (doc_id, text), as the vocabulary's own library gives them.
 
     outputs: of OUTPUTS; digests are of the decimal ids joined by spaces and of the decoded text.
-    keep: further columns of docs to pass on. n_repaired counts the joins that were repaired.
+    keep: further columns of docs to pass on. n_repaired counts cuts inside words, which are discarded.
     A null text counts as empty (0 tokens, digest of the empty string); a null doc_id stays null;
     repeated rows give repeated results; an empty table gives an empty result.
     """
