@@ -9,8 +9,11 @@ from flowlark.llm.bagminhash import near_duplicates
 from flowlark.llm.bpe import encode_decode
 from flowlark.llm.chat import preference_format, preference_pairs
 from flowlark.llm.decontaminate import contaminated
+from flowlark.llm.embedding import near_vectors
 from flowlark.llm.fertility import RANKS, fertility, vocabulary_path
 from flowlark.llm.lm_score import lm_scores
+from flowlark.llm.periodic import digested, periodic_runs, planted
+from flowlark.llm.resample import importance_resample
 from flowlark.llm.substring import without_repeats
 from flowlark.llm.toxicity import toxicity
 from flowlark.llm.warc import derived_records, responses_of_pages
@@ -75,5 +78,20 @@ def op10_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {q.__name__: q for q in (op1_preference, op2_derivatives, op3_bucket_pointers, op4_attention, op5_bagminhash, op6_spaced_seeds, op7_super_kmers, op8_fertility, op9_bpe, op10_recurrent)}
-CHECKS: dict[str, str] = {"op1_preference": sql.OP1, "op2_derivatives": sql.OP2, "op3_bucket_pointers": sql.OP3, "op6_spaced_seeds": sql.OP6, "op7_super_kmers": sql.OP7}
+def op11_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and connected groups of all vectors."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, after one in ten is made to repeat itself; lists of runs as digests."""
+    return digested(periodic_runs(planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the texts of the benchmark."""
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {q.__name__: q for q in (op1_preference, op2_derivatives, op3_bucket_pointers, op4_attention, op5_bagminhash, op6_spaced_seeds, op7_super_kmers, op8_fertility, op9_bpe, op10_recurrent, op11_epsilon_grid, op12_periodic_runs, op13_importance_resampling)}
+CHECKS: dict[str, str] = {"op1_preference": sql.OP1, "op2_derivatives": sql.OP2, "op3_bucket_pointers": sql.OP3, "op6_spaced_seeds": sql.OP6, "op7_super_kmers": sql.OP7, "op11_epsilon_grid": sql.OP11, "op12_periodic_runs": sql.OP12, "op13_importance_resampling": sql.OP13}

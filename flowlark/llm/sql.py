@@ -111,3 +111,81 @@ r AS (SELECT doc_id, string_agg(x, '' ORDER BY j) AS x FROM b ANTI JOIN g USING
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
   sha256(unhex(coalesce(x, ''))) AS kept_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id)"""
+
+
+OP11 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+    embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS good
+  FROM embeddings),
+links AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.good AND b.good AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reached(vec_id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.w, r.root FROM reached r JOIN links l ON l.u = r.vec_id AND l.w > r.root),
+least AS (SELECT vec_id, min(root) AS component_id FROM reached GROUP BY vec_id),
+n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN least USING (vec_id) LEFT JOIN n ON n.u = v.vec_id"""
+
+
+def _bits(steps: int = 8) -> str:
+    """The check value of each byte: `steps` divisions by the reversed polynomial 0xEDB88320."""
+    out = "SELECT range AS i, range AS c FROM range(256)"
+    for _ in range(steps):
+        out = f"SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END AS c FROM ({out})"
+    return out
+
+
+_CRC_TABLE = f"crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM ({_bits()}))"
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of a text, beside the one-row table crc."""
+    pairs = f"list_transform(range(0, octet_length(encode({text}))), lambda k: CAST('0x' || substring(hex(encode({text})), 2 * k + 1, 2) AS BIGINT))"
+    return f"xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {pairs}), lambda p, q: xor(p >> 8, crc.t[xor(p, q) % 256 + 1])))"
+
+
+OP12 = f"""
+WITH {_CRC_TABLE},
+d AS (
+  SELECT doc_id, CASE WHEN doc_id IS NULL THEN 1 ELSE {_crc32('CAST(doc_id AS VARCHAR)')} END AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents, crc),
+e AS (SELECT *, row_number() OVER () AS r, CAST(len(w) AS BIGINT) AS n, h // 10 AS g FROM d),
+f AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM e),
+t AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE w[1:a] || list_transform(range(0, n - a), lambda k: w[a + k % (1 + (n - a) // (3 + g % 8)) + 1]) END AS w FROM f),
+word AS (SELECT r, n, unnest(range(0, n)) AS i, unnest(w) AS x FROM t),
+same AS (SELECT a.r, b.i - a.i AS q, a.i FROM word a JOIN word b ON a.r = b.r AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+isle AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM same) GROUP BY r, q, k),
+run AS (SELECT r, start, length, min(q) AS period FROM isle WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run),
+left_ AS (SELECT word.r, string_agg(x, ' ' ORDER BY word.i) AS kept FROM word ANTI JOIN gone ON word.r = gone.r AND word.i = gone.i GROUP BY word.r),
+found AS (
+  SELECT r, count(*) AS n_runs, min({{'n': -length, 's': start, 'p': period}}) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM run GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(-best.n AS BIGINT) AS length, CAST(best.p AS BIGINT) AS period,
+  CAST(1000 * -best.n // best.p AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN found USING (r) LEFT JOIN left_ USING (r)"""
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FEATURES = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP13 = f"""
+WITH {_CRC_TABLE},
+s AS (SELECT row_number() OVER () AS r, doc_id, {_FEATURES} AS w FROM documents),
+sw AS (SELECT r, x, count(*) AS n FROM (SELECT r, unnest(w) AS x FROM s) GROUP BY r, x),
+tw AS (SELECT x, count(*) AS n FROM (SELECT unnest({_FEATURES}) AS x FROM benchmark) GROUP BY x),
+b AS (SELECT x, {_crc32('x')} % 10000 AS bucket FROM (SELECT x FROM sw UNION SELECT x FROM tw), crc),
+sb AS (SELECT bucket, sum(n) AS n FROM sw JOIN b USING (x) GROUP BY bucket),
+tb AS (SELECT bucket, sum(n) AS n FROM tw JOIN b USING (x) GROUP BY bucket),
+whole AS (SELECT coalesce((SELECT sum(n) FROM sb), 0) AS s, coalesce((SELECT sum(n) FROM tb), 0) AS t),
+gain AS (
+  SELECT k AS bucket, floor(1000 * ln(CAST((coalesce(tb.n, 0) + 1) * (whole.s + 10000) AS DOUBLE) / CAST((coalesce(sb.n, 0) + 1) * (whole.t + 10000) AS DOUBLE))) AS g
+  FROM range(10000) x(k), whole LEFT JOIN sb ON sb.bucket = k LEFT JOIN tb ON tb.bucket = k),
+weighed AS (SELECT r, sum(n * g) AS weight FROM sw JOIN b USING (x) JOIN gain USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substring(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM s LEFT JOIN weighed USING (r)),
+drawn AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS rank FROM scored WHERE n_features >= 20 AND doc_id IS NOT NULL),
+wanted AS (SELECT 10 * count(*) // 100 AS k FROM drawn)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= k THEN CAST(rank AS BIGINT) END AS rank
+FROM scored LEFT JOIN drawn USING (r), wanted"""

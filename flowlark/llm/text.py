@@ -58,10 +58,10 @@ def pieces(bytes_: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind=pa.str
     return pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def word_ranges(bytes_: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs of other bytes than ASCII white space), and the first word of each text."""
+def word_ranges(bytes_: np.ndarray, begins: np.ndarray, gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of other bytes than those of `gaps`, by default ASCII white space), and the first word of each text."""
     inside = np.zeros(len(bytes_) + 2, bool)
-    inside[1:-1] = ~SPACES[bytes_]
+    inside[1:-1] = ~gaps[bytes_]
     opens = inside[1:-1] & ~inside[:-2]
     closes = inside[1:-1] & ~inside[2:]
     edges = begins[1:-1]
