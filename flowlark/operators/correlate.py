@@ -27,6 +27,15 @@ def severity_rank(severity: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), severity)
 
 
+def mean_confidence(value: str = "confidence") -> Column:
+    """Average to 3 places, half up, of values from 0 to 1 taken to 6 places.
+
+    Whole millionths are summed and divided once, so the order in which rows arrive makes no difference.
+    """
+    millionths, n = F.sum(F.round(F.col(value) * 1_000_000).cast("bigint")), F.count(value)
+    return F.when(n > 0, F.floor((2 * millionths + 1000 * n).cast("decimal(38,0)") / (2000 * n)).cast("bigint") / F.lit(1000.0))
+
+
 def alert_groups(df: DataFrame, seconds: int = 60, ts: str = "ts") -> DataFrame:
     """Attack predictions per source, time bucket and label.
 
@@ -38,7 +47,7 @@ def alert_groups(df: DataFrame, seconds: int = 60, ts: str = "ts") -> DataFrame:
     bucket = F.window(F.col(ts), f"{seconds} seconds")["start"]
     return rows.groupBy("src_ip", bucket.alias("time_bucket"), "predicted_label").agg(
         F.count(F.lit(1)).alias("alert_count"),
-        F.avg("confidence").alias("avg_confidence"),
+        mean_confidence().alias("avg_confidence"),
         F.min(ts).alias("first_seen"),
         F.max(ts).alias("last_seen"),
         F.sort_array(F.collect_set("dst_port")).alias("dst_ports"),
@@ -50,7 +59,7 @@ def correlated_events(groups: DataFrame, threshold: int = fixed.ALERT_THRESHOLD)
     """Groups at or above the threshold with severity and ATT&CK columns."""
     kept = groups.filter(F.col("alert_count") >= threshold)
     named = kept.withColumn("severity", count_severity(F.col("alert_count")))
-    return mitre_enrich(named).withColumn("avg_confidence", F.round("avg_confidence", 3))
+    return mitre_enrich(named)
 
 
 def correlate_alerts(df: DataFrame, seconds: int = 60, threshold: int = fixed.ALERT_THRESHOLD, ts: str = "ts") -> DataFrame:

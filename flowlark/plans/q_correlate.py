@@ -26,12 +26,12 @@ MITRE = f"mitre(label, mitre_id, technique, tactic) as (values {values(fixed.COR
 GROUPS = (
     with_views("predictions")
     + """, groups as (select src_ip, date_trunc('minute', ts) as b, predicted_label, count(*) as alert_count,
-  avg(confidence) as c, min(ts) as first_seen, max(ts) as last_seen,
+  (2 * sum(cast(round(confidence * 1000000) as bigint)) + 1000 * count(confidence)) // (2000 * count(confidence)) / 1000.0::double as c, min(ts) as first_seen, max(ts) as last_seen,
   string_agg(distinct cast(dst_port as varchar), ',' order by cast(dst_port as varchar)) as dst_ports,
   string_agg(distinct protocol, ',' order by protocol) as protocols
 from predictions where predicted_label is distinct from 'BENIGN' group by all), """
     + MITRE
-    + """, ev as (select g.*, round(c, 3) as avg_confidence,
+    + """, ev as (select g.*, c as avg_confidence,
   case when alert_count >= 25 then 'CRITICAL' when alert_count >= 10 then 'HIGH' when alert_count >= 3 then 'MEDIUM'
     else 'LOW' end as severity, coalesce(mitre_id, 'T????') as mid, coalesce(technique, 'Unknown Technique') as tech,
   coalesce(tactic, 'Unknown Tactic') as tac
@@ -139,10 +139,11 @@ def tactic_coverage(spark, sf):
 @query(
     "critical_events",
     with_views("predictions")
-    + """, groups as (select src_ip, time_bucket(interval 10 minutes, ts) as b, predicted_label, count(*) as n, avg(confidence) as c,
+    + """, groups as (select src_ip, time_bucket(interval 10 minutes, ts) as b, predicted_label, count(*) as n,
+  (2 * sum(cast(round(confidence * 1000000) as bigint)) + 1000 * count(confidence)) // (2000 * count(confidence)) / 1000.0::double as c,
   min(ts) as first_seen from predictions where predicted_label <> 'BENIGN' group by all), """
     + MITRE
-    + f"""select src_ip, predicted_label, n as alert_count, round(c, 3) as avg_confidence, {TEXT.format('first_seen')} as first_seen,
+    + f"""select src_ip, predicted_label, n as alert_count, c as avg_confidence, {TEXT.format('first_seen')} as first_seen,
   mitre_id, technique from groups left join mitre on label = predicted_label where n >= 25
 order by n desc, src_ip, first_seen, predicted_label limit 10""",
 )

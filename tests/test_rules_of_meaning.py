@@ -288,3 +288,15 @@ def test_parity_sees_missing_columns(spark):
 def test_leaking_file_is_named(spark):
     df = spark.createDataFrame([("f", "train"), ("f", "test"), ("g", "test")], "source_file string, split string")
     assert [tuple(r) for r in J.split_leakage(df).collect()] == [("f", "test,train")]
+
+def test_averages_do_not_depend_on_row_order(spark):
+    from flowlark.operators.correlate import correlate_alerts
+    from flowlark.sources.tables import view
+
+    rows = view(spark, "/root/testdata/sf0.01", "predictions").repartition(16).persist()
+    got = [sorted(map(tuple, correlate_alerts(rows.repartition(n)).select("src_ip", "time_bucket", "predicted_label", "avg_confidence").collect())) for n in (1, 3, 16)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 1000
+    few = spark.createDataFrame([("a", 0.0005), ("a", 0.0), ("b", 0.001), ("b", 0.002), ("c", None)], "k string, confidence double")
+    from flowlark.operators.correlate import mean_confidence
+
+    assert {r.k: r.m for r in few.groupBy("k").agg(mean_confidence().alias("m")).collect()} == {"a": 0.0, "b": 0.002, "c": None}
