@@ -1,29 +1,36 @@
-"""Detectors trained with MLlib. Defaults are the published settings; names as given there."""
+"""Detectors. Defaults are the published settings; names as given there.
+
+Forests and boosted models are grown by `trees` on bounded samples, the others by MLlib or by one pass over
+the table for each round.
+"""
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    OneVsRest,
-    RandomForestClassifier,
 )
-from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from flowlark.functions import fixed
 from flowlark.operators import evaluate as E
 from flowlark.operators.clean import binary_label
 from flowlark.operators.sampling import balanced_binary, class_weights, sample_per_class, specialist_training_set, with_balanced_weight
 from flowlark.operators.scale import checked_small
+from flowlark.operators.trees import TreeModel, binned, cut_points, feature_arrays, fit_boosted, fit_forest
 from flowlark.session import cut_lineage
 
 SEED = 42
@@ -49,22 +56,21 @@ def fit_binary(df: DataFrame, features: list[str], estimator, weighted: bool = F
     return Pipeline(stages=[*stages, estimator.setFeaturesCol("features").setLabelCol("target")]).fit(rows)
 
 
-def fit_classes(df: DataFrame, features: list[str], estimator, weights: DataFrame | None = None) -> PipelineModel:
-    """Pipeline from raw columns to a label. `weights`: label, weight."""
-    rows = df
-    if weights is not None:
-        rows = df.join(checked_small(weights), "label")
-        estimator = estimator.setWeightCol("weight")
-    index = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc").fit(rows)
-    names = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=index.labels)
-    body = Pipeline(stages=[assembler(features), estimator.setFeaturesCol("features").setLabelCol("target")])
-    inner = body.fit(index.transform(rows))
-    return PipelineModel(stages=[*inner.stages, names])
+def with_class_number(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Adds `target`, the place of the label in the alphabetical list of labels, and gives that list (one entry per class)."""
+    labels = sorted(r["label"] for r in rows.select("label").distinct().collect())
+    number = F.array_position(F.array(*(F.lit(x) for x in labels)), F.col("label")) - 1
+    return rows.withColumn("target", number.cast("int")), labels
+
+
+def probabilities(scored: DataFrame) -> Column:
+    """The class probabilities as an array, whichever kind of model gave them."""
+    return F.col("probability") if isinstance(scored.schema["probability"].dataType, ArrayType) else vector_to_array("probability")
 
 
 def attack_probability(scored: DataFrame) -> DataFrame:
     """Adds `probability` of attack and the label pair used by the evaluation operators."""
-    p = vector_to_array("probability")[1]
+    p = probabilities(scored)[1]
     called = F.when(F.col("prediction") == 1, "ATTACK").otherwise("BENIGN")
     kept = [c for c in ("row_id", "label") if c in scored.columns]
     return scored.select(*kept, F.col("label").alias("true_label"), called.alias("predicted_label"), p.alias("probability"))
@@ -76,27 +82,31 @@ def attack_probability(scored: DataFrame) -> DataFrame:
 # --- single models ------------------------------------------------------------------------
 
 
-def rf_binary(df, features, trees: int = 100, depth: int = 20, per_class: int = 50_000) -> PipelineModel:
-    sample = cut_lineage(balanced_binary(df, per_class, per_class))
-    return fit_binary(sample, features, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED), weighted=True)
+def rf_binary(df, features, trees: int = 100, depth: int | None = None, per_class: int = 50_000) -> TreeModel:
+    sample = cut_lineage(with_balanced_weight(balanced_binary(df, per_class, per_class), "target"))
+    return fit_forest(sample, features, "target", 2, "weight", trees, depth, seed=SEED)
 
 
-def rf_multiclass(df, features, trees: int = 100, depth: int = 20, cap: int = 20_000) -> PipelineModel:
-    sample = cut_lineage(sample_per_class(df, cap))
-    weights = class_weights(sample).select("label", F.col("balanced_weight").alias("weight"))
-    return fit_classes(sample, features, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED), weights)
+def rf_multiclass(df, features, trees: int = 100, depth: int | None = None, cap: int = 20_000) -> TreeModel:
+    sample, labels = with_class_number(cut_lineage(sample_per_class(df, cap)))
+    model = fit_forest(sample, features, "target", len(labels), None, trees, depth, balance=True, seed=SEED)
+    return replace(model, labels=labels)
 
 
-def _boosted(rounds: int, depth: int, step: float) -> GBTClassifier:
-    return GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED)
+def gbt_binary(df, features, rounds: int = 200, depth: int = 6, step: float = 0.1, per_class: int = 50_000) -> TreeModel:
+    return fit_boosted(cut_lineage(balanced_binary(df, per_class, per_class)), features, "target", 2, None, rounds, depth, step, seed=SEED)
 
 
-def gbt_binary(df, features, rounds: int = 200, depth: int = 6, step: float = 0.1, per_class: int = 50_000) -> PipelineModel:
-    return fit_binary(cut_lineage(balanced_binary(df, per_class, per_class)), features, _boosted(rounds, depth, step))
+def gbt_multiclass(df, features, rounds: int = 200, depth: int = 6, step: float = 0.1, cap: int = 20_000) -> TreeModel:
+    """Softmax over the classes; a class probability serves as confidence."""
+    sample, labels = with_class_number(cut_lineage(sample_per_class(df, cap)))
+    return replace(fit_boosted(sample, features, "target", max(len(labels), 3), None, rounds, depth, step, seed=SEED), labels=labels)
 
 
-def gbt_multiclass(df, features, rounds: int = 200, depth: int = 6, step: float = 0.1, cap: int = 20_000, parallelism: int = 4) -> PipelineModel:
-    return fit_classes(cut_lineage(sample_per_class(df, cap)), features, OneVsRest(classifier=_boosted(rounds, depth, step), parallelism=parallelism))
+def gradient_boosting(df, features, rounds: int = 100, depth: int = 3, per_class: int = 50_000) -> TreeModel:
+    """The plain form of the comparison: all rows and features in each round."""
+    sample = cut_lineage(balanced_binary(df, per_class, per_class))
+    return fit_boosted(sample, features, "target", 2, None, rounds, depth, 0.1, 1.0, 1.0, seed=SEED)
 
 
 def specialist_scope(named: list[str] | None = None, weak: list[str] | None = None) -> list[str]:
@@ -112,10 +122,13 @@ def specialist_scope(named: list[str] | None = None, weak: list[str] | None = No
     raise AssertionError
 
 
-def specialist(df, features, classes: list[str], rounds: int = 300, depth: int = 6, step: float = 0.05, parallelism: int = 4) -> PipelineModel:
+def specialist(df, features, classes: list[str], rounds: int = 300, depth: int = 6, step: float = 0.05) -> TreeModel:
+    """Softmax over BENIGN and the specialist's classes, each row with the weight of its class."""
     sample = cut_lineage(specialist_training_set(df, classes))
     weights = class_weights(sample).select("label", F.col("specialist_weight").alias("weight"))
-    return fit_classes(sample, features, OneVsRest(classifier=_boosted(rounds, depth, step), parallelism=parallelism), weights)
+    rows, labels = with_class_number(sample.join(checked_small(weights), "label"))
+    model = fit_boosted(rows, features, "target", max(len(labels), 3), "weight", rounds, depth, step, least=2.0, gamma=0.1, seed=SEED)
+    return replace(model, labels=labels)
 
 
 def logistic_regression(df, features) -> PipelineModel:
@@ -126,58 +139,129 @@ def decision_tree(df, features, depth: int = 20) -> PipelineModel:
     return fit_binary(df, features, DecisionTreeClassifier(maxDepth=depth, seed=SEED), weighted=True)
 
 
-def mlp(df, features, hidden: tuple = (128, 64, 32), rounds: int = 100, per_class: int = 50_000) -> PipelineModel:
-    """Layers 128-64-32 with sigmoid units; classes are balanced by sampling."""
+def mlp(df, features, hidden: tuple = (128, 64, 32), rounds: int = 100, per_class: int = 50_000, held: float = 0.1, every: int = 10, patience: int = 2) -> PipelineModel:
+    """Layers 128-64-32 with sigmoid units; classes are balanced by sampling; stopped early.
+
+    A share of the sample is held back. Every few rounds its log-loss is measured; once it has not fallen
+    `patience` times in a row, or after `rounds`, the weights with the least loss are kept.
+    """
+    sample = cut_lineage(balanced_binary(df, per_class, per_class))
+    aside = F.pmod(F.xxhash64("row_id"), F.lit(1000)) < int(held * 1000)
+    scaler = Pipeline(stages=[assembler(features, "raw_features"), StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)]).fit(sample)
+    rows = cut_lineage(scaler.transform(sample).select("features", F.col("target").cast("double").alias("target"), aside.alias("aside")))
+    fitted, judged = rows.where("NOT aside"), rows.where("aside")
     layers = [len(features), *hidden, 2]
-    net = MultilayerPerceptronClassifier(layers=layers, maxIter=rounds, seed=SEED, blockSize=128)
-    return fit_binary(cut_lineage(balanced_binary(df, per_class, per_class)), features, net, scaled=True)
+    best, least, bad, weights = None, math.inf, 0, None
+    for done in range(0, rounds, every):
+        net = MultilayerPerceptronClassifier(layers=layers, maxIter=min(every, rounds - done), seed=SEED, blockSize=128, labelCol="target")
+        model = (net if weights is None else net.setInitialWeights(weights)).fit(fitted)
+        weights = model.weights
+        loss = log_loss(model.transform(judged))
+        if best is None or loss < least - 1e-6:
+            best, least, bad = model, loss, 0
+        else:
+            bad += 1
+            if bad >= patience:
+                break
+    return PipelineModel(stages=[*scaler.stages, best])
 
 
-def adaboost(df: DataFrame, features: list[str], rounds: int = 50, save_every: int = 5) -> list[tuple[float, PipelineModel]]:
-    """Weighted stumps: each round fits one on reweighted rows. Returns (vote, stump) pairs.
+def log_loss(scored: DataFrame, target: str = "target") -> float:
+    """Mean logarithmic loss of the probability of class 1; 0 for no rows."""
+    p = F.least(F.greatest(probabilities(scored)[1], F.lit(1e-15)), F.lit(1 - 1e-15))
+    return scored.agg(F.avg(-F.log(F.when(F.col(target) == 1, p).otherwise(1 - p))).alias("l")).first()["l"] or 0.0
 
-    Weights live in a column; the lineage is cut in the shared folder every few rounds.
+
+@dataclass
+class Stump:
+    """Rows with a value up to `cut` (`low`) and the others (`high`) are called 1 or 0."""
+
+    feature: str
+    cut: float
+    low: int
+    high: int
+    error: float
+    vote: float
+
+
+def stump_call(stump: Stump) -> Column:
+    return F.when(F.col(stump.feature) <= stump.cut, stump.low).otherwise(stump.high)
+
+
+def adaboost(df: DataFrame, features: list[str], rounds: int = 50, bins: int = 255) -> list[Stump]:
+    """Weighted stumps: each round takes the best of all features and cuts from one aggregate of the weights
+    per (feature, bin, class), one pass over the table. A row's weight follows from the stumps so far.
+
+    Cuts are quantiles of each feature; a null counts as beyond all cuts. Ties go to the first feature and cut.
     """
-    rows = cut_lineage(assembler(features).transform(with_target(df)).select("features", "target").withColumn("weight", F.lit(1.0)))
-    stumps: list[tuple[float, PipelineModel]] = []
-    for i in range(rounds):
-        stump = DecisionTreeClassifier(maxDepth=1, weightCol="weight", labelCol="target", seed=SEED).fit(rows)
-        called = stump.transform(rows)
-        wrong = F.col("prediction") != F.col("target")
-        sums = called.agg(F.sum("weight").alias("w"), F.sum(F.when(wrong, F.col("weight")).otherwise(0.0)).alias("e")).first()
-        error = sums["e"] / sums["w"]
-        if error >= 0.5:
+    cuts = cut_points(df, features, bins)
+
+    def binned_rows(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = binned(feature_arrays(batch, names), cuts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(b.astype(np.int16)) for b in made)], ["target", *names])
+
+    names = [f"b{i}" for i in range(len(features))]
+    wide = with_target(df).select(F.col("target").cast("int").alias("target"), *(F.col(f).cast("double").alias(n) for f, n in zip(features, names)))
+    rows = cut_lineage(wide.mapInArrow(binned_rows, "target int, " + ", ".join(f"{n} smallint" for n in names)))
+    stumps: list[Stump] = []
+    chosen: list[tuple[int, int, int, int, float]] = []
+    for _ in range(rounds):
+
+        def sums(batches, chosen=tuple(chosen)) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(names), 256, 2))
+            for batch in batches:
+                t = batch.column(0).to_numpy(zero_copy_only=False)
+                made = [batch.column(i + 1).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(names))]
+                grown = np.zeros(len(t))
+                for f, b, low, high, vote in chosen:
+                    grown += vote * (np.where(made[f] <= b, low, high) != t)
+                weight = np.exp(grown)
+                for f, m in enumerate(made):
+                    total[f] += np.bincount(m * 2 + t, weight, 512).reshape(256, 2)
+            f, b = np.nonzero(total.sum(axis=2))
+            yield pa.RecordBatch.from_pydict({"f": pa.array(f, pa.int32()), "b": pa.array(b, pa.int32()), "w0": total[f, b, 0], "w1": total[f, b, 1]})
+
+        # At most 256 rows for each feature come to the driver.
+        found = rows.mapInArrow(sums, "f int, b int, w0 double, w1 double").groupBy("f", "b").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1")).collect()
+        held = np.zeros((len(names), 256, 2))
+        for r in found:
+            held[r.f, r.b] = r.w0, r.w1
+        total = held[0].sum()
+        if not total:
             break
-        vote = math.log((1 - error) / max(error, 1e-12))
-        stumps.append((vote, stump))
-        if error == 0:
+        left = held.cumsum(axis=1)
+        right = left[:, -1:] - left
+        error = (left.min(axis=2) + right.min(axis=2)) / total
+        for f, c in enumerate(cuts):
+            error[f, len(c) :] = np.inf
+        f, b = np.unravel_index(int(np.round(error, 12).argmin()), error.shape)
+        e = float(error[f, b])
+        if e >= 0.5:
+            break
+        vote = math.log((1 - e) / max(e, 1e-12))
+        low, high = int(left[f, b].argmax()), int(right[f, b].argmax())
+        stumps.append(Stump(features[f], float(cuts[f][b]), low, high, e, vote))
+        chosen.append((int(f), int(b), low, high, vote))
+        if e == 0:
             break
-        grown = F.col("weight") * F.when(wrong, F.exp(F.lit(vote))).otherwise(1.0) / F.lit(sums["w"])
-        rows = called.select("features", "target", grown.alias("weight"))
-        if (i + 1) % save_every == 0:
-            rows = cut_lineage(rows)
     return stumps
 
 
-def adaboost_score(df: DataFrame, features: list[str], stumps: list[tuple[float, PipelineModel]]) -> DataFrame:
+def adaboost_score(df: DataFrame, stumps: list[Stump]) -> DataFrame:
     """Adds `predicted_label` and `probability` from the weighted vote."""
-    out = assembler(features).transform(df).withColumn("__sum", F.lit(0.0))
-    names = df.columns
-    total = sum(v for v, _ in stumps) or 1.0
-    for vote, stump in stumps:
-        called = stump.transform(out)
-        out = called.select(*names, "features", (F.col("__sum") + vote * F.col("prediction")).alias("__sum"))
-    share = F.col("__sum") / F.lit(total)
-    return out.select(*names, F.col("label").alias("true_label"), F.when(share > 0.5, "ATTACK").otherwise("BENIGN").alias("predicted_label"), share.alias("probability"))
+    total = sum(s.vote for s in stumps) or 1.0
+    share = sum((s.vote * stump_call(s) for s in stumps), F.lit(0.0)) / total
+    scored = df.withColumn("probability", share)
+    return scored.withColumns({"true_label": F.col("label"), "predicted_label": F.when(F.col("probability") > 0.5, "ATTACK").otherwise("BENIGN")})
 
 
 # --- using models --------------------------------------------------------------------------
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel, features: list[str], n: int = 20) -> DataFrame:
+def feature_importance(spark: SparkSession, model: TreeModel, n: int = 20) -> DataFrame:
     """The n features with the highest importance."""
-    weights = model.stages[-1].featureImportances if hasattr(model.stages[-1], "featureImportances") else model.stages[-2].featureImportances
-    rows = [(name, float(weights[i])) for i, name in enumerate(features)]
+    rows = list(zip(model.features, map(float, model.importance)))
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature").limit(n)
 
 
@@ -197,33 +281,34 @@ def model_comparison(scored: dict[str, DataFrame], with_best_threshold: bool = F
     return out.orderBy(F.col("f1").desc(), "model")
 
 
-def save_model(model: PipelineModel, folder: str, about: dict) -> None:
+def save_model(model: PipelineModel | TreeModel, folder: str, about: dict) -> None:
     """Model and a line of JSON about it (label maps, class list) side by side."""
-    model.write().overwrite().save(f"{folder}/model")
     spark = SparkSession.active()
-    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/about")
+    if isinstance(model, TreeModel):
+        model.save(f"{folder}/model", spark)
+    else:
+        model.write().overwrite().save(f"{folder}/model")
+    told = json.dumps({**about, "trees": isinstance(model, TreeModel)})
+    spark.createDataFrame([(told,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/about")
 
 
-def load_model(spark: SparkSession, folder: str) -> tuple[PipelineModel, dict]:
-    return PipelineModel.load(f"{folder}/model"), json.loads(spark.read.text(f"{folder}/about").first()["value"])
+def load_model(spark: SparkSession, folder: str) -> tuple[PipelineModel | TreeModel, dict]:
+    about = json.loads(spark.read.text(f"{folder}/about").first()["value"])
+    trees = about.pop("trees")
+    return (TreeModel.load(spark, f"{folder}/model") if trees else PipelineModel.load(f"{folder}/model")), about
 
 
-def label_maps(model: PipelineModel) -> dict:
+def label_maps(model: TreeModel) -> dict:
     """Label to id, alphabetical, of a class model."""
-    return {label: i for i, label in enumerate(model.stages[-1].getLabels())}
+    return {label: i for i, label in enumerate(model.labels)}
 
 
-def confidence(scored: DataFrame):
-    """Greatest class probability to 4 places; one-vs-rest margins become shares of 1; else 1."""
-    if "probability" in scored.columns:
-        return F.round(F.array_max(vector_to_array("probability")), 4)
-    if "rawPrediction" in scored.columns:
-        sides = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
-        return F.round(F.array_max(sides) / F.aggregate(sides, F.lit(0.0), lambda a, x: a + x), 4)
-    return F.lit(1.0)
+def confidence(scored: DataFrame) -> Column:
+    """Greatest class probability to 4 places; 1 for a model without any."""
+    return F.round(F.array_max(probabilities(scored)), 4) if "probability" in scored.columns else F.lit(1.0)
 
 
-def score_models(df: DataFrame, binary: PipelineModel, classes: PipelineModel, forest) -> DataFrame:
+def score_models(df: DataFrame, binary: PipelineModel | TreeModel, classes: TreeModel, forest) -> DataFrame:
     """Model outputs beside the given columns: predictions, confidences to 4 places, anomaly score."""
     names = df.columns
     first = binary.transform(df)

@@ -44,11 +44,11 @@ def sample_like(rows: np.ndarray, discrete: np.ndarray, n: int, rng: np.random.G
 
 
 def synthesise_minority(df: DataFrame, features: list[str], weak_below: int = 1000, target: int = 1500, seed: int = 42) -> DataFrame:
-    """New rows (label, features) bringing each weak class to the target."""
+    """New rows (row_id, label, features) bringing each weak class to the target."""
     plan = checked_small(augmentation_plan(df, weak_below, target).select("label", "synth_count"))
     weak = df.join(plan, "label").select("label", "synth_count", "row_id", *[col(c) for c in features])
     whole = [isinstance(df.schema[c].dataType, T.IntegralType) for c in features]
-    shape = T.StructType([T.StructField("label", T.StringType())] + [T.StructField(c, df.schema[c].dataType) for c in features])
+    shape = T.StructType([T.StructField("row_id", T.StringType()), T.StructField("label", T.StringType())] + [T.StructField(c, df.schema[c].dataType) for c in features])
 
     def make(part: pd.DataFrame) -> pd.DataFrame:
         label = part["label"].iloc[0]
@@ -61,6 +61,7 @@ def synthesise_minority(df: DataFrame, features: list[str], weak_below: int = 10
             if whole[j]:
                 new[c] = new[c].round().astype("int64")
         new.insert(0, "label", label)
+        new.insert(0, "row_id", [f"made-{label}-{i}" for i in range(len(new))])
         return new
 
     return weak.groupBy("label").applyInPandas(make, shape)
@@ -69,5 +70,5 @@ def synthesise_minority(df: DataFrame, features: list[str], weak_below: int = 10
 def augmented(df: DataFrame, features: list[str], **limits) -> DataFrame:
     """Real and synthetic rows together, told apart by `synthetic`."""
     made = synthesise_minority(df, features, **limits).withColumn("synthetic", F.lit(1))
-    real = df.select("label", *[col(c) for c in features], F.lit(0).alias("synthetic"))
+    real = df.select("row_id", "label", *[col(c) for c in features], F.lit(0).alias("synthetic"))
     return real.unionByName(made)

@@ -8,6 +8,7 @@ from flowlark.operators import evaluate as E
 from flowlark.operators import models as M
 from flowlark.operators import neighbors as N
 from flowlark.operators import synthesis as Y
+from flowlark.operators import trees as T
 from flowlark.operators.isolation import average_path, fit_isolation_forest
 from flowlark.operators.rules import route_and_score
 
@@ -48,12 +49,106 @@ def test_class_models_tell_labels(spark, rows):
 
 
 def test_boosted_stumps(spark, rows):
-    stumps = M.adaboost(rows, X, rounds=6, save_every=2)
-    assert E.binary_metrics(M.adaboost_score(rows, X, stumps)).first()["accuracy"] > 0.9
+    stumps = M.adaboost(rows, X, rounds=6)
+    assert E.binary_metrics(M.adaboost_score(rows, stumps)).first()["accuracy"] > 0.9
+
+
+def test_stumps_are_those_of_a_plain_search(spark):
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 12, (400, 2)).astype(float)
+    y = ((x[:, 0] > 5) ^ (rng.random(400) < 0.25)).astype(int)
+    data = [(f"r{i}", "DDoS" if t else "BENIGN", float(a), float(b)) for i, ((a, b), t) in enumerate(zip(x, y))]
+    got = M.adaboost(spark.createDataFrame(data, "row_id string, label string, x1 double, x2 double").repartition(5), X, rounds=8)
+    weight = np.ones(400)
+    for stump in got:
+        best = None
+        for f in range(2):
+            for cut in np.unique(x[:, f])[:-1]:
+                left = x[:, f] <= cut
+                sides = [[weight[s & (y == c)].sum() for c in (0, 1)] for s in (left, ~left)]
+                e = sum(map(min, sides)) / weight.sum()
+                if best is None or e < best[0] - 1e-9:
+                    best = (e, f, cut, *(int(np.argmax(s)) for s in sides))
+        e, f, cut, low, high = best
+        assert (stump.feature, stump.cut, stump.low, stump.high) == (X[f], cut, low, high)
+        assert stump.error == pytest.approx(e) and stump.vote == pytest.approx(np.log((1 - e) / e))
+        weight = weight * np.exp(stump.vote * (np.where(x[:, f] <= cut, low, high) != y))
+    assert len(got) == 8
+
+
+def plain_tree(bins, target, weight, classes):
+    """Calls of a full tree by exhaustive search, for its own rows; ties to the first feature and cut."""
+    held = np.bincount(target, weight, classes)
+    best = None
+    if (held > 0).sum() > 1:
+        for f in range(len(bins)):
+            for cut in np.unique(bins[f])[:-1]:
+                left = bins[f] <= cut
+                cost = 0
+                for s in (left, ~left):
+                    h = np.bincount(target[s], weight[s], classes)
+                    cost += h.sum() - (h * h).sum() / h.sum()
+                if best is None or cost < best[0] - 1e-9:
+                    best = (cost, f, cut)
+    out = np.tile(held / held.sum(), (len(target), 1))
+    if best:
+        left = bins[best[1]] <= best[2]
+        for s in (left, ~left):
+            out[s] = plain_tree(bins[:, s], target[s], weight[s], classes)
+    return out
+
+
+def test_trees_against_a_plain_search():
+    rng = np.random.default_rng(2)
+    for classes in (2, 4):
+        bins, target = rng.integers(0, 9, (3, 250)).astype(np.uint8), rng.integers(0, classes, 250)
+        sample = T.Sample(bins, target, rng.integers(1, 4, 250).astype(float))
+        tree = T.grow_tree(sample, classes, 1, None, False, 3, False)
+        assert T.tree_shares(tree, bins, classes) == pytest.approx(plain_tree(bins, target, sample.weight, classes), abs=1e-6)
+        assert tree["importance"].sum() == pytest.approx(1) and (tree["importance"] > 0).all()
+        assert len(T.grow_tree(sample, classes, 1, 2, True, 1, True)["feature"]) <= 7
+
+
+def test_boosting_follows_gradients_and_hessians():
+    rng = np.random.default_rng(3)
+    bins, target = rng.integers(0, 30, (2, 500)).astype(np.uint8), rng.integers(0, 2, 500)
+    sample = T.Sample(bins, target, np.ones(500))
+    one = T.boost(sample, 2, 1, 1, 0.1, 1.0, 1.0, 1.0, 0.0, 1.0, 0)
+    best = None
+    for f in range(2):
+        for cut in range(29):
+            left = bins[f] <= cut
+            parts = [((0.5 - target[s]).sum(), 0.25 * s.sum()) for s in (left, ~left)]
+            gain = sum(g * g / (h + 1) for g, h in parts)
+            if min(h for _, h in parts) >= 1 and (best is None or gain > best[0] + 1e-12):
+                best = (gain, f, cut, [-0.1 * g / (h + 1) for g, h in parts])
+    assert (one["feature"][0, 0, 0], one["bin"][0, 0, 0]) == best[1:3]
+    assert one["value"][0, 0] == pytest.approx(best[3], rel=1e-5)
+    target = (bins[0] // 10 + (bins[1] > 15)).astype(np.int64)
+    sample = T.Sample(bins, target, np.ones(500))
+    losses = [-np.log(T.boosted_shares(T.boost(sample, 4, r, 3, 0.3, 1.0, 1.0, 1.0, 0.0, 1.0, 0), bins, 4)[np.arange(500), target]).mean() for r in (1, 5, 20)]
+    assert losses[0] > losses[1] > losses[2] and losses[2] < 0.05
+
+
+def test_models_do_not_depend_on_partitions_and_stand_odd_rows(spark, rows, tmp_path):
+    first, second = (M.rf_binary(rows.repartition(n), X, trees=3, depth=6) for n in (1, 5))
+    assert first.payloads == second.payloads
+    M.save_model(first, str(tmp_path), {"a": 1})
+    again, about = M.load_model(spark, str(tmp_path))
+    odd = spark.createDataFrame([("a", None, 1.0), ("b", float("nan"), float("inf")), ("c", -1e300, None)], "row_id string, x1 double, x2 double")
+    assert about == {"a": 1} and [r.probability for r in again.transform(odd).collect()] == [r.probability for r in first.transform(odd).collect()]
+    assert first.transform(odd.limit(0)).collect() == []
+
+
+def test_net_stops_early(spark, rows, monkeypatch):
+    losses = iter([0.5, 0.3, 0.4, 0.45, 0.1])
+    monkeypatch.setattr(M, "log_loss", lambda scored: next(losses))
+    M.mlp(rows, X, hidden=(4,), rounds=100, every=2)
+    assert next(losses) == 0.1  # two worse ones in a row end it
 
 
 def test_importances_and_scope(spark, rows):
-    got = M.feature_importance(spark, M.rf_binary(rows, X, trees=5, depth=4), X).collect()
+    got = M.feature_importance(spark, M.rf_binary(rows, X, trees=5, depth=4)).collect()
     assert len(got) == 2 and sum(r["importance"] for r in got) == pytest.approx(1.0)
     assert M.specialist_scope(["A", "B", "A"]) == ["A", "B"]
     assert M.specialist_scope(weak=["Bot"]) == ["Bot"]
