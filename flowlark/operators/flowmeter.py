@@ -47,10 +47,23 @@ def measured_slice(keyed: DataFrame, rows_per_slice: int = 2_000_000, longest: f
     return longest if busiest <= rows_per_slice else max(shortest, min(longest, 60.0 * rows_per_slice / busiest))
 
 
-def packet_shares(
-    packets: DataFrame, idle_timeout: float = 5.0, active_gap: float = 5.0, quiet_gap: float = 1.0, slice_seconds: float | None = None
-) -> DataFrame:
-    """Every packet with its flow and its share of the order-dependent features.
+def packet_shares(packets: DataFrame, **limits) -> DataFrame:
+    """Every packet with its flow and its share of the order-dependent features; see `shares_after`."""
+    return shares_after(packets, None, **limits)[0]
+
+
+#: What an earlier step hands on for each 5-tuple: the same measures that a time slice has.
+CARRY = [*KEY, "first", "last", "first_dir", "opened", "woke", *(f"{m}_{s}" for s in "ab" for m in ("first", "last", "n", "bytes", "run"))]
+BEFORE_ALL = -(2**62)
+
+
+def shares_after(
+    packets: DataFrame, carry: DataFrame | None, idle_timeout: float = 5.0, active_gap: float = 5.0, quiet_gap: float = 1.0, slice_seconds: float | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Every packet with its flow and its share of the order-dependent features, and the carry after them.
+
+    carry: one row for each 5-tuple (columns CARRY) that stands for all its earlier packets, as this function gave
+    it for them; it counts as one more slice before all others. None: there were no earlier packets.
 
     A gap of at least `idle_timeout` opens a new flow; a gap above `active_gap` ends an
     active period; one above `quiet_gap` ends a subflow or, within a direction, a bulk run.
@@ -112,6 +125,8 @@ def packet_shares(
             F.max(F.when(mine & c("breaks"), run_start)).alias(f"run_{s}"),
         ]
     slices = local.groupBy(*part).agg(*measures)
+    if carry is not None:
+        slices = slices.unionByName(carry.withColumn("slice", F.lit(BEFORE_ALL).cast("bigint")))
     past = Window.partitionBy(*KEY).orderBy("slice").rowsBetween(start, -1)
     slices = slices.withColumns(
         {
@@ -137,10 +152,22 @@ def packet_shares(
             c(f"run_{s}.at").alias("at"), (c(f"run_{s}.n") + c(f"c_n_{s}")).alias("n"), (c(f"run_{s}.bytes") + c(f"c_bytes_{s}")).alias("bytes")
         )
         last_run[s] = F.coalesce(F.when(c(f"run_{s}").isNotNull(), moved), first_run[s])
+    opened_here = F.coalesce("opened", F.when(c("h_opens"), head))
+    woke_here = F.coalesce("woke", F.when(c("h_wakes"), c("first")))
+    sums = [
+        F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("first_dir", "slice").alias("first_dir"),
+        F.max(opened_here).alias("opened"), F.max(woke_here).alias("woke"),
+    ]
+    for s, _ in SIDES:
+        sums += [
+            F.min(f"first_{s}").alias(f"first_{s}"), F.max(f"last_{s}").alias(f"last_{s}"), F.sum(f"n_{s}").alias(f"n_{s}"),
+            F.sum(f"bytes_{s}").alias(f"bytes_{s}"), F.max(last_run[s]).alias(f"run_{s}"),
+        ]
+    after = slices.groupBy(*KEY).agg(*sums)
     carried = slices.select(
         *part, "first", "c_prev", "h_opens", "h_wakes",
-        F.coalesce(F.when(c("h_opens"), head), F.max(F.coalesce("opened", F.when(c("h_opens"), head))).over(past)).alias("h_flow"),
-        F.max(F.coalesce("woke", F.when(c("h_wakes"), c("first")))).over(past).alias("c_woke"),
+        F.coalesce(F.when(c("h_opens"), head), F.max(opened_here).over(past)).alias("h_flow"),
+        F.max(woke_here).over(past).alias("c_woke"),
         *[f"c_{m}_{s}" for m in ("last", "n", "bytes") for s, _ in SIDES],
         *[F.coalesce(first_run[s], F.max(last_run[s]).over(past)).alias(f"h_run_{s}") for s, _ in SIDES],
     )
@@ -171,7 +198,7 @@ def packet_shares(
     counted = (place - 1 >= MIN_BULK) & (c("side_before") > c("run.at"))
     enters = counts & ~counted
     wakes = c("iat") > active
-    return whole.select(
+    shares = whole.select(
         *KEY, "packet_id", "ts", "us", "pkt_len", "tcp_flags", "header_len", "window_size", "payload_len",
         flow_start.alias("flow_start"),
         c("flow.dir").alias("flow_dir"),
@@ -187,6 +214,7 @@ def packet_shares(
         F.when(enters, c("us") - c("run.at")).when(counts, c("us") - c("side_before")).otherwise(0).alias("bulk_us"),
         (c("iat") > quiet).alias("splits"),
     )
+    return shares, after
 
 
 def _zero(value: Column) -> Column:
@@ -196,6 +224,90 @@ def _zero(value: Column) -> Column:
 FLAGS = {"FIN": "F", "SYN": "S", "RST": "R", "PSH": "P", "ACK": "A", "URG": "U", "CWE": "C", "ECE": "E"}
 
 
+def _partials() -> dict[str, tuple[str, Column]]:
+    """Sums, least and greatest values of a flow that add up over its parts: name to (way of adding up, value of a packet).
+
+    Moments are kept as count, sum and sum of squares of whole numbers, so they are exact in any order.
+    """
+    c = F.col
+    fwd, bwd = c("forward"), ~c("forward")
+    out: dict[str, tuple[str, Column]] = {"n": ("sum", F.lit(1)), "bytes": ("sum", c("pkt_len")), "last_us": ("max", c("us")), "woke_us": ("max", F.when(c("wakes"), c("us")))}
+
+    def moments(name: str, value: Column) -> None:
+        out[f"{name}_k"] = ("sum", F.when(value.isNotNull(), 1))
+        out[f"{name}_s"] = ("sum", value)
+        out[f"{name}_q"] = ("sum", value.cast("decimal(19,0)") * value.cast("decimal(19,0)"))
+        out[f"{name}_min"], out[f"{name}_max"] = ("min", value), ("max", value)
+
+    moments("len", c("pkt_len"))
+    moments("iat", c("iat"))
+    moments("idle", F.when(c("wakes"), c("iat")))
+    moments("act", c("active_us"))
+    for name, rows in (("fwd", fwd), ("bwd", bwd)):
+        moments(f"len_{name}", F.when(rows, c("pkt_len")))
+        moments(f"iat_{name}", F.when(rows, c("side_iat")))
+        out |= {
+            f"n_{name}": ("sum", F.when(rows, 1)), f"bytes_{name}": ("sum", F.when(rows, c("pkt_len"))),
+            f"from_{name}": ("min", F.when(rows, c("us"))), f"to_{name}": ("max", F.when(rows, c("us"))),
+            f"psh_{name}": ("sum", F.when(c("tcp_flags").contains("P") & rows, 1)), f"urg_{name}": ("sum", F.when(c("tcp_flags").contains("U") & rows, 1)),
+            f"header_{name}": ("sum", F.when(rows, c("header_len"))),
+            f"window_at_{name}": ("min", F.when(rows & c("window_size").isNotNull(), F.struct("side_seq", "window_size"))),
+            **{f"{b}_{name}": ("sum", F.when(rows, c(b))) for b in ("bulk_n", "bulk_packets", "bulk_bytes", "bulk_us")},
+        }
+    out |= {f"flag_{name}": ("sum", F.when(c("tcp_flags").contains(letter), 1)) for name, letter in FLAGS.items()}
+    out["data_fwd"] = ("sum", F.when(fwd & (c("payload_len") > 0), 1))
+    out["min_header_fwd"] = ("min", F.when(fwd & (c("header_len") > 0), c("header_len")))
+    out["splits"] = ("sum", F.when(c("splits"), 1))
+    return out
+
+
+_ADD = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def _added(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    ways = _partials()
+    made = []
+    for name, value in values.items():
+        total = _ADD[ways[name][0]](value)
+        if ways[name][0] == "sum":
+            total = F.coalesce(total.cast("decimal(38,0)" if name.endswith("_q") else "bigint"), F.lit(0).cast("decimal(38,0)" if name.endswith("_q") else "bigint"))
+        made.append(total.alias(name))
+    return rows.groupBy(*FLOW).agg(*made)
+
+
+def flow_partials(shares: DataFrame) -> DataFrame:
+    """One row for each flow of what its packets add to it."""
+    return _added(shares, {name: value for name, (_, value) in _partials().items()})
+
+
+def merged_partials(parts: DataFrame) -> DataFrame:
+    """Rows of the same flow as one."""
+    return _added(parts, {name: F.col(name) for name in _partials()})
+
+
+def finished_flows(partials: DataFrame) -> DataFrame:
+    """The columns of `flow_aggregates` from merged partial rows."""
+    c = F.col
+
+    def spread(name: str) -> Column:
+        k, s = c(f"{name}_k").cast("decimal(18,0)"), c(f"{name}_s").cast("decimal(19,0)")
+        return (c(f"{name}_q") * k - s * s).cast("double")
+
+    more = {}
+    for name in ("len", "iat", "idle", "act", "len_fwd", "len_bwd", "iat_fwd", "iat_bwd"):
+        k = c(f"{name}_k").cast("double")
+        more[f"{name}_mean"] = F.when(k > 0, c(f"{name}_s") / k)
+        more[f"{name}_var"] = F.when(k > 1, spread(name) / (k * (k - 1)))
+        more[f"{name}_std"] = F.sqrt(more[f"{name}_var"])
+    more["act_n"] = c("act_k")
+    more["act_pop"] = F.when(c("act_k") > 0, spread("act") / (c("act_k").cast("double") * c("act_k")))
+    for d in ("fwd", "bwd"):
+        more[f"iat_{d}_total"] = c(f"to_{d}") - c(f"from_{d}")
+        more[f"window_{d}"] = c(f"window_at_{d}.window_size")
+    more["subflows"] = c("splits") + 1
+    return partials.withColumns(more)
+
+
 def flow_aggregates(shares: DataFrame) -> DataFrame:
     """One row per flow with all sums and moments."""
     c = F.col
@@ -315,8 +427,11 @@ def flow_features(packets: DataFrame, **limits) -> DataFrame:
 
 
 def features_of_shares(shares: DataFrame) -> DataFrame:
-    flows = _with_last_active(flow_aggregates(shares))
-    return flows.select(*_endpoints(), "protocol", F.timestamp_micros("flow_start").alias("flow_start"), "last_us", *feature_columns())
+    return features_of_flows(flow_aggregates(shares))
+
+
+def features_of_flows(flows: DataFrame) -> DataFrame:
+    return _with_last_active(flows).select(*_endpoints(), "protocol", F.timestamp_micros("flow_start").alias("flow_start"), "last_us", *feature_columns())
 
 
 def flow_records(packets: DataFrame, **limits) -> DataFrame:

@@ -1,9 +1,11 @@
-"""Flow metering on a stream of packets.
-
-Each micro-batch is metered together with the packets of the flows still open, by the same
-plan as in batch, so one hot 5-tuple is split over many tasks here too. Flows idle at the
-watermark come out; the packets of the others are kept for the next micro-batch in the
-shared folder. Both outputs are written per epoch, so a repeated batch gives the same files.
+"""Flow metering on a stream of packets, with a state of one row for each open flow.
+
+A micro-batch takes the packets up to its watermark, in time order after all earlier ones. What
+those left behind is two small rows: for each 5-tuple the carry that a time slice hands to the next
+(so one hot 5-tuple is split over many tasks here too), and for each open flow the sums and extremes of
+its packets, to which those of the batch are added. Packets inside the allowed delay wait, as
+earlier ones may still come. Flows idle at the watermark come out. All outputs are written per
+epoch, so a repeated batch gives the same files; the state before the last but one epoch is removed.
 """
 
 from __future__ import annotations
@@ -13,15 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlark.operators import flowmeter as M
-from flowlark.operators.scale import checked_small
+from flowlark.session import cut_lineage, remove_folder
 from flowlark.sources.flow_files import PACKETS
 from flowlark.streaming.run import drain_batches
 
 COLUMNS = [part.split()[0] for part in PACKETS.split(", ")]
+PARTS = ("carry", "flows", "waiting")
 
 
-def _open_packets(spark: SparkSession, state: str, epoch: int) -> DataFrame | None:
-    return None if epoch < 0 else spark.read.schema(PACKETS).parquet(f"{state}/packets/epoch={epoch}")
+def _kept(spark: SparkSession, state: str, part: str, epoch: int) -> DataFrame | None:
+    return None if epoch < 0 else spark.read.parquet(f"{state}/{part}/epoch={epoch}")
 
 
 def _clock(spark: SparkSession, state: str, epoch: int) -> int | None:
@@ -31,6 +34,17 @@ def _clock(spark: SparkSession, state: str, epoch: int) -> int | None:
     return spark.read.parquet(f"{state}/clock/epoch={epoch}").first()["seen_us"]
 
 
+def _together(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    return new if old is None else old.unionByName(new)
+
+
+def _advance(spark: SparkSession, state: str, epoch: int, packets: DataFrame, limits: dict) -> tuple[DataFrame, DataFrame]:
+    """Carry and flows after these packets, which come after all that the state of `epoch` holds."""
+    shares, carry = M.shares_after(packets, _kept(spark, state, "carry", epoch), **limits)
+    flows = M.merged_partials(_together(_kept(spark, state, "flows", epoch), M.flow_partials(shares)))
+    return carry, flows
+
+
 def meter_step(batch: DataFrame, epoch: int, out: str, state: str, delay_seconds: float, limits: dict) -> None:
     spark = batch.sparkSession
     delay = int(delay_seconds * 1_000_000)
@@ -40,29 +54,22 @@ def meter_step(batch: DataFrame, epoch: int, out: str, state: str, delay_seconds
     late = F.lit(False) if before is None else us < before - delay
     seen = batch.agg(F.max(us).alias("m"), F.count(F.when(late, 1)).alias("n_late")).first()
     now = max((v for v in (before, seen["m"]) if v is not None), default=None)
-
-    fresh = batch.filter(~late).select(*COLUMNS)
-    kept = _open_packets(spark, state, epoch - 1)
-    pool = fresh if kept is None else kept.unionByName(fresh)
-    edge = -1 if now is None else now - delay - idle
-
-    shares = M.packet_shares(pool, **limits).persist()
-    flows = M.features_of_shares(shares).filter(F.col("last_us") <= edge)
-    flows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    still = shares.groupBy(*M.FLOW).agg(F.max("us").alias("last")).filter(F.col("last") > edge).select(*M.FLOW)
-    src_low = F.col("forward") == F.col("flow_dir")
-    ends = [
-        F.when(src_low, F.col("k_ip1")).otherwise(F.col("k_ip2")).alias("src_ip"),
-        F.when(src_low, F.col("k_ip2")).otherwise(F.col("k_ip1")).alias("dst_ip"),
-        F.when(src_low, F.col("k_port1")).otherwise(F.col("k_port2")).alias("src_port"),
-        F.when(src_low, F.col("k_port2")).otherwise(F.col("k_port1")).alias("dst_port"),
-    ]
-    left = shares.join(checked_small(still), M.FLOW, "left_semi").select("*", *ends).select(*COLUMNS)
-    left.write.mode("overwrite").parquet(f"{state}/packets/epoch={epoch}")
-    shares.unpersist()
+    mark = -1 if now is None else now - delay
+
+    pool = _together(_kept(spark, state, "waiting", epoch - 1), batch.filter(~late).select(*COLUMNS))
+    ready = us < mark
+    carry, flows = _advance(spark, state, epoch - 1, pool.filter(ready), limits)
+    flows = cut_lineage(flows)
+    ended = F.col("last_us") <= mark - idle
+    M.features_of_flows(M.finished_flows(flows.filter(ended))).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    flows.filter(~ended).write.mode("overwrite").parquet(f"{state}/flows/epoch={epoch}")
+    carry.filter(F.col("last") > mark - idle).write.mode("overwrite").parquet(f"{state}/carry/epoch={epoch}")
+    pool.filter(~ready).write.mode("overwrite").parquet(f"{state}/waiting/epoch={epoch}")
     row = spark.range(1).select(F.lit(now).cast("bigint").alias("seen_us"), F.lit(seen["n_late"]).cast("bigint").alias("n_late"))
     row.write.mode("overwrite").parquet(f"{state}/clock/epoch={epoch}")
+    # A repeated batch reads the epoch before; what lies further back is done with.
+    for part in PARTS:
+        remove_folder(spark, f"{state}/{part}/epoch={epoch - 2}")
 
 
 def last_epoch(spark: SparkSession, state: str) -> int:
@@ -85,9 +92,10 @@ def meter_stream(packets: DataFrame, out: str, state: str, checkpoint: str, dela
 
 def flush(spark: SparkSession, out: str, state: str, epoch: int, **limits) -> None:
     """Writes the flows still open, as stopping the capture does."""
-    kept = _open_packets(spark, state, epoch)
-    if kept is not None:
-        M.flow_features(kept, **limits).write.mode("overwrite").parquet(f"{out}/epoch={epoch + 1}")
+    waiting = _kept(spark, state, "waiting", epoch)
+    if waiting is not None:
+        _, flows = _advance(spark, state, epoch, waiting, limits)
+        M.features_of_flows(M.finished_flows(flows)).write.mode("overwrite").parquet(f"{out}/epoch={epoch + 1}")
 
 
 def late_packets(spark: SparkSession, state: str) -> DataFrame:

@@ -197,3 +197,35 @@ def test_stream_with_disorder_and_late_packets(spark, tmp_path):
     assert 0 < early < len(want)
     check(spark.read.parquet(f"{out}/epoch=*"), want)
     assert SM.late_packets(spark, state).agg(F.sum("n_late")).first()[0] == 1
+
+
+def test_state_does_not_grow_with_an_open_flow(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows, sizes = [], []
+    for part in range(5):
+        step = [(part * 300 + i, START + (part * 300 + i) * 10_000, *(("a", "b", 1, 2) if i % 3 else ("b", "a", 2, 1)), "TCP", 60 + i, "PA", 20, 7, 0) for i in range(300)]
+        rows += step
+        frame(spark, step).coalesce(1).write.mode("append").parquet(folder)
+        last = SM.meter_stream(packet_stream(spark, folder, 1), out, state, str(tmp_path / "check"), delay_seconds=0.0, idle_timeout=10.0)
+        held = {p: spark.read.parquet(f"{state}/{p}/epoch={last}") for p in SM.PARTS}
+        sizes.append({p: df.count() for p, df in held.items()})
+        assert sizes[-1] == {"carry": 1, "flows": 1, "waiting": 1} and len(held["flows"].columns) < 120
+    assert sorted(p.name for p in (tmp_path / "state" / "flows").iterdir()) == [f"epoch={last - 1}", f"epoch={last}"]
+    batch = frame(spark, rows[-300:])
+    before = sorted(map(str, spark.read.parquet(f"{state}/flows/epoch={last}").collect()))
+    SM.meter_step(batch, last, out, state, 0.0, {"idle_timeout": 10.0})  # a repeated batch
+    assert sorted(map(str, spark.read.parquet(f"{state}/flows/epoch={last}").collect())) == before
+    SM.flush(spark, out, state, last, idle_timeout=10.0)
+    check(spark.read.parquet(f"{out}/epoch=*"), plain_flows(rows, 10.0, 5.0, 1.0))
+
+
+def test_parts_of_a_flow_add_up_to_the_flow(spark):
+    rows = frame(spark, make_packets(21)).persist()
+    whole, nothing = M.shares_after(rows, None, idle_timeout=8.0)[0], None
+    parts, edges = [], [START + s * 1_000_000 for s in (0, 70, 71, 200, 500)]
+    for lo, hi in zip(edges, edges[1:]):
+        shares, nothing = M.shares_after(rows.filter(F.unix_micros("ts").between(lo, hi - 1)), nothing, idle_timeout=8.0)
+        parts.append(M.flow_partials(shares))
+    together = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    got = M.features_of_flows(M.finished_flows(M.merged_partials(together)))
+    assert sorted(map(str, got.collect())) == sorted(map(str, M.features_of_shares(whole).collect()))
