@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowlark.llm.components import components
-from flowlark.llm.text import BLOCK_BYTES, blocks, coded, dense, mixed, owners, pieces, raw_bytes, word_hashes, word_ranges
+from flowlark.llm.text import BLOCK_BYTES, blocks, coded, dense, mixed, owners, pieces, raw_bytes, sums, word_hashes, word_ranges
 from flowlark.session import cut_lineage
 
 SHINGLE = 5
@@ -28,8 +28,10 @@ BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 #: Pairs whose share of equal registers lies so far (over four standard deviations) below the threshold are not compared.
 SLACK = 0.15
-#: Parts of a bucket's members that the strays of the bucket are compared with in different tasks.
-PARTS = 4
+#: Most bytes of text and most texts of a block of a bucket's members; two blocks are one task's work.
+BLOCK_TEXT, BLOCK_ROWS = 16 << 20, 4096
+#: Strays whose signatures are compared with a block at once.
+AT_ONCE = 32
 
 
 def shingles(codes: np.ndarray, firsts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +94,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (digest of the words) and signature of each row; null for a text without words."""
+    """doc_id, key (digest of the words), signature and bytes of each row; key and signature are null for a text without words."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):
@@ -105,9 +107,9 @@ def signed(docs: DataFrame) -> DataFrame:
             texts, at = words.to_pylist(), firsts.tolist()
             some = np.diff(firsts) > 0
             keys = [hashlib.md5(b" ".join(texts[a:b])).digest() if b > a else None for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_pydict({"doc_id": block.column(0), "key": pa.array(keys, pa.binary()), "signature": pa.array([made[i].tobytes() if ok else None for i, ok in enumerate(some.tolist())], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": block.column(0), "key": pa.array(keys, pa.binary()), "signature": pa.array([made[i].tobytes() if ok else None for i, ok in enumerate(some.tolist())], pa.binary()), "bytes": np.diff(begins)})
 
-    return docs.mapInArrow(run, "doc_id long, key binary, signature binary")
+    return docs.mapInArrow(run, "doc_id long, key binary, signature binary, bytes long")
 
 
 def band_buckets(made: np.ndarray) -> np.ndarray:
@@ -191,46 +193,143 @@ def stars(members: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct()
 
 
-def crossing(members: DataFrame, contents: DataFrame) -> DataFrame:
-    """All pairs of a bucket in different groups, of which one is outside the bucket's largest group, and
-    whose signatures are worth comparing further.
+def dealt(members: DataFrame, contents: DataFrame) -> DataFrame:
+    """The members of each bucket with more than one group, as work of tasks: each block of its strays (members
+    outside its largest group) meets each part of all its members.
 
-    The strays of a bucket come first and are kept; all members stream past them, in PARTS parts. A pair
-    that shares several buckets comes out of the one of its first common band only.
+    Result: bucket, block, part, node, group, stray, as_stray and as_member (whether the row is in the task as one
+    of the block, of the part, or both). The number of blocks and parts follows from the measured size of the
+    bucket, so a task holds two blocks however large a bucket is.
     """
-    sizes = members.groupBy("bucket", "group").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "group")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
-    signature = contents.select("node", "signature")
-    marked = members.join(main, "bucket").select("bucket", "node", "group", (F.col("group") != F.col("most.group")).alias("stray")).join(signature, "node")
-    every = marked.select("bucket", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int").alias("part"), F.lit(1).alias("kind"), "node", "group", "stray", "signature")
-    kept = marked.where("stray").select("bucket", F.explode(F.array(*(F.lit(k) for k in range(PARTS)))).alias("part"), F.lit(0).alias("kind"), "node", "group", "stray", "signature")
-    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = every.unionByName(kept).repartition(tasks, "bucket", "part").sortWithinPartitions("bucket", "part", "kind")
+    load = F.greatest(F.col("bytes") / BLOCK_TEXT, F.lit(1 / BLOCK_ROWS))
+    held = members.join(contents.select("node", load.alias("load")), "node")
+    groups = held.groupBy("bucket", "group").agg(F.count("*").alias("n"), F.sum("load").alias("load"))
+    most = F.max(F.struct("n", "group", "load"))
+    sizes = groups.groupBy("bucket").agg(most.alias("main"), F.sum("load").alias("load"), F.count("*").alias("groups")).where("groups > 1")
+    sizes = sizes.select("bucket", F.col("main.group").alias("main"), F.ceil("load").cast("int").alias("parts"), F.greatest(F.ceil(F.col("load") - F.col("main.load")), F.lit(1)).cast("int").alias("blocks"))
+    marked = held.join(sizes, "bucket").withColumn("stray", F.col("group") != F.col("main"))
+    marked = marked.withColumns({"own_part": F.expr("pmod(xxhash64(node), parts)").cast("int"), "own_block": F.expr("pmod(xxhash64(node, 1), blocks)").cast("int")})
+    as_member = F.expr("transform(sequence(0, blocks - 1), b -> struct(b AS block, own_part AS part))")
+    as_stray = F.expr("transform(sequence(0, parts - 1), p -> struct(own_block AS block, p AS part))")
+    works = marked.withColumn("at", F.explode(F.when(F.col("stray"), F.array_union(as_member, as_stray)).otherwise(as_member)))
+    return works.select("bucket", "at.block", "at.part", "node", "group", "stray", (F.col("stray") & (F.col("own_block") == F.col("at.block"))).alias("as_stray"), (F.col("own_part") == F.col("at.part")).alias("as_member"))
+
+
+def in_tasks(works: DataFrame, solve, schema: str) -> DataFrame:
+    """solve(rows) for the rows of each (bucket, block, part); it gives a record batch or None."""
+    tasks = int(works.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = works.repartition(tasks, "bucket", "block", "part").sortWithinPartitions("bucket", "block", "part")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        at, strays = None, []
+        at, waiting = None, []
         for batch in batches:
-            bucket, part, kind, node, group, stray = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            made = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            edges = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1]), True])
+            if not batch.num_rows:
+                continue
+            where = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+            edges = np.flatnonzero(np.r_[True, (where[:, 1:] != where[:, :-1]).any(axis=0), True])
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if (here := (bucket[lo], part[lo])) != at:
-                    at, strays = here, []
-                if kind[lo] == 0:
-                    strays += zip(node[lo:hi].tolist(), group[lo:hi].tolist(), made[lo:hi].copy())
-                    continue
-                for x, g, own in strays:
-                    some = np.flatnonzero((group[lo:hi] != g) & (~stray[lo:hi].astype(bool) | (node[lo:hi] > x))) + lo
-                    equal = made[some] == own
-                    near = equal.mean(axis=1) >= SIMILARITY - SLACK
-                    some, equal = some[near], equal[near]
-                    if len(some):
-                        band = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-                        first = band_buckets(own)[0][band] == bucket[lo]
-                        v = node[some[first]]
-                        yield pa.RecordBatch.from_pydict({"u": np.minimum(v, x), "v": np.maximum(v, x)})
-
-    return rows.mapInArrow(run, "u long, v long")
+                if (here := tuple(where[:, lo].tolist())) != at:
+                    if waiting and (made := solve(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0])) is not None:
+                        yield made
+                    at, waiting = here, []
+                waiting.append(batch.slice(lo, hi - lo))
+        if waiting and (made := solve(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0])) is not None:
+            yield made
+
+    return rows.mapInArrow(run, schema)
+
+
+def column(rows: pa.RecordBatch, name: str) -> np.ndarray:
+    return rows.column(rows.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+def near_pairs(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (stray, member) of one task in different groups whose signatures are worth comparing further, as places
+    in `rows`. A pair that shares several buckets is taken in that of its first common band only."""
+    node, group = column(rows, "node"), column(rows, "group")
+    stray, as_stray, as_member = (column(rows, c).astype(bool) for c in ("stray", "as_stray", "as_member"))
+    made = np.frombuffer(b"".join(rows.column(rows.schema.get_field_index("signature")).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    bucket = rows.column(0)[0].as_py()
+    own, others = np.flatnonzero(as_stray), np.flatnonzero(as_member)
+    found = []
+    for k in range(0, len(own), AT_ONCE):
+        some = own[k : k + AT_ONCE]
+        may = (group[some][:, None] != group[others][None, :]) & (~stray[others][None, :] | (node[others][None, :] > node[some][:, None]))
+        i, j = np.nonzero(may)
+        equal = made[some[i]] == made[others[j]]
+        near = np.count_nonzero(equal, axis=1) >= (SIMILARITY - SLACK) * REGISTERS
+        i, j, equal = i[near], j[near], equal[near]
+        if len(i):
+            band = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            first = band_buckets(made[some])[i, band] == bucket
+            found.append((some[i[first]], others[j[first]]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def joining_links(rows: pa.RecordBatch, similarity: float) -> pa.RecordBatch | None:
+    """Of the near pairs of one task those that are similar enough and join two groups not yet joined in the task:
+    fewer than it has groups. Similarities are exact counts of 64-bit shingle hashes."""
+    own, others = near_pairs(rows)
+    if not len(own):
+        return None
+    node, group = column(rows, "node"), column(rows, "group")
+    bytes_, begins = raw_bytes(rows.column(rows.schema.get_field_index("text")))
+    starts, ends, firsts = word_ranges(bytes_, begins)
+    codes, distinct = coded(pieces(bytes_, starts, ends, pa.binary()))
+    doc, shingle, count = weighted(*shingles(codes, firsts, word_hashes(distinct)))
+    _, ids = np.unique(shingle, return_inverse=True)
+    edges = np.searchsorted(doc, np.arange(len(begins)))
+    total = sums(count, edges)
+    parent: dict[int, int] = {}
+
+    def root(g: int) -> int:
+        while (up := parent.get(g, g)) != g:
+            parent[g] = g = parent.get(up, up)
+        return g
+
+    here = np.zeros(int(ids.max()) + 1, np.int64)
+    u, v = [], []
+    order = np.argsort(own, kind="stable")
+    own, others = own[order], others[order]
+    turns = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])
+    for lo, hi in zip(turns[:-1].tolist(), turns[1:].tolist()):
+        a, b = own[lo], others[lo:hi]
+        # Totals too far apart cannot be similar enough.
+        b = b[np.minimum(total[a], total[b]) >= (similarity - 1e-12) * np.maximum(total[a], total[b])]
+        mine = slice(edges[a], edges[a + 1])
+        here[ids[mine]] = count[mine]
+        for k in range(0, len(b), 256):
+            part = b[k : k + 256]
+            sizes = edges[part + 1] - edges[part]
+            at = np.repeat(edges[part] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(int(sizes.sum()))
+            both = sums(np.minimum(here[ids[at]], count[at]), np.r_[0, np.cumsum(sizes)])
+            for x in part[both >= (similarity - 1e-12) * (total[a] + total[part] - both)].tolist():
+                g, h = root(int(group[a])), root(int(group[x]))
+                if g != h:
+                    parent[max(g, h)] = min(g, h)
+                    u.append(int(node[a]))
+                    v.append(int(node[x]))
+        here[ids[mine]] = 0
+    return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def crossing(members: DataFrame, contents: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that join groups of a bucket: every stray against every member of another group.
+
+    First signatures alone meet, and only members with a pair worth comparing stay; then these meet with
+    their texts and are compared in the task. No pair leaves a task but those that join two groups.
+    """
+    columns = ["bucket", "block", "part", "node", "group", "stray", "as_stray", "as_member"]
+
+    def promising(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        at = np.unique(np.concatenate(near_pairs(rows)))
+        return rows.select(columns).take(pa.array(at)) if len(at) else None
+
+    signature = contents.select("node", "signature")
+    schema = "bucket long, block int, part int, node long, `group` long, stray boolean, as_stray boolean, as_member boolean"
+    left = in_tasks(dealt(members, contents).join(signature, "node").select(*columns, "signature"), promising, schema)
+    whole = left.join(signature.join(texts, "node"), "node").select(*columns, "signature", "text")
+    return in_tasks(whole, lambda rows: joining_links(rows, similarity), "u long, v long")
 
 
 def regrouped(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -248,8 +347,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, turns: int
     `similarity`; classes are what links connect. Texts with the same words are one node and are not
     compared. Candidates share a band of four registers out of 32, and must agree in
     enough registers; a link of similarity 0.8 is missed with a probability of about 1e-5. In a bucket, first `turns` different centres are compared with
-    all others, then every pair that is still in different groups: no link between groups is passed
-    over, and members of a group that is already connected need no more comparing.
+    all others, then every pair that is still in different groups, block by block inside tasks: no link between
+    groups is passed over, members of a group that is already connected need no more comparing, and no
+    more links come out of a task than join its groups. Processes of the levels of a weight are independent of each
+    other; none is split further.
 
     Rows with a null doc_id are left out. A text without words is alone in its class. Rows that
     repeat a doc_id are in one class. Other columns are not looked at; an empty table gives an empty
@@ -257,7 +358,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, turns: int
     """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = cut_lineage(signed(rows))
-    contents = cut_lineage(marked.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
+    contents = cut_lineage(marked.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.max("bytes").alias("bytes")))
     shared = bucketed(contents)
     crowded = shared.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = cut_lineage(shared.join(crowded, "bucket", "left_semi").distinct().withColumn("group", F.col("node")))
@@ -268,11 +369,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, turns: int
     texts = cut_lineage(texts.select(F.col("doc_id").alias("node"), "text"))
     links = docs.sparkSession.createDataFrame([], "u long, v long")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for turn in range(turns + 1):
-        pairs = alike(stars(members, turn), contents) if turn < turns else crossing(members, contents)
-        links = cut_lineage(links.unionByName(verified(pairs, texts, similarity)).coalesce(tasks))
-        if turn < turns:
-            members = regrouped(members, links)
+    for turn in range(turns):
+        found = verified(alike(stars(members, turn), contents), texts, similarity)
+        links = cut_lineage(links.unionByName(found).coalesce(tasks))
+        members = regrouped(members, links)
+    links = cut_lineage(links.unionByName(crossing(members, contents, texts, similarity)).coalesce(tasks))
     rows_of = marked.join(contents.select("key", "node"), "key", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
     again = rows_of.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")
     every = rows_of.join(again.select("doc_id", "u"), "doc_id").select("u", F.col("node").alias("v"))
