@@ -25,8 +25,12 @@ def documents(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fertility rules keep, unchanged."""
-    return documents(fertility(docs, keep=COLUMNS[2:]).where("kept"))
+    """Documents that the fertility rules keep, unchanged, repeated rows each by itself.
+
+    A null or empty text has fewer words than the rules ask for and goes; a null in another column stays as it is; columns
+    beyond those of documents are left out; an empty table gives an empty one.
+    """
+    return documents(fertility(docs, keep=COLUMNS[2:], kept_only=True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,12 +59,19 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no passage of a benchmark item is left."""
+    """Documents without a passage of a benchmark item, unchanged.
+
+    A null or empty text holds none and stays; rows that repeat a doc_id, or have none, are judged together by what any
+    of them holds; other columns are left out; an empty table gives an empty one.
+    """
     return documents(clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
+    """Token counts and digests of ids and decoded texts, one row for each row.
+
+    A null text counts as empty: 0 tokens. Null doc_ids and repeated rows stay; other columns are left out.
+    """
     return encode_decode(docs, vocabulary_path("word_bpe_49k.json"), ["ids_sha256", "decoded_sha256"], keep=["lang", "source"])
 
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowlark.llm.components import components
+from flowlark.llm.components import components, release
 from flowlark.llm.text import BLOCK_BYTES, blocks, coded, dense, mixed, owners, pieces, raw_bytes, sums, word_hashes, word_ranges
 from flowlark.session import cut_lineage
 
@@ -367,11 +367,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, turns: int
     words = F.unhex(F.md5(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")).cast("binary")))
     texts = rows.join(wanted.hint("shuffle_hash"), "doc_id").where(words == F.col("key")).groupBy("doc_id", "key").agg(F.first("text").alias("text"))
     texts = cut_lineage(texts.select(F.col("doc_id").alias("node"), "text"))
+    release(docs.sparkSession)
     links = docs.sparkSession.createDataFrame([], "u long, v long")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for turn in range(turns):
         found = verified(alike(stars(members, turn), contents), texts, similarity)
         links = cut_lineage(links.unionByName(found).coalesce(tasks))
+        release(docs.sparkSession)
         members = regrouped(members, links)
     links = cut_lineage(links.unionByName(crossing(members, contents, texts, similarity)).coalesce(tasks))
     rows_of = marked.join(contents.select("key", "node"), "key", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))

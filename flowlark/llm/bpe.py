@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from flowlark.llm.text import SPACES, blocks, coded, pieces, raw_bytes
+from flowlark.llm.text import BLOCK_BYTES, SPACES, blocks, coded, let_go, pieces, raw_bytes
 
 #: The pattern that splits a normalised text before the merges of the vocabulary: a fixed value.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -185,11 +185,17 @@ def encode_decode(docs: DataFrame, path: str, outputs: list[str] | None = None,
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(k) for k in keep])
     schema = ", ".join(["doc_id long", *(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "n_tokens long", "n_repaired long", *(f"{o} {OUTPUTS[o]}" for o in outputs)])
 
-    def run(batches):
-        for block in blocks(batches):
+    def encoded(batches):
+        for block in blocks(batches, BLOCK_BYTES // 2):
             found = encoded_block(block, path, outputs)
             kept = {k: block.column(block.schema.get_field_index(k)) for k in ("doc_id", *keep)}
             more = {o: pa.array(found[o], pa.list_(pa.int32()) if o == "ids" else pa.string()) for o in outputs}
             yield pa.RecordBatch.from_pydict({**kept, "n_tokens": found["n_tokens"], "n_repaired": found["n_repaired"], **more})
 
+    def run(batches):
+        try:
+            yield from encoded(batches)
+        finally:
+            let_go(ENCODERS)
+
     return columns.mapInArrow(run, schema)

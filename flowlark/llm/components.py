@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import gc
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlark.session import cut_lineage
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver look for plans that nothing uses any more: the shuffle files behind a cut lineage go with them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def both_ways(links: DataFrame) -> DataFrame:
     return links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -36,6 +44,7 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         links = cut_lineage(small_star(large_star(links)))
+        release(links.sparkSession)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from flowlark.llm.text import BLOCK_BYTES, SPACES, blocks, coded, joined_counts, mixed, owners, pieces, raw_bytes, sums, word_ranges
+from flowlark.llm.text import BLOCK_BYTES, SPACES, blocks, coded, joined_counts, let_go, mixed, owners, pieces, raw_bytes, sums, word_ranges
 
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -207,13 +207,14 @@ def refused(m: dict[str, np.ndarray], k: int, bands: dict[str, Band]) -> np.ndar
 
 
 def fertility(
-    docs: DataFrame, paths: list[str] | None = None, bands: list[dict[str, Band]] | None = None, least_words: int = 50, most_repeated: int = 50, keep: list[str] | None = None
+    docs: DataFrame, paths: list[str] | None = None, bands: list[dict[str, Band]] | None = None, least_words: int = 50, most_repeated: int = 50, keep: list[str] | None = None, kept_only: bool = False
 ) -> DataFrame:
     """Measures and verdict of each row of docs (doc_id, text); every text is read whole.
 
     paths: vocabulary files (.model or .tiktoken), by default a piece and a byte vocabulary.
     bands: one mapping from script to Band for each vocabulary, as BANDS. A text fails the base rules with fewer than `least_words` words,
     or when more than `most_repeated` percent of its words lie in repeated windows of three.
+    kept_only: only rows that are kept; refused texts do not leave the task.
     keep: further columns of docs to pass on, with the text. A null text counts as an empty one and
     fails; a null doc_id stays null; repeated rows give repeated results; other columns are not looked
     at, and those to keep must not have the name of a result; an empty table gives an empty result.
@@ -227,8 +228,8 @@ def fertility(
     passed = ["text", *keep] if keep else []
     schema += "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in passed)
 
-    def run(batches):
-        for block in blocks(batches, 2 * BLOCK_BYTES):
+    def verdicts(batches):
+        for block in blocks(batches, BLOCK_BYTES // 2):
             m = measured(block, paths)
             base = (m["n_words"] < least_words) | (100 * m["n_repeat_words"] > most_repeated * m["n_words"])
             out = base.copy()
@@ -236,7 +237,14 @@ def fertility(
                 out |= refused(m, k, bands[k])
             m |= {"doc_id": block.column(0), "base_failed": base, "kept": ~out, "script": np.array(SCRIPTS)[m["script"]]}
             kept = {k: block.column(block.schema.get_field_index(k)) for k in passed}
-            yield pa.RecordBatch.from_pydict({n: m[n] for n in names} | kept)
+            made = pa.RecordBatch.from_pydict({n: m[n] for n in names} | kept)
+            yield made.filter(pa.array(~out)) if kept_only else made
+
+    def run(batches):
+        try:
+            yield from verdicts(batches)
+        finally:
+            let_go(LOADED)
 
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(k) for k in keep or [])]
     return docs.select(*columns).mapInArrow(run, schema)
