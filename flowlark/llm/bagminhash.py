@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowlark.llm.components import components, release
-from flowlark.llm.text import BLOCK_BYTES, blocks, coded, dense, mixed, owners, pieces, raw_bytes, sums, word_hashes, word_ranges
+from flowlark.llm.text import BLOCK_BYTES, blocks, coded, dense, freed, mixed, owners, pieces, raw_bytes, sums, word_hashes, word_ranges
 from flowlark.session import cut_lineage
 
 SHINGLE = 5
@@ -97,7 +97,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, key (digest of the words), signature and bytes of each row; key and signature are null for a text without words."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, BLOCK_BYTES):
+        for block in blocks(batches, BLOCK_BYTES // 2):
             bytes_, begins = raw_bytes(block.column(1))
             starts, ends, firsts = word_ranges(bytes_, begins)
             words = pieces(bytes_, starts, ends, pa.binary())
@@ -109,7 +109,7 @@ def signed(docs: DataFrame) -> DataFrame:
             keys = [hashlib.md5(b" ".join(texts[a:b])).digest() if b > a else None for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_pydict({"doc_id": block.column(0), "key": pa.array(keys, pa.binary()), "signature": pa.array([made[i].tobytes() if ok else None for i, ok in enumerate(some.tolist())], pa.binary()), "bytes": np.diff(begins)})
 
-    return docs.mapInArrow(run, "doc_id long, key binary, signature binary, bytes long")
+    return docs.mapInArrow(freed(run), "doc_id long, key binary, signature binary, bytes long")
 
 
 def band_buckets(made: np.ndarray) -> np.ndarray:
@@ -126,7 +126,7 @@ def bucketed(contents: DataFrame) -> DataFrame:
             bucket = band_buckets(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16))
             yield pa.RecordBatch.from_pydict({"node": np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS), "bucket": bucket.ravel()})
 
-    return contents.select("node", "signature").mapInArrow(run, "node long, bucket long")
+    return contents.select("node", "signature").mapInArrow(freed(run), "node long, bucket long")
 
 
 def alike(pairs: DataFrame, contents: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def alike(pairs: DataFrame, contents: DataFrame) -> DataFrame:
             near = (a == b).mean(axis=1) >= SIMILARITY - SLACK
             yield pa.RecordBatch.from_pydict({c: batch.column(batch.schema.get_field_index(c)).filter(pa.array(near)) for c in ("u", "v")})
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(freed(run), "u long, v long")
 
 
 def overlaps(block: pa.RecordBatch) -> np.ndarray:
@@ -175,11 +175,11 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     right = texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, BLOCK_BYTES, "a"):
+        for block in blocks(batches, BLOCK_BYTES // 4, "a"):
             near = pa.array(overlaps(block) >= similarity - 1e-12)
             yield pa.RecordBatch.from_pydict({c: block.column(block.schema.get_field_index(c)).filter(near) for c in ("u", "v")})
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(freed(run), "u long, v long")
 
 
 def stars(members: DataFrame, turn: int) -> DataFrame:
@@ -236,7 +236,7 @@ def in_tasks(works: DataFrame, solve, schema: str) -> DataFrame:
         if waiting and (made := solve(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0])) is not None:
             yield made
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(freed(run), schema)
 
 
 def column(rows: pa.RecordBatch, name: str) -> np.ndarray:

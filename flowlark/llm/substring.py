@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowlark.llm.text import BLOCK_BYTES, blocks, coded, mixed, owners, pieces, raw_bytes, sums, word_hashes, word_ranges
+from flowlark.llm.text import BLOCK_BYTES, blocks, coded, freed, mixed, owners, pieces, raw_bytes, sums, word_hashes, word_ranges
 from flowlark.llm.windows import Cut, covered, minimiser_runs, numbered, repeated_runs, with_runs
 
 WINDOW = 13
@@ -121,4 +121,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False,
             more = {"kept_text": [k.decode() for k in kept], "text": block.column(1)} if texts else {}
             yield pa.RecordBatch.from_pydict(out | more | {k: block.column(block.schema.get_field_index(k)) for k in keep})
 
-    return with_runs(rows, runs).mapInArrow(apply, schema)
+    return with_runs(rows, runs).mapInArrow(freed(apply), schema)

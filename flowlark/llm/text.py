@@ -44,6 +44,18 @@ def let_go(*caches: dict) -> None:
         trim(0)
 
 
+def freed(run):
+    """`run` over the batches of a task, after which the worker gives its memory back."""
+
+    def call(batches):
+        try:
+            yield from run(batches)
+        finally:
+            let_go()
+
+    return call
+
+
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts in one vector, and where each text begins (one entry more than texts)."""
     if not len(texts):

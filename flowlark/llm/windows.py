@@ -23,7 +23,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from flowlark.llm.text import BLOCK_BYTES, blocks
+from flowlark.llm.text import BLOCK_BYTES, blocks, freed
 
 #: Bytes of packed strings that a bucket should hold.
 BUCKET_BYTES = 4 << 20
@@ -266,7 +266,7 @@ def exchanged(rows: DataFrame, send: Callable, bucket_of: Callable, buckets: int
     def back(batches):
         return met(batches, bucket_of)
 
-    return rows.mapInArrow(out, PACKED).repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind", "block").mapInArrow(back, schema)
+    return rows.mapInArrow(freed(out), PACKED).repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind", "block").mapInArrow(freed(back), schema)
 
 
 def repeated_runs(rows: DataFrame, cut: Callable, least_documents: Callable, expansion: float, block_bytes: int = 2 * BLOCK_BYTES) -> DataFrame:
