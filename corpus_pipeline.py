@@ -14,6 +14,7 @@ from flowlark.llm.bpe import encode_decode
 from flowlark.llm.decontaminate import clean_documents
 from flowlark.llm.fertility import fertility, vocabulary_path
 from flowlark.llm.substring import without_repeats
+from flowlark.llm.text import small_batches
 from flowlark.session import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,6 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or empty text has fewer words than the rules ask for and goes; a null in another column stays as it is; columns
     beyond those of documents are left out; an empty table gives an empty one.
     """
+    small_batches(spark)
     return documents(fertility(docs, keep=COLUMNS[2:], kept_only=True))
 
 
@@ -38,6 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without a doc_id stay; of rows that repeat the least doc_id, one of the least texts stays.
     """
+    small_batches(spark)
     kept = near_duplicates(docs).where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     docs = documents(docs)
     found = docs.join(kept.hint("shuffle_hash"), "doc_id")
@@ -52,6 +55,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A text that loses nothing stays as it is, white space included; one that loses words keeps the
     others joined by a space; n_chars follows. A document of which nothing is left goes.
     """
+    small_batches(spark)
     out = without_repeats(docs, texts=True, keep=COLUMNS[2:])
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
     left = out.where("n_removed < n_words OR n_words = 0")
@@ -72,6 +76,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text counts as empty: 0 tokens. Null doc_ids and repeated rows stay; other columns are left out.
     """
+    small_batches(spark)
     return encode_decode(docs, vocabulary_path("word_bpe_49k.json"), ["ids_sha256", "decoded_sha256"], keep=["lang", "source"])
 
 

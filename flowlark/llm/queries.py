@@ -15,11 +15,13 @@ from flowlark.llm.lm_score import lm_scores
 from flowlark.llm.periodic import digested, periodic_runs, planted
 from flowlark.llm.resample import importance_resample
 from flowlark.llm.substring import without_repeats
+from flowlark.llm.text import small_batches
 from flowlark.llm.toxicity import toxicity
 from flowlark.llm.warc import derived_records, responses_of_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -106,12 +106,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False,
     def least(strings: list[bytes], marks: np.ndarray, docs_: np.ndarray) -> tuple:
         return least_by_sorting(strings, marks, docs_, window)
 
-    runs = repeated_runs(rows, cut, least, 3.2)
+    runs = repeated_runs(rows, cut, least, 3.2, BLOCK_BYTES)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, text string" * texts
     schema += "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
 
     def apply(batches) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, BLOCK_BYTES):
+        for block in blocks(batches, BLOCK_BYTES // 2):
             bytes_, begins = raw_bytes(block.column(1))
             starts, ends, firsts = word_ranges(bytes_, begins)
             gone = covered(block, firsts, window)

@@ -14,10 +14,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 4 << 20
+#: Most bytes of an Arrow batch on its way to a worker: it is held on both sides at once.
+BATCH_BYTES = 16 << 20
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
+def small_batches(spark) -> None:
+    """Lowers the session's limit of bytes in an Arrow batch, where it is higher."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = "".join(c for c in spark.conf.get(name) if c.isdigit() or c == "-")
+    if not 0 < int(digits) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def blocks(batches, limit: int = BLOCK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with up to `limit` bytes of text each; null texts become empty."""
     for batch in batches:
