@@ -321,3 +321,24 @@ def test_empty_other_tables(spark):
     assert toxicity(table(spark, []), labels).collect() == []
     assert preference_format(preference_pairs(table(spark, [], "conv_id long, turn long, role string, text string"))).collect() == []
     assert derived_records(responses_of_pages(table(spark, [], "page_id long, url string, html string"))).collect() == []
+
+
+def test_strays_meet_in_blocks(spark, monkeypatch):
+    """Many texts of one origin, mostly just below the limit: blocks of a few texts give the classes of the plain search."""
+    import random
+
+    from flowlark.llm import bagminhash as near
+    from tests.llm import brute
+
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            words[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(near, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(near, "AT_ONCE", 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near.near_duplicates(docs, turns=1).collect())) == brute.classes(rows)
