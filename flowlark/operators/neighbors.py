@@ -1,8 +1,9 @@
 """Exact nearest neighbours, majority vote, and interpolated minority rows.
 
-The reference rows are broadcast as one matrix when their measured size allows. Beyond
-that, reference and query rows are cut into blocks of bounded size, every pair of blocks is
-one task's work, and only each query's best k per block go on. No task emits pairs.
+The reference rows are broadcast as one matrix when their measured size allows. Beyond that they are cut into
+blocks: each row belongs to its nearest pivot, and a pivot's rows are cut into rings by their distance to it. By the
+triangle inequality a ring's least and greatest distance bound how near any of its rows can be to a query, so a query first
+searches one ring near it and then only the rings that could still hold something nearer than its k-th find.
 """
 
 from __future__ import annotations
@@ -11,84 +12,208 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlark.functions.expr import hash_order, hash_unit
-from flowlark.operators.scale import quota_cuts, within_cut
+from flowlark.operators.scale import checked_small, quota_cuts, within_cut
+from flowlark.session import cut_lineage
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 20_000
 WORK_CELLS = 4_000_000
+PIVOTS = 1024
+RINGS = 64
+#: Bounds are widened by this share of the distances they come from, far beyond the rounding of a distance.
+SLACK = 1e-9
 FOUND = "id string, neighbor string, distance double"
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+
+
 def best_of(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, skip_self: bool):
-    """For each query the k nearest rows as (row numbers, distances), ties by id."""
-    step = max(1, WORK_CELLS // max(1, rows.size))
-    for start in range(0, len(queries), step):
-        block = queries[start : start + step]
-        gaps = np.sqrt(((block[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2))
-        if skip_self:
-            gaps[own[start : start + step, None] == ids[None, :]] = np.inf
-        for i, line in enumerate(gaps):
-            order = np.lexsort((ids, line))[:k] if len(line) <= 4 * k else None
-            if order is None:
-                edge = np.partition(line, k)[k]
-                near = np.flatnonzero(line <= edge)
-                order = near[np.lexsort((ids[near], line[near]))][:k]
-            order = order[np.isfinite(line[order])]
-            yield start + i, order, line[order]
-
-
-def _frame(own, hits, ids) -> pd.DataFrame:
-    out = [(own[i], ids[j], float(d)) for i, order, gaps in hits for j, d in zip(order, gaps)]
-    return pd.DataFrame(out, columns=["id", "neighbor", "distance"])
+    """Arrays (query number, row number, distance): the k nearest rows of each query, ties by id."""
+    parts = [(np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0))]
+    if len(rows) and len(queries):
+        names, rank = np.unique(ids, return_inverse=True)
+        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        mine = np.where(names[at] == own, at, -1)
+        step = max(1, WORK_CELLS // max(rows.size, len(rows)))
+        last = min(k, len(rows)) - 1
+        for start in range(0, len(queries), step):
+            gaps = distances(queries[start : start + step], rows)
+            if skip_self:
+                gaps[mine[start : start + step, None] == rank[None, :]] = np.inf
+            edge = np.partition(gaps, last, axis=1)[:, last]
+            q, r = np.nonzero((gaps <= edge[:, None]) & np.isfinite(gaps))
+            order = np.lexsort((rank[r], gaps[q, r], q))
+            q, r = q[order], r[order]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < k
+            q, r = q[first], r[first]
+            parts.append((start + q, r, gaps[q, r]))
+    return tuple(np.concatenate(column) for column in zip(*parts))
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, width))
 
 
+def finite(vector: str = "vector") -> Column:
+    """True for vectors without a null, NaN or infinite component."""
+    return F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+
+
 def nearest(
     queries: DataFrame, reference: DataFrame, k: int = 5, skip_self: bool = False, max_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """(id, neighbor, distance): the k nearest reference rows of each query row, ties by id.
 
-    Both inputs: `id string`, `vector array<double>`.
+    Both inputs: `id string`, `vector array<double>`. Rows whose vector is null or holds a null or non-finite
+    component have no neighbours and are none. Repeated rows count each by themselves.
     """
+    queries, reference = (df.select("id", "vector").filter(finite()) for df in (queries, reference))
     size = reference.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
     n, width = size["n"], size["d"] or 0
     if n * width * 8 <= max_bytes:
-        held = reference.select("id", "vector").toArrow().to_pandas()
+        held = reference.toArrow().to_pandas()
         shared = queries.sparkSession.sparkContext.broadcast((held["id"].to_numpy(dtype=str), _matrix(held["vector"], width)))
 
         def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, rows = shared.value
             for part in parts:
                 own = part["id"].to_numpy(dtype=str)
-                yield _frame(own, best_of(_matrix(part["vector"], width), rows, ids, own, k, skip_self), ids)
+                q, r, gap = best_of(_matrix(part["vector"], width), rows, ids, own, k, skip_self)
+                yield pd.DataFrame({"id": own[q], "neighbor": ids[r], "distance": gap})
+
+        return queries.mapInPandas(search, FOUND)
+    blocks = Blocks(reference, n, width, k, block_rows)
+    placed = cut_lineage(blocks.at_home(queries))
+    first = cut_lineage(closest(blocks.search(placed.select("q", "id", "vector", F.array("home").alias("blocks")), k, skip_self), k))
+    others = cut_lineage(blocks.others(placed, first, k))
+    return closest(first.unionByName(blocks.search(others, k, skip_self)), k).select("id", "neighbor", "distance")
+
+
+def closest(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest finds of each query `q`; tasks keep k of each before they exchange them."""
+    order = Window.partitionBy("q").orderBy("distance", "neighbor")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
+
+
+class Blocks:
+    """Reference rows by (pivot, ring), with the row count and the least and greatest pivot distance of each.
+
+    The driver holds at most PIVOTS vectors and PIVOTS x RINGS rows of bounds, whatever the number of rows.
+    """
+
+    def __init__(self, reference: DataFrame, n: int, width: int, k: int, block_rows: int = BLOCK_ROWS):
+        self.width, self.block_rows = width, block_rows
+        rows = needed(reference, k)
+        wanted = max(1, min(PIVOTS, BROADCAST_BYTES // (8 * max(1, width)), -(-n // block_rows)))
+        drawn = rows.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(wanted).toArrow().to_pandas()
+        spark = reference.sparkSession
+        pivots = spark.sparkContext.broadcast(_matrix(drawn["vector"], width))
+
+        def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for at, gaps in to_pivots(_matrix(part["vector"], width), pivots.value):
+                    cell = gaps.argmin(axis=1)
+                    yield part.iloc[at : at + len(gaps)].assign(cell=cell, gap=gaps[np.arange(len(gaps)), cell])
+
+        assigned = cut_lineage(rows.mapInPandas(assign, "id string, vector array<double>, copies int, cell int, gap double"))
+        cuts = F.percentile_approx("gap", [i / RINGS for i in range(1, RINGS)], 10_000)
+        cells = checked_small(assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), cuts.alias("cuts")))
+        rings = F.least(F.lit(RINGS), F.ceil(F.col("n") / block_rows))
+        before = F.size(F.filter("cuts", lambda c: c < F.col("gap")))
+        block = F.col("cell") * RINGS + F.floor(before * rings / RINGS).cast("int")
+        self.rows = assigned.join(cells, "cell").select("id", "vector", "copies", "gap", block.alias("block"))
+        sizes = self.rows.groupBy("block").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("copies").alias("held"), F.min("gap").alias("low"), F.max("gap").alias("high")
+        )
+        bounds = sizes.orderBy("block").toArrow().to_pandas()  # at most PIVOTS x RINGS rows
+        self.sizes = spark.createDataFrame(bounds[["block", "n"]], "block int, n bigint")
+        self.held = spark.sparkContext.broadcast((pivots.value, bounds, 4 * (k + 1)))
+
+    def at_home(self, queries: DataFrame) -> DataFrame:
+        """Queries with a number `q` and the block to search first: of those with rows enough, that whose farthest row is nearest."""
+        held, width = self.held, self.width
+
+        def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pivots, bounds, enough = held.value
+            block, high = bounds["block"].to_numpy(), bounds["high"].to_numpy()
+            high = np.where((bounds["held"] >= enough) | (bounds["held"].max() < enough), high, np.inf)
+            for part in parts:
+                for at, gaps in to_pivots(_matrix(part["vector"], width), pivots, len(block)):
+                    yield part.iloc[at : at + len(gaps)].assign(home=block[(gaps[:, block // RINGS] + high).argmin(axis=1)])
+
+        numbered = queries.select(F.monotonically_increasing_id().alias("q"), "id", "vector")
+        return numbered.mapInPandas(place, "q bigint, id string, vector array<double>, home int")
+
+    def others(self, placed: DataFrame, first: DataFrame, k: int) -> DataFrame:
+        """Queries with the other blocks that can hold a row no farther than the k-th found at home."""
+        held, width = self.held, self.width
+        edge = F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf")))
+        edges = first.groupBy("q").agg(edge.alias("edge"))
+
+        def choose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pivots, bounds, _ = held.value
+            block, low, high = (bounds[c].to_numpy() for c in ("block", "low", "high"))
+            for part in parts:
+                for at, gaps in to_pivots(_matrix(part["vector"], width), pivots, len(block)):
+                    here = part.iloc[at : at + len(gaps)]
+                    near = gaps[:, block // RINGS]
+                    with np.errstate(invalid="ignore"):
+                        least = np.maximum(near - high, low - near) - SLACK * (near + high)
+                    far = least > here["edge"].to_numpy()[:, None]
+                    far |= block[None, :] == here["home"].to_numpy()[:, None]
+                    yield here[["q", "id", "vector"]].assign(blocks=[block[~line] for line in far])
+
+        joined = placed.join(edges, "q", "left").withColumn("edge", F.coalesce("edge", F.lit(float("inf"))))
+        return joined.mapInPandas(choose, "q bigint, id string, vector array<double>, blocks array<int>").filter(F.size("blocks") > 0)
+
+    def search(self, visits: DataFrame, k: int, skip_self: bool) -> DataFrame:
+        """(q, id, neighbor, distance): up to k finds of each query in each part of the blocks it visits.
+
+        A block with many rows or visitors is cut into parts of at most about `block_rows` on both sides.
+        """
+        width, most = self.width, self.block_rows
+        one = visits.select("q", "id", "vector", F.explode("blocks").alias("block"))
+        visitors = one.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
+        cut = self.sizes.join(visitors, "block").select("block", F.ceil(F.col("n") / most).alias("of"), F.ceil(F.col("m") / most).alias("by"))
+        cut = checked_small(cut)
+
+        def each(count: str) -> Column:
+            return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
 
-        return queries.select("id", "vector").mapInPandas(search, FOUND)
+        left = one.join(cut, "block").select("q", "id", "vector", "block", F.pmod(F.xxhash64("q"), F.col("by")).alias("v"), each("of").alias("r"))
+        right = self.rows.join(cut, "block").select(
+            "id", "vector", "copies", "block", F.pmod(F.xxhash64("id", "vector"), F.col("of")).alias("r"), each("by").alias("v")
+        )
 
-    def blocks(count: int) -> int:
-        return max(1, -(-count // block_rows))
+        def in_part(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            b = b.loc[b.index.repeat(b["copies"])]
+            own, ids = a["id"].to_numpy(dtype=str), b["id"].to_numpy(dtype=str)
+            q, r, gap = best_of(_matrix(a["vector"], width), _matrix(b["vector"], width), ids, own, k, skip_self)
+            return pd.DataFrame({"q": a["q"].to_numpy()[q], "id": own[q], "neighbor": ids[r], "distance": gap})
 
-    n_ref, n_query = blocks(n), blocks(queries.count())
+        keys = ["block", "v", "r"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(in_part, "q bigint, " + FOUND)
 
-    def numbers(count: int):
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
 
-    left = queries.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n_query)).alias("q"), numbers(n_ref).alias("r"))
-    right = reference.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n_ref)).alias("r"), numbers(n_query).alias("q"))
+def needed(reference: DataFrame, k: int) -> DataFrame:
+    """Reference rows that can be among any k nearest: of equal vectors the k + 1 least ids, each at most k times."""
+    counted = reference.groupBy("vector", "id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies"))
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    return counted.withColumn("place", place).filter(F.col("place") <= k + 1).select("id", "vector", "copies")
 
-    def search_block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        own, ids = a["id"].to_numpy(dtype=str), b["id"].to_numpy(dtype=str)
-        return _frame(own, best_of(_matrix(a["vector"], width), _matrix(b["vector"], width), ids, own, k, skip_self), ids)
 
-    partial = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInPandas(search_block, FOUND)
-    order = Window.partitionBy("id").orderBy("distance", "neighbor")
-    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
+def to_pivots(rows: np.ndarray, pivots: np.ndarray, beside: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances to all pivots) in steps that, with `beside` more cells a row, stay small."""
+    step = max(1, WORK_CELLS // max(1, pivots.size, beside))
+    for at in range(0, len(rows), step):
+        yield at, distances(rows[at : at + step], pivots)
 
 
 def knn_classify(queries: DataFrame, reference: DataFrame, k: int = 5, skip_self: bool = False, **limits) -> DataFrame:

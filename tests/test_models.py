@@ -207,6 +207,58 @@ def test_nearest_is_exact(spark, limits):
         assert sorted(got[f"v{i:03d}"]) == want
 
 
+def plain_nearest(data, rows, k, skip_self):
+    """Sorted (query place, distance, neighbor) by comparing every pair."""
+    out = []
+    for place, (own, v) in enumerate(data):
+        gaps = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), i) for i, w in rows if not (skip_self and i == own))
+        out += [(own, round(g, 9), i) for g, i in gaps[:k]]
+    return sorted(out)
+
+
+def grid_rows(seed):
+    """Groups on a coarse grid: many equal distances, equal vectors under several ids, rows that repeat, one vector with a third of all."""
+    rng = np.random.default_rng(seed)
+    near = [(f"n{i:03d}", [float(x) for x in rng.integers(0, 4, 3) + 40 * (i % 5)]) for i in range(240)]
+    hot = [(f"h{i:03d}", [1.0, 1.0, 1.0]) for i in range(150)]
+    return near + hot + near[:20] * 3 + hot[:2] * 9
+
+
+@pytest.mark.parametrize("skip_self", [True, False])
+def test_blocks_find_the_same_neighbours_with_ties_and_repeats(spark, skip_self):
+    rows = grid_rows(3)
+    df = spark.createDataFrame(rows, "id string, vector array<double>")
+    asked = rows[::7] + [("far", [500.0, -3.0, 0.0]), ("far", [500.0, -3.0, 0.0])]
+    queries = spark.createDataFrame(asked, df.schema)
+    want = plain_nearest(asked, rows, 4, skip_self)
+    for limits in ({}, {"max_bytes": 0, "block_rows": 30}, {"max_bytes": 0, "block_rows": 1000}):
+        found = N.nearest(queries, df, 4, skip_self, **limits).collect()
+        assert sorted((r["id"], round(r["distance"], 9), r["neighbor"]) for r in found) == want
+
+
+def test_only_blocks_within_reach_are_visited(spark):
+    """Eight far groups: after the first block a query needs only blocks of its own group."""
+    rng = np.random.default_rng(4)
+    rows = [(f"r{i:04d}", [float(x) for x in rng.normal(0, 1, 4) + 1000 * (i % 8)]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "id string, vector array<double>")
+    blocks = N.Blocks(df, 1600, 4, 5, block_rows=50)
+    placed = blocks.at_home(df).cache()
+    first = N.closest(blocks.search(placed.select("q", "id", "vector", F.array("home").alias("blocks")), 5, True), 5)
+    visits = blocks.others(placed, first, 5).agg(F.sum(F.size("blocks"))).first()[0]
+    assert blocks.sizes.agg(F.max("n")).first()[0] <= 100 and blocks.sizes.count() >= 20
+    assert visits < 1600 * blocks.sizes.count() / 4
+
+
+def test_vectors_that_are_no_points_have_no_neighbours(spark):
+    schema = "id string, vector array<double>"
+    rows = [("a", [0.0, 1.0]), ("b", [0.0, 2.0]), ("c", None), ("d", [None, 1.0]), ("e", [float("nan"), 0.0]), ("f", [float("inf"), 0.0]), ("g", [1e200, -1e200])]
+    df, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for limits in ({}, {"max_bytes": 0, "block_rows": 1}):
+        found = sorted((r["id"], r["neighbor"], r["distance"]) for r in N.nearest(df, df, 3, True, **limits).collect())
+        assert found == [("a", "b", 1.0), ("b", "a", 1.0)]  # the distance to g is beyond doubles
+        assert N.nearest(none, df, 3, **limits).count() == 0 and N.nearest(df, none, 3, **limits).count() == 0
+
+
 def test_vote_ties_go_to_the_smallest_label(spark):
     ref = spark.createDataFrame([("a", [0.0], 2), ("b", [1.0], 1), ("c", [9.0], 3)], "id string, vector array<double>, label int")
     query = spark.createDataFrame([("q", [0.4])], "id string, vector array<double>")
