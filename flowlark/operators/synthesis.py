@@ -1,4 +1,4 @@
-"""Synthetic rows for weak classes from a Gaussian copula.
+"""Synthetic rows for weak classes: modes and discrete values first, then values inside the modes.
 
 A weak class has fewer rows than the limit, so one group is small by definition.
 """
@@ -20,27 +20,87 @@ from flowlark.operators.sampling import augmentation_plan
 from flowlark.operators.scale import checked_small
 
 FEW_VALUES = 50
+MODES = 10
+#: Least width of a mode, as a share of its column's spread.
+LEAST_WIDTH = 1e-3
+
+
+def fit_modes(values: np.ndarray, most: int = MODES, rounds: int = 100) -> np.ndarray:
+    """The mode of each value under a mixture of normal curves, modes numbered upwards by mean.
+
+    The number of modes, up to `most`, is the one with the least Bayesian information criterion.
+    """
+    count, spread = len(values), values.std()
+    if not spread > 0:
+        return np.zeros(count, dtype=int)
+    x = (values - values.mean()) / spread
+    best, chosen = np.inf, np.zeros(count, dtype=int)
+    for k in range(1, min(most, count) + 1):
+        mean, width, weight = np.quantile(x, (np.arange(k) + 0.5) / k), np.full(k, 1.0 / k), np.full(k, 1.0 / k)
+        before = -np.inf
+        for _ in range(rounds):
+            logs = np.log(weight) - np.log(width) - 0.5 * ((x[:, None] - mean) / width) ** 2
+            top = logs.max(axis=1, keepdims=True)
+            sums = np.exp(logs - top).sum(axis=1, keepdims=True)
+            fit = float((top + np.log(sums)).sum()) - 0.5 * count * math.log(2 * math.pi)
+            part = np.exp(logs - top) / sums
+            held = part.sum(axis=0) + 1e-9
+            weight, mean = held / held.sum(), part.T @ x / held
+            width = np.sqrt((part * (x[:, None] - mean) ** 2).sum(axis=0) / held + LEAST_WIDTH**2)
+            if fit - before < 1e-6 * count:
+                break
+            before = fit
+        cost = (3 * k - 1) * math.log(count) - 2 * fit
+        if cost < best:
+            place = np.argsort(np.argsort(mean, kind="stable"), kind="stable")
+            best, chosen = cost, np.unique(place[part.argmax(axis=1)], return_inverse=True)[1]
+    return chosen
+
+
+def even_draw(states: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n row numbers; rows of a state of share s are drawn n x s times, rounded up or down."""
+    order = np.lexsort((rng.permutation(len(states)), *states.T[::-1]))
+    return order[((np.arange(n) + rng.random()) * len(states) / n).astype(int)]
 
 
 def sample_like(rows: np.ndarray, discrete: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """n rows with the margins and the rank correlation of the given ones, inside their ranges."""
+    """n rows like the given ones: first a state, then values under the condition of the state.
+
+    A state is a discrete column's value and a continuous column's mode, over all columns together. States are
+    drawn with the shares of the given rows, so combinations that do not occur are not made. Inside its mode a continuous
+    column has the values' own margin; rank means and correlations are those of the state, drawn towards those of all rows
+    by as many rows as there are columns, so that small states rest on the others.
+    """
     count, width = rows.shape
-    ranks = rows.argsort(axis=0, kind="stable").argsort(axis=0, kind="stable")
-    normal = NormalDist()
-    table = np.array([normal.inv_cdf((i + 0.5) / count) for i in range(count)])
-    scores = table[ranks]
+    states = np.column_stack([np.unique(rows[:, j], return_inverse=True)[1] if discrete[j] else fit_modes(rows[:, j]) for j in range(width)])
+    normal, scores = NormalDist(), np.zeros((count, width))
+    margins: dict[tuple[int, int], np.ndarray] = {}
+    for j in range(width):
+        for m in range(states[:, j].max() + 1):
+            at = np.flatnonzero(states[:, j] == m)
+            at = at[rows[at, j].argsort(kind="stable")]
+            margins[j, m] = rows[at, j]
+            if not discrete[j]:
+                scores[at, j] = [normal.inv_cdf((i + 0.5) / len(at)) for i in range(len(at))]
     spread = scores.std(axis=0)
     scores = scores / np.where(spread > 0, spread, 1.0)
-    cov = scores.T @ scores / max(count, 1) * 0.999 + np.eye(width) * 0.001
-    drawn = rng.standard_normal((n, width)) @ np.linalg.cholesky(cov).T
-    drawn = drawn / np.sqrt(np.diag(cov))
-    share = 0.5 * (1.0 + np.vectorize(math.erf)(drawn / math.sqrt(2.0)))
+    pooled = scores.T @ scores / count * 0.999 + np.eye(width) * 0.001
+    chosen = even_draw(states, n, rng)
+    kinds, kind = np.unique(states, axis=0, return_inverse=True)
+    kind = kind.reshape(-1)
+    drawn = rng.standard_normal((n, width))
+    for s in range(len(kinds)):
+        at, own = np.flatnonzero(kind[chosen] == s), scores[kind == s]
+        mean = own.sum(axis=0) / (len(own) + width)
+        cov = ((own - mean).T @ (own - mean) + width * pooled) / (len(own) + width)
+        drawn[at] = mean + drawn[at] @ np.linalg.cholesky(cov).T
+    share = 0.5 * (1.0 + np.vectorize(math.erf, otypes=[float])(drawn / math.sqrt(2.0)))
+    chosen = states[chosen]
     out = np.empty((n, width))
-    for j in range(width):
-        known = np.sort(rows[:, j])
-        at = share[:, j] * (count - 1)
-        out[:, j] = known[np.rint(at).astype(int)] if discrete[j] else np.interp(at, np.arange(count), known)
-    return np.clip(out, rows.min(axis=0), rows.max(axis=0))
+    for (j, m), known in margins.items():
+        at = np.flatnonzero(chosen[:, j] == m)
+        out[at, j] = np.interp(share[at, j] * (len(known) - 1), np.arange(len(known)), known)
+    return out
 
 
 def synthesise_minority(df: DataFrame, features: list[str], weak_below: int = 1000, target: int = 1500, seed: int = 42) -> DataFrame:

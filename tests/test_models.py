@@ -294,3 +294,31 @@ def test_synthetic_rows_stay_in_range(spark):
     assert out["a"].between(base.min(), base.max()).all()
     assert np.corrcoef(out["a"], out["b"])[0, 1] > 0.9
     assert Y.augmented(df, ["a", "b", "c"]).count() == 1500 + 1200
+
+
+def test_synthetic_rows_keep_modes_and_what_goes_with_them():
+    """Two far modes, a discrete column tied to them, a correlation inside one mode: none of it blurs."""
+    rng = np.random.default_rng(6)
+    low = rng.random(400) < 0.3
+    a = np.where(low, rng.normal(0, 0.5, 400), rng.normal(100, 2, 400))
+    b = np.where(low, rng.normal(7, 1, 400), a * 3 + rng.normal(0, 0.5, 400))
+    c = np.where(low, 1.0, rng.choice([5.0, 9.0], 400))
+    rows = np.column_stack([a, b, c])
+    made = Y.sample_like(rows, np.array([False, False, True]), 1100, np.random.default_rng(1))
+    few = made[:, 0] < 50
+    assert not ((made[:, 0] > a[low].max()) & (made[:, 0] < a[~low].min())).any()
+    assert abs(few.mean() - low.mean()) < 0.01 and (made[few, 2] == 1).all() and set(made[~few, 2]) == {5.0, 9.0}
+    assert made[few, 1].max() <= b[low].max() and np.corrcoef(made[~few, 0], made[~few, 1])[0, 1] > 0.8
+    assert (made.min(axis=0) >= rows.min(axis=0)).all() and (made.max(axis=0) <= rows.max(axis=0)).all()
+
+
+def test_states_are_drawn_by_their_shares():
+    states = np.array([[0, 0]] * 50 + [[0, 1]] * 7 + [[1, 0]] * 43)
+    drawn = states[Y.even_draw(states, 333, np.random.default_rng(2))]
+    for state, n in (((0, 0), 50), ((0, 1), 7), ((1, 0), 43)):
+        assert abs((drawn == state).all(axis=1).sum() - 333 * n / 100) < 1
+
+
+@pytest.mark.parametrize("values, modes", [([3.0] * 40, 1), ([2.0], 1), (list(np.random.default_rng(7).normal(0, 1, 500)), 1)])
+def test_one_mode_where_there_is_one(values, modes):
+    assert len(set(Y.fit_modes(np.array(values)))) == modes
