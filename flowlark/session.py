@@ -58,3 +58,10 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Removes a folder this library wrote, on whatever file system it lies; a missing one is no error."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, on whatever file system it is; a missing folder has none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(where)) if system.exists(where) else []

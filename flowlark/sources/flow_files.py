@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from flowlark.functions import fixed
 
 MAX_FLOWS = 5000
 WINDOW_MINUTES = 5
+OPEN_AT_ONCE = 16
 
 
 def _list_files(spark: SparkSession, folder: str, ending: str) -> list[str]:
@@ -27,22 +29,44 @@ def flow_schema(features: list[str] = fixed.FLOW_FEATURES, label: str = "Label")
     return T.StructType([*fields, T.StructField(label, T.StringType())])
 
 
+def _first_line(spark: SparkSession, name: str) -> str | None:
+    """The first line of a file that is not blank, or None."""
+    io, path = spark._jvm.java.io, spark._jvm.org.apache.hadoop.fs.Path(name)
+    lines = io.BufferedReader(io.InputStreamReader(path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path), "UTF-8"))
+    try:
+        line = lines.readLine()
+        while line is not None and not line.strip():
+            line = lines.readLine()
+        return line
+    finally:
+        lines.close()
+
+
+def files_by_header(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """Files by their first line, found by opening each; no Spark job runs, and files without a line are left out."""
+    with ThreadPool(OPEN_AT_ONCE) as pool:
+        lines = pool.map(lambda name: _first_line(spark, name), files)
+    found: dict[str, list[str]] = {}
+    for name, line in zip(files, lines):
+        if line is not None:
+            found.setdefault(line, []).append(name)
+    return found
+
+
 def ingest_csv(spark: SparkSession, folder: str, dataset: str, schema: T.StructType | None = None) -> DataFrame:
     """All CSV files of a folder as one table, with `dataset` and `source_file`.
 
     Header names lose their outer blanks and columns are matched by name. Files with the
-    same header are read together in one scan; a column a file lacks is null. A given
-    schema sets the types; without one every column is text. `Infinity` reads as infinite.
+    same header line are read together in one scan, so jobs grow with the different headers and not with the files; a
+    column a file lacks is null, and an empty file gives no rows. A given schema sets the types; without one every column
+    is text. `Infinity` reads as infinite.
     """
     files = _list_files(spark, folder, ".csv")
     if not files:
         raise FileNotFoundError(f"no CSV files in {folder}")
-    by_header: dict[tuple, list[str]] = {}
-    for name in files:
-        header = tuple(spark.read.csv(name, header=True).columns)  # reads one line
-        by_header.setdefault(header, []).append(name)
     parts = []
-    for header, names in by_header.items():
+    for names in files_by_header(spark, files).values():
+        header = spark.read.csv(names[0], header=True).columns  # reads one line
         trimmed = [h.strip() for h in header]
         wanted = {f.name: f.dataType for f in schema.fields} if schema else {}
         as_read = T.StructType([T.StructField(h, wanted.get(t, T.StringType())) for h, t in zip(header, trimmed)])
@@ -52,6 +76,9 @@ def ingest_csv(spark: SparkSession, folder: str, dataset: str, schema: T.StructT
         file_name = F.col("_metadata.file_name")
         rows = rows.select(*[F.col("`" + h.replace("`", "``") + "`").alias(t) for h, t in zip(header, trimmed)], file_name.alias("source_file"))
         parts.append(rows.withColumn("dataset", F.lit(dataset)))
+    if not parts:
+        own = [T.StructField(name, T.StringType()) for name in ("source_file", "dataset")]
+        return spark.createDataFrame([], T.StructType([*(schema.fields if schema else []), *own]))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)

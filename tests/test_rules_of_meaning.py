@@ -184,6 +184,20 @@ def test_default_window_of_a_batch(spark):
     assert [(r["src_ip"], r["src_port"], r["window_minutes"], r["row_index"]) for r in got] == [("a", "80", 5, 0), ("b", None, 7, 0)]
 
 
+def test_csv_jobs_follow_headers_not_files(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"f{i:02d}.csv").write_text(("\n x ,Label\n" if i % 3 else "Label,x\n") + (f"{i},Bot\n" if i % 3 else f"Bot,{i}\n"))
+    (tmp_path / "none.csv").write_text("")
+    names = sorted(str(p) for p in tmp_path.iterdir())
+    groups = S.files_by_header(spark, names)
+    assert sorted(len(g) for g in groups.values()) == [4, 8]
+    got = sorted((r["x"], r["Label"], r["source_file"]) for r in S.ingest_csv(spark, str(tmp_path), "cic").collect())
+    assert got == sorted((str(i), "Bot", f"f{i:02d}.csv") for i in range(12))
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "e.csv").write_text("\n")
+    assert S.ingest_csv(spark, str(tmp_path / "empty"), "cic").columns == ["source_file", "dataset"]
+
+
 def test_csv_files_keep_their_names(spark, tmp_path):
     (tmp_path / "b.csv").write_text(" x ,Label\n1,BENIGN\nInfinity,DDoS\n")
     (tmp_path / "a.csv").write_text("Label, x \nBot,3\n")

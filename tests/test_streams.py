@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from flowlark.operators import incidents as I
+from flowlark.session import folder_names
 from flowlark.streaming import incidents as SI
 from flowlark.streaming.correlate import counters_stream
 from flowlark.streaming.run import drain_to_parquet
@@ -48,6 +49,43 @@ def test_alerts_after_the_retention_do_not_reopen(spark, tmp_path):
     assert SI.current_incidents(spark, out).agg(F.max("severity_score")).first()[0] == 70
 
 
+def test_compaction_bounds_the_files_read(spark, tmp_path):
+    rows = alert_rows(130)
+    folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    schema = spark.createDataFrame([], ALERT).schema
+
+    def run(parts):
+        for part in parts:
+            spark.createDataFrame(part, ALERT).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        SI.write_incident_updates(SI.incident_updates(stream, 7), out, check, compact_every=3)
+
+    run([rows[i : i + 10] for i in range(0, 60, 10)])
+    run([rows[i : i + 10] for i in range(60, 130, 10)])
+    names = folder_names(spark, out)
+    assert len([n for n in names if n.startswith("epoch=")]) <= 6 and len(folder_names(spark, f"{out}/base")) <= 2
+    want = I.incidents(spark.createDataFrame(rows, ALERT), 7)
+    got = sorted(map(str, SI.current_incidents(spark, out).select(*want.columns).collect()))
+    assert got == sorted(map(str, want.collect()))
+    last = max(int(n.removeprefix("upto=")) for n in folder_names(spark, f"{out}/base"))
+    SI.compact_incidents(spark, out, last)  # a repeated compaction
+    spark.createDataFrame([], want.schema).write.mode("overwrite").parquet(f"{out}/base/upto={last + 90}")
+    (tmp_path / "out" / "base" / f"upto={last + 90}" / "_SUCCESS").unlink()  # a base whose write was cut off
+    assert sorted(map(str, SI.current_incidents(spark, out).select(*want.columns).collect())) == got
+
+
+def test_a_reader_that_has_begun_outlives_one_compaction(spark, tmp_path):
+    out = str(tmp_path / "out")
+    one = I.incidents(spark.createDataFrame(alert_rows(20), ALERT), 7)
+    for epoch in range(4):
+        one.write.parquet(f"{out}/epoch={epoch}")
+        if epoch == 1:
+            SI.compact_incidents(spark, out, 1)
+    begun = SI.current_incidents(spark, out)
+    SI.compact_incidents(spark, out, 3)
+    assert begun.count() == one.count() == SI.current_incidents(spark, out).count()
+
+
 def test_restart_goes_on_where_it_stopped(spark, tmp_path):
     folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     schema = "mode string, binary_label string"
