@@ -124,15 +124,15 @@ def magnitude(v: Column) -> Column:
     return F.when(v < 0, -found).otherwise(found)
 
 
-def share_between(v: Column, lo: Column, hi: Column, real: bool) -> Column:
-    """How far v lies from lo to hi, never falling as v grows.
+def share_between(v: Column, lo: Column, hi: Column, real: bool, ends: tuple[Column, Column] | None = None) -> Column:
+    """How far v lies from lo to hi, never falling as v grows; `ends` are the magnitudes of lo and hi where they are known.
 
     Doubles go by magnitude until lo and hi agree in it to the last bits, and then by value; with 4,096
     buckets six rounds are enough for any doubles. Whole numbers go by difference.
     """
     if real:
         v, lo, hi = (x.cast("double") for x in (v, lo, hi))
-        low, high = magnitude(lo), magnitude(hi)
+        low, high = ends or (magnitude(lo), magnitude(hi))
         return F.when(high - low > 1e-9, (magnitude(v) - low) / (high - low)).otherwise(F.try_divide(v - lo, hi - lo))
     wide = hi.cast("double") - lo.cast("double")
     return F.when(wide > 1e15, (v.cast("double") - lo.cast("double")) / wide).otherwise(F.try_divide((v - lo).cast("double"), (hi - lo).cast("double")))
@@ -165,18 +165,25 @@ def order_statistics(
     targets = settle(start.select(*group, "e.*", "lo", "hi", "total", F.lit(0).cast("bigint").alias("before")).select(*names))
     while not targets.filter(F.col("lo") < F.col("hi")).isEmpty():
         open_ones = targets.filter(F.col("lo") < F.col("hi"))
-        inside = data.join(open_ones, group) if group else data.crossJoin(open_ones)
-        inside = inside.filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
-        share = share_between(F.col("__v"), F.col("lo"), F.col("hi"), real)
-        at = F.when(F.col("__v") == F.col("hi"), buckets).otherwise(
+        # Positions between the same two values are counted together, and the ends' magnitudes are taken here, not for each row.
+        ends = [magnitude(F.col(c).cast("double")).alias(f"__{c}_size") for c in ("lo", "hi")] if real else []
+        spans = settle(open_ones.select(*group, F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), *ends).distinct())
+        inside = data.join(spans, group) if group else data.crossJoin(spans)
+        inside = inside.filter((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
+        sizes = (F.col("__lo_size"), F.col("__hi_size")) if real else None
+        share = share_between(F.col("__v"), F.col("__lo"), F.col("__hi"), real, sizes)
+        at = F.when(F.col("__v") == F.col("__hi"), buckets).otherwise(
             F.least(F.floor(F.nanvl(F.coalesce(share, F.lit(0.0)), F.lit(0.0)) * buckets), F.lit(buckets - 1))
         )
-        counts = inside.groupBy(*group, "name", "pos", "before", "total", at.alias("__b")).agg(
-            F.count(F.lit(1)).alias("__n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")
+        counts = inside.groupBy(*group, "__lo", "__hi", at.alias("__b")).agg(
+            F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most")
         )
-        earlier = Window.partitionBy(*group, "name").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-        placed = counts.withColumn("before", F.col("before") + F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-        found = placed.filter((F.col("before") <= F.col("pos")) & (F.col("pos") < F.col("before") + F.col("__n")))
+        earlier = Window.partitionBy(*group, "__lo", "__hi").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("__less", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+        known = open_ones.withColumnsRenamed({"lo": "__lo", "hi": "__hi"})
+        both = placed.join(known, [*group, "__lo", "__hi"]).withColumn("before", F.col("before") + F.col("__less"))
+        found = both.filter((F.col("before") <= F.col("pos")) & (F.col("pos") < F.col("before") + F.col("__n")))
+        found = found.withColumnsRenamed({"__least": "lo", "__most": "hi"})
         targets = settle(targets.filter(F.col("lo") >= F.col("hi")).unionByName(found.select(*names)))
     return targets.select(*group, "name", "pos", F.col("lo").alias("value"), "before", "total")
 
@@ -219,8 +226,8 @@ def running_totals(df: DataFrame, order: Column, scaled: Column, values: list[st
 
     `scaled` is a number growing with the order; its whole part is the row's bucket. Buckets with
     too many rows are cut 4,096 times finer between their least and greatest order, again and
-    again until none has too many. Bucket sums are added up in one small window, rows only
-    inside their bucket.
+    again until none has too many. Bucket sums are added up level by level: a task gets the top
+    buckets, or the parts of one bucket of the level above; rows are added up only inside their bucket.
     """
     tagged = df.withColumns({"__o": order.cast("double"), "__b0": F.floor(scaled).cast("bigint")})
     levels = ["__b0"]
@@ -234,9 +241,14 @@ def running_totals(df: DataFrame, order: Column, scaled: Column, values: list[st
         name = f"__b{len(levels)}"
         tagged = cut_lineage(tagged.join(crowded, levels, "left").withColumn(name, place.cast("bigint")).drop("__lo", "__hi"))
         levels = [*levels, name]
-    sums = tagged.groupBy(*levels).agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
-    earlier = Window.partitionBy(F.lit(0)).orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*levels, *[F.coalesce(F.sum(f"__s_{v}").over(earlier), F.lit(0)).alias(f"__p_{v}") for v in values])
+    sums = cut_lineage(tagged.groupBy(*levels).agg(*[F.sum(v).alias(f"__p_{v}") for v in values]))
+    base = sums.select(*levels, *[(F.col(f"__p_{v}") * 0).alias(f"__p_{v}") for v in values])
+    for depth in range(len(levels)):
+        upper, own = levels[:depth], levels[: depth + 1]
+        level = sums.groupBy(*own).agg(*[F.sum(f"__p_{v}").alias(f"__s_{v}") for v in values])
+        earlier = Window.partitionBy(*(upper or [F.lit(0)])).orderBy(levels[depth]).rowsBetween(Window.unboundedPreceding, -1)
+        before = level.select(*own, *[F.coalesce(F.sum(f"__s_{v}").over(earlier), F.lit(0)).alias(f"__e_{v}") for v in values])
+        base = base.join(before, own).select(*levels, *[(F.col(f"__p_{v}") + F.col(f"__e_{v}")).alias(f"__p_{v}") for v in values])
     inside = Window.partitionBy(*levels).orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
     return (
         tagged.join(checked_small(base), levels)

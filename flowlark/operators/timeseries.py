@@ -5,6 +5,8 @@ Everything counts back from an explicit `as_of`, so a query gives the same rows
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from flowlark.functions.expr import inline_table
 from flowlark.operators.alerts import two_places
 from flowlark.operators.clean import date_range
 from flowlark.operators.scale import newest_rows
+from flowlark.session import cut_lineage
 
 LABEL_FORMAT = {"second": "HH:mm:ss", "minute": "HH:mm", "hour": "HH:00", "day": "yyyy-MM-dd"}
 SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
@@ -55,37 +58,55 @@ def packets_per_day(df, as_of, days: int = 7, **names):
     return unit_series(df, "day", days, as_of, **names)
 
 
-def poll_activity(
-    df: DataFrame, as_of: str, poll_seconds=3, divisions: int = 50, ts: str = "received_at", packets: str = "total_packets"
-) -> DataFrame:
-    """Packets per polling interval counted back from as_of. A bad or non-positive interval means 3 s."""
+def _poll_micros(poll_seconds) -> int:
+    """Length of a polling interval. A bad or non-positive one means 3 s."""
     try:
         poll = float(poll_seconds)
     except (TypeError, ValueError):
         poll = 3.0
-    if not poll > 0:
-        poll = 3.0
-    step = int(round(poll * 1_000_000))
+    return int(round((poll if poll > 0 else 3.0) * 1_000_000))
+
+
+def poll_position(ts: str, as_of: str, step: int, divisions: int) -> Column:
+    """The polling interval a time lies in, counted so that the last one ends at as_of; null outside."""
+    now = F.date_trunc("second", _at(as_of))
+    oldest = F.timestamp_micros(F.unix_micros(now) - (divisions - 1) * step)
+    back = F.floor((F.unix_micros(now) - F.unix_micros(F.col(ts).cast("timestamp"))) / F.lit(step))
+    return F.when((F.col(ts) >= oldest) & (F.col(ts) <= now), F.lit(divisions - 1) - back)
+
+
+def _poll_series(placed: DataFrame, as_of: str, step: int, divisions: int, packets: str) -> DataFrame:
+    """Rows with their polling interval in `poll` as the zero-filled series."""
+    sums = placed.filter(F.col("poll").isNotNull()).groupBy(F.col("poll").alias("position")).agg(F.sum(packets).cast("bigint").alias("y"))
+    spine = placed.sparkSession.range(divisions).select(F.col("id").alias("position"))
     now = F.unix_micros(F.date_trunc("second", _at(as_of)))
-    oldest = F.timestamp_micros(now - (divisions - 1) * step)
-    inside = df.filter((F.col(ts) >= oldest) & (F.col(ts) <= F.date_trunc("second", _at(as_of))))
-    back = F.floor((now - F.unix_micros(F.col(ts).cast("timestamp"))) / F.lit(step))
-    sums = inside.groupBy((F.lit(divisions - 1) - back).alias("position")).agg(F.sum(packets).cast("bigint").alias("y"))
-    spine = df.sparkSession.range(divisions).select(F.col("id").alias("position"))
     label = F.date_format(F.timestamp_micros((now - (F.lit(divisions - 1) - F.col("position")) * step).cast("bigint")), "HH:mm:ss")
     return spine.join(sums, "position", "left").select("position", label.alias("x"), F.coalesce("y", F.lit(0)).alias("y")).orderBy("position")
 
 
+def poll_activity(
+    df: DataFrame, as_of: str, poll_seconds=3, divisions: int = 50, ts: str = "received_at", packets: str = "total_packets"
+) -> DataFrame:
+    """Packets per polling interval counted back from as_of. A bad or non-positive interval means 3 s."""
+    step = _poll_micros(poll_seconds)
+    now = F.date_trunc("second", _at(as_of))
+    inside = df.filter((F.col(ts) >= F.timestamp_micros(F.unix_micros(now) - (divisions - 1) * step)) & (F.col(ts) <= now))
+    return _poll_series(inside.withColumn("poll", poll_position(ts, as_of, step, divisions)), as_of, step, divisions, packets)
+
+
 def tidy_label(label: Column) -> Column:
     return F.when(F.upper(label) == "BENIGN", "benign").otherwise(F.coalesce(label, F.lit("unknown")))
 
 
 def attack_counts(df: DataFrame, label: str = "attack_label", with_benign: bool = True) -> DataFrame:
     """Flows per label; benign is always there unless left out on purpose."""
-    counts = df.groupBy(tidy_label(F.col(label)).alias("label")).agg(F.count(F.lit(1)).alias("n_flows"))
+    return _with_benign(df.groupBy(tidy_label(F.col(label)).alias("label")).agg(F.count(F.lit(1)).alias("n_flows")), with_benign)
+
+
+def _with_benign(counts: DataFrame, with_benign: bool = True) -> DataFrame:
     if not with_benign:
         return counts.filter(F.col("label") != "benign")
-    zero = inline_table(df.sparkSession, [("benign", 0)], ["label", "n_flows"])
+    zero = inline_table(counts.sparkSession, [("benign", 0)], ["label", "n_flows"])
     return counts.unionByName(zero.withColumn("n_flows", F.col("n_flows").cast("bigint"))).groupBy("label").agg(F.sum("n_flows").alias("n_flows"))
 
 
@@ -98,7 +119,10 @@ def _hourly(df: DataFrame, ts: str, label: str, packets: str) -> DataFrame:
 
 def daily_report(df: DataFrame, ts: str = "received_at", label: str = "attack_label", packets: str = "total_packets") -> DataFrame:
     """Rows (day, kind, key, value): flows of the day, flows per label, packets of each of 24 hours."""
-    base = _hourly(df.filter(F.col(ts).isNotNull()), ts, label, packets)
+    return _daily(_hourly(df.filter(F.col(ts).isNotNull()), ts, label, packets))
+
+
+def _daily(base: DataFrame) -> DataFrame:
     flows = base.groupBy("day").agg(F.sum("n").alias("value")).select("day", F.lit("flows").alias("kind"), F.lit("").alias("key"), "value")
     days = base.groupBy("day").agg(F.max("day").alias("d")).select("day")
     labels = base.groupBy("day", F.col("label").alias("key")).agg(F.sum("n").alias("value"))
@@ -112,36 +136,44 @@ def daily_report(df: DataFrame, ts: str = "received_at", label: str = "attack_la
     )
 
 
-def chart_series(df: DataFrame, as_of: str, poll_seconds=3, **names) -> DataFrame:
-    """All charts as rows (section, position, x, y)."""
+def second_sums(
+    df: DataFrame, as_of: str, poll_seconds=3, by: tuple[str, ...] = (), divisions: int = 50,
+    ts: str = "received_at", label: str = "attack_label", packets: str = "total_packets",
+) -> DataFrame:
+    """Flows `n` and `packets` per second, polling interval and label, worked out once: the base of every chart and report.
+
+    One scan with a map-side-combined sum; the rows that are left grow with the seconds covered, not with the flows.
+    """
+    poll = poll_position(ts, as_of, _poll_micros(poll_seconds), divisions)
+    keys = [F.date_trunc("second", F.col(ts)).alias("second"), poll.alias("poll"), tidy_label(F.col(label)).alias("label")]
+    return cut_lineage(df.groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(packets).alias("packets")))
+
+
+def chart_series(base: DataFrame, as_of: str, poll_seconds=3, divisions: int = 50) -> DataFrame:
+    """All charts as rows (section, position, x, y), from the sums of `second_sums` with the same settings."""
+    names = {"ts": "second", "packets": "packets"}
+    counts = _with_benign(base.groupBy("label").agg(F.sum("n").alias("n_flows")))
     parts = [
-        ("packet_activity", poll_activity(df, as_of, poll_seconds, **names)),
-        ("per_second", packets_per_second(df, as_of, **names)),
-        ("per_minute", packets_per_minute(df, as_of, **names)),
-        ("per_hour", packets_per_hour(df, as_of, **names)),
-        ("per_day", packets_per_day(df, as_of, **names)),
+        ("packet_activity", _poll_series(base, as_of, _poll_micros(poll_seconds), divisions, "packets")),
+        ("per_second", packets_per_second(base, as_of, **names)),
+        ("per_minute", packets_per_minute(base, as_of, **names)),
+        ("per_hour", packets_per_hour(base, as_of, **names)),
+        ("per_day", packets_per_day(base, as_of, **names)),
+        ("attack_counts", counts.select(F.lit(0).cast("bigint").alias("position"), F.col("label").alias("x"), F.col("n_flows").alias("y"))),
     ]
-    counts = attack_counts(df)
-    parts.append(("attack_counts", counts.select(F.lit(0).cast("bigint").alias("position"), F.col("label").alias("x"), F.col("n_flows").alias("y"))))
-    tagged = [p.select(F.lit(name).alias("section"), "position", "x", "y") for name, p in parts]
-    out = tagged[0]
-    for part in tagged[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, [p.select(F.lit(name).alias("section"), "position", "x", "y") for name, p in parts])
 
 
 def report_bundle(df: DataFrame, as_of: str, start: str | None, end: str | None, poll_seconds=3, ts: str = "received_at") -> DataFrame:
-    """Range filter, then all charts and the day roll-ups as rows (section, position, x, y).
-
-    Each part reads its own time range from the table, so nothing is cached.
-    """
-    chosen = date_range(df, ts, start, end)
-    charts = chart_series(chosen, as_of, poll_seconds, ts=ts)
-    days = daily_report(chosen, ts).select(
+    """Range filter, then all charts and the day roll-ups as rows (section, position, x, y), from one scan of the table."""
+    base = second_sums(date_range(df, ts, start, end), as_of, poll_seconds, ts=ts)
+    timed = base.filter(F.col("second").isNotNull())
+    hourly = timed.groupBy(F.date_format("second", "yyyy-MM-dd").alias("day"), F.date_format("second", "HH:00").alias("hour"), "label")
+    days = _daily(hourly.agg(F.sum("n").alias("n"), F.sum("packets").cast("bigint").alias("packets"))).select(
         F.concat_ws(" ", F.lit("day"), "day", "kind").alias("section"), F.lit(0).cast("bigint").alias("position"), F.col("key").alias("x"),
         F.col("value").alias("y"),
     )
-    return charts.unionByName(days)
+    return chart_series(base, as_of, poll_seconds).unionByName(days)
 
 
 def alert_severity_counts(records: DataFrame) -> DataFrame:
@@ -242,17 +274,19 @@ def without_repeats(history: DataFrame, text: str = "insight", ts: str = "receiv
 
 
 def dashboard_snapshot(df: DataFrame, as_of: str, poll_seconds=3) -> DataFrame:
-    """Totals per mode and every chart of each mode as rows (mode, section, position, x, y), over all flows."""
-    totals = df.groupBy("mode").agg(
-        F.count(F.lit(1)).alias("total_flows"),
-        F.count(F.when(tidy_label(F.col("attack_label")) == "benign", 1)).alias("benign_count"),
-        F.count(F.when(~tidy_label(F.col("attack_label")).isin("benign", "unclassified"), 1)).alias("not_benign_count"),
+    """Totals per mode and every chart of each mode as rows (mode, section, position, x, y), over all flows in one scan."""
+    base = second_sums(df, as_of, poll_seconds, by=("mode",))
+    none = F.lit(0).cast("bigint")
+    totals = base.groupBy("mode").agg(
+        F.sum("n").alias("total_flows"),
+        F.sum(F.when(F.col("label") == "benign", F.col("n")).otherwise(none)).alias("benign_count"),
+        F.sum(F.when(~F.col("label").isin("benign", "unclassified"), F.col("n")).otherwise(none)).alias("not_benign_count"),
     )
     out = totals.select(
         "mode", F.lit("summary").alias("section"),
         F.expr("stack(3, 0L, 'total_flows', total_flows, 1L, 'benign_count', benign_count, 2L, 'not_benign_count', not_benign_count) as (position, x, y)"),
     )
     for mode in ("simulator", "network"):
-        part = chart_series(df.filter(F.col("mode") == mode), as_of, poll_seconds)
+        part = chart_series(base.filter(F.col("mode") == mode), as_of, poll_seconds)
         out = out.unionByName(part.select(F.lit(mode).alias("mode"), "section", "position", "x", "y"))
     return out

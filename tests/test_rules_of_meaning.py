@@ -184,6 +184,34 @@ def test_default_window_of_a_batch(spark):
     assert [(r["src_ip"], r["src_port"], r["window_minutes"], r["row_index"]) for r in got] == [("a", "80", 5, 0), ("b", None, 7, 0)]
 
 
+def test_report_and_dashboard_read_the_table_once(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1, 23, 58, 0, 250_000)
+    labels = ("BENIGN", "Bot", None, "unclassified")
+    rows = [(("simulator", "network", "other")[i % 3], start + dt.timedelta(milliseconds=700 * i), labels[i % 4], i % 5 or None) for i in range(400)]
+    rows += [("network", None, "Bot", 7)]
+    folder, as_of = str(tmp_path / "flows"), "2024-01-02 00:02:10.9"
+    spark.createDataFrame(rows, "mode string, received_at timestamp, attack_label string, total_packets int").write.parquet(folder)
+    df = spark.read.parquet(folder)
+    alone = {
+        "packet_activity": R.poll_activity(df, as_of, 2.5), "per_second": R.packets_per_second(df, as_of), "per_minute": R.packets_per_minute(df, as_of),
+        "per_hour": R.packets_per_hour(df, as_of), "per_day": R.packets_per_day(df, as_of),
+    }
+    bundle, board = R.report_bundle(df, as_of, None, None, 2.5), R.dashboard_snapshot(df, as_of, 2.5)
+    for out in (bundle, board):
+        assert "FileScan" not in out._jdf.queryExecution().executedPlan().toString()
+    got = bundle.collect()
+    for name, series in alone.items():
+        assert sorted((r["position"], r["x"], r["y"]) for r in got if r["section"] == name) == sorted(tuple(r) for r in series.collect())
+    assert {(r["x"], r["y"]) for r in got if r["section"] == "attack_counts"} == {tuple(r) for r in R.attack_counts(df.filter("received_at is not null")).collect()}  # undated rows are in no range
+    days = {(r["section"], r["x"], r["y"]) for r in got if r["section"].startswith("day ")}
+    assert days == {(f"day {r['day']} {r['kind']}", r["key"], r["value"]) for r in R.daily_report(df).collect()}
+    network = df.filter("mode = 'network'")
+    seen = {(r["x"], r["y"]) for r in board.collect() if r["mode"] == "network" and r["section"] == "summary"}
+    benign = network.filter("attack_label = 'BENIGN'").count()
+    other = network.filter("attack_label is null or attack_label not in ('BENIGN', 'unclassified')").count()
+    assert seen == {("total_flows", network.count()), ("benign_count", benign), ("not_benign_count", other)}
+
+
 def test_csv_jobs_follow_headers_not_files(spark, tmp_path):
     for i in range(12):
         (tmp_path / f"f{i:02d}.csv").write_text(("\n x ,Label\n" if i % 3 else "Label,x\n") + (f"{i},Bot\n" if i % 3 else f"Bot,{i}\n"))
