@@ -12,7 +12,7 @@ import pytest
 
 from flowlark.llm import attention, gru, suffix
 from flowlark.llm.bagminhash import near_duplicates, signatures
-from flowlark.llm.bpe import encode_decode
+from flowlark.llm.bpe import WORD_PATTERN, chunk_cuts, encode_decode, repaired_joins, word_edges, word_ends
 from flowlark.llm.chat import preference_format, preference_pairs
 from flowlark.llm.decontaminate import MASKS, clean_documents, contaminated
 from flowlark.llm.fertility import RANKS, fertility, vocabulary_path
@@ -110,6 +110,66 @@ def test_encoding_is_the_librarys(spark):
     assert sum(r.n_repaired for r in out) > 0
 
 
+def test_word_ends_are_the_patterns():
+    import regex
+
+    draw = random.Random(8)
+    signs = ["'", "'s", "'re", "'ll", "'ve", "'m", "'d", "'t", "l", "e", "v", "r", "s", "é", "ÿ", "1", "23", "!", "-", " ", "\n", "\t", "_", "a"]
+    for _ in range(3000):
+        text = "".join(draw.choice(signs) for _ in range(draw.randint(0, 14)))
+        wanted = [len(text[: m.end()].encode()) - 1 for m in regex.finditer(WORD_PATTERN, text)]
+        assert np.flatnonzero(word_ends(np.frombuffer(text.encode(), np.uint8))).tolist() == wanted, text
+
+
+def test_chunks_of_equal_passages_are_equal():
+    draw = random.Random(4)
+    passage = "".join(draw.choice("abcdefgh é") for _ in range(4000)).encode()
+    chunks = []
+    for lead in (b"", b"another opening of another length "):
+        bytes_ = np.frombuffer(lead + passage, np.uint8)
+        cuts = chunk_cuts(bytes_, np.array([0, len(bytes_)]), 64)
+        chunks.append([bytes(x) for x in np.split(bytes_, cuts)[2:]])
+    shared = set(chunks[0]) & set(chunks[1])
+    assert len(chunks[0]) > 30 and len(shared) >= len(chunks[0]) - 2
+    assert all(x.decode("utf-8") is not None for x in shared)
+
+
+def test_ranges_at_joins_grow_until_the_chunks_agree():
+    """A toy vocabulary, whose pairs reach over white space, so that the nearest words do not agree yet."""
+    pairs = {b"a b", b"b c", b"c d"}
+
+    def tokens(text):
+        words, out, i = text.split(), [], 0
+        while i < len(words):
+            two = b" ".join(words[i : i + 2])
+            out.append(two.replace(b" ", b"_") if two in pairs else words[i])
+            i += 2 if two in pairs else 1
+        return out
+
+    def check(text, broken):
+        bytes_ = np.frombuffer(text, np.uint8)
+
+        def encode(starts, stops):
+            made = [tokens(bytes_[i:j].tobytes()) for i, j in zip(starts, stops)]
+            return [(len(t), b"".join(b" " + x for x in t), b"".join(b" " + x for x in t)) for t in made]
+
+        begins = np.array([0, len(bytes_)])
+        opens, closes, found = repaired_joins(np.array(broken), word_edges(bytes_, begins), begins, encode)
+        whole, at = [], 0
+        for i, j, (n, ids, _) in zip(opens, closes, found):
+            assert ids.count(b" ") == n
+            whole += [*tokens(text[at:i]), *ids.split()]
+            at = j
+        assert whole + tokens(text[at:]) == tokens(text)
+        return closes - opens
+
+    assert check(b"xx yyyy zz", [5]).tolist() == [5]
+    assert check(b"q q a bbbb a b c d q q q", [7]).tolist() == [5]
+    grown = check(b"q q q a b c d q q q", [6, 7])
+    assert (grown > 4).all()
+    assert check(b"xxxx", [1, 2]).tolist() == [4]
+
+
 def test_fertility_measures(spark, rows):
     rows = [*rows, *AWKWARD, (50, "a b c\n\nA b c\na b c\n \n"), (51, "## |x| a b c d a b c\n" * 3)]
     out = fertility(table(spark, rows)).collect()
