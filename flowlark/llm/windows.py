@@ -23,7 +23,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from flowlark.llm.text import BLOCK_BYTES, blocks, freed
+from flowlark.llm.text import BLOCK_BYTES, IN_CACHE, blocks, freed
 
 #: Bytes of packed strings that a bucket should hold.
 BUCKET_BYTES = 4 << 20
@@ -85,14 +85,18 @@ def minimiser_runs(order: np.ndarray, windows: np.ndarray, reach: int) -> tuple[
     if not windows.any():
         return (np.zeros(0, np.int64),) * 3
     places = np.uint64(max(1, int(len(order)).bit_length()))
-    low = (order >> places << places) | np.arange(len(order), dtype=np.uint64)
-    size = 1
-    while 2 * size <= reach:
-        low = np.minimum(low[: len(low) - size], low[size:])
-        size *= 2
-    rest = reach - size
-    low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-    place = (low[:n] & ((np.uint64(1) << places) - np.uint64(1))).astype(np.int64)
+    place = np.zeros(n, np.int64)
+    for at in range(0, min(n, len(order) - reach + 1), IN_CACHE):
+        part = order[at : at + IN_CACHE + reach - 1]
+        low = (part >> places << places) | np.arange(at, at + len(part), dtype=np.uint64)
+        size = 1
+        while 2 * size <= reach:
+            low = np.minimum(low[: len(low) - size], low[size:])
+            size *= 2
+        rest = reach - size
+        low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+        own = place[at : at + len(low)]
+        own[:] = low[: len(own)] & ((np.uint64(1) << places) - np.uint64(1))
     opens = windows.copy()
     opens[1:] &= ~(windows[:-1] & (place[1:] == place[:-1]))
     starts = np.flatnonzero(opens)
