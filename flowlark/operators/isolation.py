@@ -50,6 +50,29 @@ def grow(rows: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return nodes
 
 
+def path_lengths(rows: np.ndarray, trees: list[dict]) -> np.ndarray:
+    """Sum over the trees of each row's path length. A value that is not a number goes right.
+
+    Both children of a leaf are the leaf itself, so that all rows take the same steps.
+    """
+    n = len(rows)
+    flat, at_row, total = np.ascontiguousarray(rows.T).ravel(), np.arange(n), np.zeros(n)
+    for tree in trees:
+        inner, itself = tree["feature"] >= 0, np.arange(len(tree["feature"]))
+        column = np.maximum(tree["feature"], 0) * n
+        child = np.stack([np.where(inner, tree["right"], itself), np.where(inner, tree["left"], itself)], axis=1).ravel()
+        node = np.zeros(n, dtype=np.int64)
+        for _ in range(tree["depth"]):
+            place = column.take(node)
+            place += at_row
+            low = flat.take(place) <= tree["threshold"].take(node)
+            node *= 2
+            node += low
+            node = child.take(node)
+        total += tree["length"].take(node)
+    return total
+
+
 @dataclass
 class IsolationForest:
     features: list[str]
@@ -64,18 +87,7 @@ class IsolationForest:
 
         @F.pandas_udf("double")
         def score(values: pd.DataFrame) -> pd.Series:
-            rows = values.to_numpy(dtype=np.float64)
-            total = np.zeros(len(rows))
-            at_row = np.arange(len(rows))
-            for tree in shared.value:
-                node = np.zeros(len(rows), dtype=np.int64)
-                for _ in range(tree["depth"]):
-                    feature = tree["feature"][node]
-                    inner = feature >= 0
-                    low = rows[at_row, np.maximum(feature, 0)] <= tree["threshold"][node]
-                    node = np.where(inner, np.where(low, tree["left"][node], tree["right"][node]), node)
-                total += tree["length"][node]
-            return pd.Series(-np.exp2(-total / len(shared.value) / scale))
+            return pd.Series(-np.exp2(-path_lengths(values.to_numpy(dtype=np.float64), shared.value) / len(shared.value) / scale))
 
         return df.withColumn(out, score(F.struct(*[col(c).cast("double").alias(f"f{i}") for i, c in enumerate(self.features)])))
 
