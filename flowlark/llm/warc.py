@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Named characters that are decoded, `&amp;` last so that nothing is decoded twice. Fixed values.
+#: Named characters that are decoded, once each. Fixed values.
 ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
     ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&laquo;", "«"), ("&raquo;", "»"),
@@ -17,15 +15,29 @@ ENTITIES = [
 UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<noscript\b.*?</noscript\s*>"
 LINE_ENDS = r"(?i)</?(?:p|div|br|hr|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|title|blockquote|pre)\b[^>]*>"
 TAGS = r"(?s)<[a-zA-Z/!?][^>]*>"
+#: White space that is not already one space.
+SPACES = r"[\n\t\x0B\f ]{2,}|[\n\t\x0B\f]"
 
 
 def plain_text(html: Column) -> Column:
     """The text of a page: a line for each block with text, runs of white space as one space."""
     text = F.regexp_replace(F.regexp_replace(html, r"[\x00\r]", ""), UNSEEN, " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"[\n\t\x0B\f ]+", " "), LINE_ENDS, "\n")
+    text = F.regexp_replace(F.regexp_replace(text, SPACES, " "), LINE_ENDS, "\n")
     text = F.regexp_replace(text, TAGS, "")
-    text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \x{A0}]+", " "), r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    text = F.regexp_replace(decoded(text), r"[ \x{A0}]{2,}|\x{A0}", " ")
+    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+
+
+def decoded(text: Column) -> Column:
+    """The text with its named characters. Each begins with the one `&` it holds, so the text is cut there and each piece looked at once."""
+
+    def one(piece: Column, place: Column) -> Column:
+        out = F.when(place == 0, piece)
+        for name, character in ENTITIES:
+            out = out.when(F.startswith(piece, F.lit(name[1:])), F.concat(F.lit(character), F.substring(piece, len(name), 2**31 - 1)))
+        return out.otherwise(F.concat(F.lit("&"), piece))
+
+    return F.array_join(F.transform(F.split(text, "&"), one), "")
 
 
 def uuid_urn(name: Column) -> Column:

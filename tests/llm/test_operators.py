@@ -9,8 +9,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from flowlark.llm import attention, gru, suffix
+from flowlark.llm import attention, gru, suffix, warc
 from flowlark.llm.bagminhash import near_duplicates, signatures
 from flowlark.llm.bpe import WORD_PATTERN, chunk_cuts, encode_decode, repaired_joins, word_edges, word_ends
 from flowlark.llm.chat import preference_format, preference_pairs
@@ -402,3 +403,26 @@ def test_strays_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near, "AT_ONCE", 5)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, near.near_duplicates(docs, turns=1).collect())) == brute.classes(rows)
+
+
+def test_named_characters_are_decoded_in_one_pass_as_one_by_one(spark):
+    """op2: the text was searched once for each of 22 names, and every single space was replaced by itself."""
+    pieces = [e for e, _ in warc.ENTITIES] + ["&", "amp;", "lt;", "&#39", ";", "é", " ", " ", "\n", "\t", "a  b", "&amp;amp;", "&&lt;lt;"]
+    rng = np.random.default_rng(2)
+    texts = ["", "&", "no", "&amp;lt;", *("".join(rng.choice(pieces, 12)) for _ in range(300))]
+
+    def plain(text):
+        for name, character in warc.ENTITIES:
+            text = text.replace(name, character)
+        return text
+
+    def spaced(text):
+        text = re.sub(r"[ \xa0]+", " ", plain(re.sub(r"[\n\t\x0b\f ]+", " ", text)))
+        return text.strip(" ")
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", warc.decoded(F.col("t")).alias("d"), warc.plain_text(F.col("t")).alias("p"))
+    got = {r["n"]: (r["d"], r["p"]) for r in rows.collect()}
+    untagged = [n for n, t in enumerate(texts) if "<" not in t]
+    assert [got[n][0] for n in range(len(texts))] == [plain(t) for t in texts]
+    assert [got[n][1] for n in untagged] == [spaced(texts[n]) for n in untagged]
+    assert not re.search(r"(?<!regexp_)replace\(", rows._jdf.queryExecution().optimizedPlan().toString())
