@@ -1,22 +1,28 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) trained on benign rows.
 
 Each tree grows from 256 rows in one small task; the forest, at most a few thousand nodes
-per hundred trees, is broadcast; scoring is a vectorised walk over Arrow batches.
+per hundred trees, is broadcast; scoring looks up the leaf of a row's box in each tree, or walks the trees.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlark.functions.expr import col, hash_order
 from flowlark.operators.scale import exact_quantile, first_rows
+from flowlark.operators.trees import doubles
 from flowlark.session import cut_lineage
 
+#: Most boxes of a tree whose leaves are laid out, and rows to walk before they are.
+MOST_BOXES, WALKED = 500_000, 20_000
 NODES = "tree int, node int, feature int, threshold double, left int, right int, length double"
 
 
@@ -73,6 +79,71 @@ def path_lengths(rows: np.ndarray, trees: list[dict]) -> np.ndarray:
     return total
 
 
+class Paths:
+    """Path lengths of rows in all trees.
+
+    A tree sees nothing of a value but which of its thresholds lie below it. Where a tree's boxes of thresholds are few enough, as
+    with three features, the leaf of each box is laid out once so many rows have been walked: a row then takes one look
+    for each tree in place of a step for each level. The lengths are added in the same order either way.
+    """
+
+    def __init__(self, trees: list[dict], width: int, most: int = MOST_BOXES, walked: int = WALKED):
+        self.trees, self.walked, self.least, self.tables = trees, 0, walked, None
+        self.own = [[np.unique(t["threshold"][t["feature"] == f]) for f in range(width)] for t in trees]
+        boxes = [float(np.prod([len(c) + 1.0 for c in own])) for own in self.own]
+        self.few = bool(boxes) and max(boxes) <= most and sum(boxes) <= 100 * most
+
+    def of(self, columns: list[np.ndarray]) -> np.ndarray:
+        n = len(columns[0])
+        if not self.few or (self.tables is None and self.walked + n <= self.least):
+            self.walked += n
+            return path_lengths(np.stack(columns, axis=1), self.trees)
+        if self.tables is None:
+            self.every = [np.unique(np.concatenate([own[f] for own in self.own])) for f in range(len(columns))]
+            self.tables = [leaf_table(t, own, self.every) for t, own in zip(self.trees, self.own)]
+        bins = [np.searchsorted(c, v, "left") for c, v in zip(self.every, columns)]
+        total = np.zeros(n)
+        for places, leaves, length in self.tables:
+            at = places[0].take(bins[0])
+            for place, b in zip(places[1:], bins[1:]):
+                at += place.take(b)
+            total += length.take(leaves.take(at))
+        return total
+
+
+def leaf_table(tree: dict, own: list[np.ndarray], every: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each feature what a place among the thresholds of all trees adds to the box number, the leaf of each box, and the lengths."""
+    sizes = [len(c) + 1 for c in own]
+    strides = [int(np.prod(sizes[f + 1 :])) for f in range(len(sizes))]
+    places = [(np.searchsorted(np.searchsorted(g, c), np.arange(len(g) + 1)) * s).astype(np.int64) for g, c, s in zip(every, own, strides)]
+    leaves = np.zeros(sizes, np.min_scalar_type(len(tree["feature"])))
+    open_nodes = [(0, tuple((0, s) for s in sizes))]
+    while open_nodes:
+        node, box = open_nodes.pop()
+        f = int(tree["feature"][node])
+        if f < 0:
+            leaves[tuple(slice(*b) for b in box)] = node
+            continue
+        cut = int(np.searchsorted(own[f], tree["threshold"][node])) + 1  # a value up to threshold i has a place up to i
+        low, high = box[f]
+        cut = min(max(cut, low), high)
+        open_nodes += [(int(tree["left"][node]), (*box[:f], (low, cut), *box[f + 1 :])), (int(tree["right"][node]), (*box[:f], (cut, high), *box[f + 1 :]))]
+    return places, leaves.ravel(), tree["length"]
+
+
+#: The last forest this worker scored with, by the hash of its trees.
+_PATHS: dict[str, Paths] = {}
+
+
+def paths_with(key: str, make: Callable[[], Paths]) -> Paths:
+    found = _PATHS.get(key)
+    if found is None:
+        found = make()
+        _PATHS.clear()
+        _PATHS[key] = found
+    return found
+
+
 @dataclass
 class IsolationForest:
     features: list[str]
@@ -80,21 +151,31 @@ class IsolationForest:
     trees: list[dict]
     offset: float
 
-    def normality(self, df: DataFrame, out: str = "normality") -> DataFrame:
-        """Adds a score in (-1, 0]; the lower, the easier to isolate."""
-        shared = df.sparkSession.sparkContext.broadcast(self.trees)
+    def normal(self, spark: SparkSession) -> Column:
+        """A score in (-1, 0] of a row with the features; the lower, the easier to isolate."""
+        shared = spark.sparkContext.broadcast(self.trees)
         scale = average_path(self.sample)
+        key = hashlib.sha256(b"".join(t[k].tobytes() for t in self.trees for k in ("feature", "threshold", "left", "right", "length"))).hexdigest()
 
-        @F.pandas_udf("double")
-        def score(values: pd.DataFrame) -> pd.Series:
-            return pd.Series(-np.exp2(-path_lengths(values.to_numpy(dtype=np.float64), shared.value) / len(shared.value) / scale))
+        @F.arrow_udf("double")
+        def score(*columns: pa.Array) -> pa.Array:
+            lengths = paths_with(key, lambda: Paths(shared.value, len(columns))).of([doubles(c) for c in columns])
+            return pa.array(-np.exp2(-lengths / len(shared.value) / scale))
 
-        return df.withColumn(out, score(F.struct(*[col(c).cast("double").alias(f"f{i}") for i, c in enumerate(self.features)])))
+        return score.asNondeterministic()(*[col(c).cast("double") for c in self.features])
+
+    def normality(self, df: DataFrame, out: str = "normality") -> DataFrame:
+        """Adds the score."""
+        return df.withColumn(out, self.normal(df.sparkSession))
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds anomaly_flag (1 for anomalies) and anomaly_score (above 0 for anomalies)."""
+        return self.flagged(self.normality(df), df.columns)
+
+    def flagged(self, scored: DataFrame, kept: list[str]) -> DataFrame:
+        """The columns to keep with the flag and score of `predict`, from the column normality."""
         score = F.lit(self.offset) - F.col("normality")
-        return self.normality(df).select(*df.columns, F.when(score > 0, 1).otherwise(0).alias("anomaly_flag"), score.alias("anomaly_score"))
+        return scored.select(*kept, F.when(score > 0, 1).otherwise(0).alias("anomaly_flag"), score.alias("anomaly_score"))
 
 
 def fit_isolation_forest(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlark.operators import evaluate as E
+from flowlark.operators import isolation as I
 from flowlark.operators import models as M
 from flowlark.operators import neighbors as N
 from flowlark.operators import synthesis as Y
@@ -484,3 +485,35 @@ def test_path_lengths_are_those_of_a_walk_row_by_row():
                 node = tree["left" if row[tree["feature"][node]] <= tree["threshold"][node] else "right"][node]
             expected[-1] += tree["length"][node]
     assert path_lengths(rows, trees).tolist() == expected and path_lengths(rows[:0], trees).tolist() == []
+
+
+def test_all_models_are_asked_in_one_projection(spark, rows):
+    forest = fit_isolation_forest(rows.filter("label = 'BENIGN'"), X, trees=5)
+    binary, classes = M.rf_binary(rows, X, trees=3, depth=4), M.rf_multiclass(rows, X, trees=3, depth=4)
+    given = rows.select("row_id", *X)
+    out = M.score_models(given, binary, classes, forest)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan and "MapInPandas" not in plan
+    got = {r.row_id: r for r in out.collect()}
+    first = {r.row_id: r for r in binary.transform(given).collect()}
+    second = {r.row_id: r for r in classes.transform(given).collect()}
+    third = {r.row_id: r for r in forest.predict(given).collect()}
+    for k, r in got.items():
+        assert r.binary_prediction == first[k].prediction and r.binary_confidence == pytest.approx(max(first[k].probability), abs=6e-5)
+        assert r.multiclass_label == second[k].predicted_label and r.anomaly_flag == third[k].anomaly_flag
+    assert len(got) == len(first) == 900
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_looked_up_paths_are_the_walked_ones(few):
+    rng, trees = np.random.default_rng(3), []
+    for seed in range(12):
+        part = np.c_[rng.integers(0, 9, 256), rng.random(256) * 100, 1 / rng.random(256)].astype(float)
+        table = np.array(sorted(I.grow(part, np.random.default_rng(seed), 8)))
+        names = ("feature", "threshold", "left", "right", "length")
+        trees.append({n: c.astype(np.int64) if n in ("feature", "left", "right") else c for n, c in zip(names, table[:, 1:].T)} | {"depth": 8})
+    data = np.c_[rng.integers(-1, 11, 500), rng.random(500) * 120 - 10, 1 / rng.random(500)].astype(float)
+    data[:40, 0] = trees[0]["threshold"][rng.integers(0, len(trees[0]["threshold"]), 40)]  # values at thresholds
+    data[3, 1], data[4, 2], data[5] = np.nan, np.inf, -np.inf
+    paths = I.Paths(trees, 3, most=500_000 if few else 1, walked=0)
+    assert np.array_equal(paths.of(list(data.T)), I.path_lengths(data, trees)) and (paths.tables is not None) == few
