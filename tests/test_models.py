@@ -14,6 +14,7 @@ from flowlark.operators import tiles
 from flowlark.operators import trees as T
 from flowlark.operators.isolation import average_path, fit_isolation_forest
 from flowlark.operators.rules import route_and_score
+from flowlark.plans.q_models import met_by_id
 
 X = ["x1", "x2"]
 
@@ -517,3 +518,15 @@ def test_looked_up_paths_are_the_walked_ones(few):
     data[3, 1], data[4, 2], data[5] = np.nan, np.inf, -np.inf
     paths = I.Paths(trees, 3, most=500_000 if few else 1, walked=0)
     assert np.array_equal(paths.of(list(data.T)), I.path_lengths(data, trees)) and (paths.tables is not None) == few
+
+
+def test_answers_meet_as_joins_by_id_do(spark):
+    rows = [("a", 1, 1, 2, 2), ("b", 1, 0, 2, 2), ("c", 1, 1, 2, 2), ("c", 0, 1, 2, 3), ("c", 0, 0, 3, 2), ("c", 0, 0, 3, 2), ("d", None, 1, 2, 2), (None, 1, 1, 2, 2), ("e", 1, 1, 2, 2), ("e", 1, 1, 2, 2)]
+    df = spark.createDataFrame(rows, "row_id string, p int, a int, q int, b int")
+    one, two, three = df.select("row_id", "p", "q"), df.select("row_id", "a"), df.select("row_id", "b")
+    same = F.coalesce((F.col("p") == F.col("a")) & (F.col("q") == F.col("b")), F.lit(False))
+    joined = one.join(two, "row_id").join(three, "row_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(~same, 1)).alias("n_different"))
+    for part in (df, df.limit(0)):
+        got = met_by_id(part, ["p", "q"], ["a", "b"])
+        assert got.schema.names == ["n_rows", "n_different"] and [f.dataType for f in got.schema] == [f.dataType for f in joined.schema]
+        assert [tuple(r) for r in got.collect()] == ([tuple(r) for r in joined.collect()] if part is df else [(0, 0)])
