@@ -530,3 +530,21 @@ def test_answers_meet_as_joins_by_id_do(spark):
         got = met_by_id(part, ["p", "q"], ["a", "b"])
         assert got.schema.names == ["n_rows", "n_different"] and [f.dataType for f in got.schema] == [f.dataType for f in joined.schema]
         assert [tuple(r) for r in got.collect()] == ([tuple(r) for r in joined.collect()] if part is df else [(0, 0)])
+
+
+def test_a_table_of_scores_is_laid_out_once_a_machine(tmp_path, monkeypatch):
+    made = []
+
+    def make():
+        made.append(1)
+        return np.arange(12.0).reshape(4, 3)
+
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", f"{tmp_path},/nowhere")
+    for _ in range(3):
+        assert np.array_equal(T.shared_table("k", make), np.arange(12.0).reshape(4, 3))
+    assert len(made) == 1
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path / "gone"))
+    assert T.shared_table("k", make).shape == (4, 3) and len(made) == 2
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path))
+    monkeypatch.setattr(T.np, "save", lambda *a: (_ for _ in ()).throw(OSError("no room")))
+    assert T.shared_table("other", make).shape == (4, 3) and len(made) == 3
